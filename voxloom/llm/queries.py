@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import bpe, sharding
+from voxloom.llm import bpe, secrets, sharding, spots
 from voxloom.llm.store import small_batches
 
 
@@ -38,6 +38,55 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op7_sharding": op7_sharding}
+#: Documents whose runs stand for ordinary identifiers when the secret models are trained: at most so many.
+SECRET_SAMPLE = 1000
+
+
+def secret_ratios(spark: SparkSession, docs: DataFrame, sf_dir: str) -> list[float]:
+    """The models' ratios from generated random strings and runs in a bounded sample of labelled documents."""
+    ids = _table(spark, sf_dir, "labels").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SECRET_SAMPLE)
+    ordinary = secrets.ordinary_samples(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi"))
+    return secrets.train(secrets.random_samples(spark).unionByName(ordinary))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document, by rule and by character models."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scanned(docs, secret_ratios(spark, docs, sf_dir))
+    base = F.filter("secrets", lambda s: s["kind"] < 3)
+    n = lambda k: F.size(F.filter("secrets", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id",
+        n(0).alias("n_assign"),
+        n(1).alias("n_access"),
+        n(2).alias("n_hex"),
+        F.sha2(secrets.joined(base), 256).alias("base_sha256"),
+        secrets.joined(F.col("secrets")).alias("spans"),
+    )
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and of its edited text, and likeness to that and to the next document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    signed = spots.with_next(docs.withColumn("sigs", spots.signatures(F.col("text"))), ["text", "sigs"])
+    changed = signed.withColumn("edited", spots.edited(F.col("text"), F.col("_next.text")))
+    both = changed.withColumn("edited_sigs", spots.signatures(F.col("edited")))
+    return both.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        spots.fingerprint(F.col("sigs")).alias("fingerprint"),
+        spots.fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),
+        spots.likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
+        spots.likeness(F.col("sigs"), F.col("_next.sigs")).alias("near_next"),
+    )
+
+
+QUERIES = {
+    "op2_bpe": op2_bpe,
+    "op6_secrets": op6_secrets,
+    "op7_sharding": op7_sharding,
+    "op10_fingerprints": op10_fingerprints,
+}
 
 SQL: dict[str, str] = {}
