@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import bpe, secrets, sharding, spots
+from voxloom.llm import bpe, neardup, secrets, sharding, spots
 from voxloom.llm.store import small_batches
 
 
@@ -14,6 +14,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents at a shingle similarity of 0.75."""
+    small_batches(spark)
+    found = neardup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept")
+    )
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded with the word vocabulary; digests of both."""
     small_batches(spark)
@@ -83,6 +92,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_neardup": op1_neardup,
     "op2_bpe": op2_bpe,
     "op6_secrets": op6_secrets,
     "op7_sharding": op7_sharding,
