@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import bpe, neardup, secrets, sharding, spots
+from voxloom.llm import bpe, neardup, quality, secrets, sharding, spots, toxicity
+from voxloom.llm.labelled import remainder, training_sample
 from voxloom.llm.store import small_batches
 
 
@@ -47,6 +48,37 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Labelled documents that the quality model is fitted on, and that the toxicity index is built on: at most so many.
+QUALITY_SAMPLE = 3000
+TOXICITY_SAMPLE = 8000
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by subword embeddings learned outside the held-out fold."""
+    small_batches(spark)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.trained(training_sample(docs, _table(spark, sf_dir, "labels"), "quality", QUALITY_SAMPLE))
+    found = quality.scored(docs, model, out="score")
+    return found.select(
+        "doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by its nearest labelled examples outside the held-out fold."""
+    small_batches(spark)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = toxicity.trained(training_sample(docs, _table(spark, sf_dir, "labels"), "toxic", TOXICITY_SAMPLE))
+    found = toxicity.scored(docs, index)
+    return found.select(
+        "doc_id",
+        (remainder(F.col("doc_id"), 5) == 0).alias("held_out"),
+        F.col("toxicity.score").alias("score"),
+        (F.col("toxicity.score") >= 0.5).cast("int").alias("predicted"),
+        F.col("toxicity.evidence").alias("evidence"),
+    )
+
+
 #: Documents whose runs stand for ordinary identifiers when the secret models are trained: at most so many.
 SECRET_SAMPLE = 1000
 
@@ -94,8 +126,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_neardup": op1_neardup,
     "op2_bpe": op2_bpe,
+    "op4_quality": op4_quality,
     "op6_secrets": op6_secrets,
     "op7_sharding": op7_sharding,
+    "op9_toxicity": op9_toxicity,
     "op10_fingerprints": op10_fingerprints,
 }
 
