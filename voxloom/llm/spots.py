@@ -20,8 +20,9 @@ ANCHORS = (
 ).split()
 _A = "(?:" + "|".join(sorted(set(ANCHORS))) + ")"
 _WORD = rf"(?!{_A} )([^ ]++)"
-#: An anchor, looking ahead over further anchors to two content words.
-SPOT = rf"(?<= )({_A})(?=(?: {_A}(?= ))* {_WORD}(?: {_A}(?= ))* {_WORD} )"
+_MORE = rf"(?: {_A}(?= )){{0,8}}+"
+#: An anchor, looking ahead over up to eight further anchors to each of two content words.
+SPOT = rf"(?<= )({_A})(?={_MORE} {_WORD}{_MORE} {_WORD} )"
 LOW = (1 << 32) - 1
 
 
