@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import bpe, neardup, quality, secrets, sharding, spots, toxicity
+from voxloom.llm import bpe, decontaminate, neardup, quality, secrets, sharding, spots, toxicity
 from voxloom.llm.labelled import remainder, training_sample
 from voxloom.llm.store import small_batches
 
@@ -79,6 +79,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item within one edit in 16 characters."""
+    small_batches(spark)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.passages(docs, _table(spark, sf_dir, "benchmark"))
+
+
 #: Documents whose runs stand for ordinary identifiers when the secret models are trained: at most so many.
 SECRET_SAMPLE = 1000
 
@@ -127,6 +134,7 @@ QUERIES = {
     "op1_neardup": op1_neardup,
     "op2_bpe": op2_bpe,
     "op4_quality": op4_quality,
+    "op5_decontaminate": op5_decontaminate,
     "op6_secrets": op6_secrets,
     "op7_sharding": op7_sharding,
     "op9_toxicity": op9_toxicity,
