@@ -1,6 +1,6 @@
 """Benchmark passages in documents, allowing for edits.
 
-An item of n characters may differ in k = n // 16 edits. Cut into k + 1 pieces, at least one piece
+An item of n characters may differ in k = n // 12 edits. Cut into k + 1 pieces, at least one piece
 of it stands unchanged in every such passage (pigeonhole), so documents are searched for pieces
 with one automaton, and only around hits is the edit distance computed, with Myers' bit-parallel
 columns on whole items. Items are a stated query set: they are taken in blocks of bounded size,
@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-EDIT_SHARE = 16
+EDIT_SHARE = 12
 #: Characters of items in a block at most (a longer item is a block alone).
 BLOCK = 4_000_000
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import bpe, decontaminate, neardup, quality, secrets, sharding, spots, toxicity
+from voxloom.llm import bpe, decontaminate, licenses, neardup, quality, secrets, sharding, spots, toxicity
 from voxloom.llm.labelled import remainder, training_sample
 from voxloom.llm.store import small_batches
 
@@ -48,6 +48,12 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license notice in every document, with its size reduction and differing words."""
+    small_batches(spark)
+    return licenses.scanned(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 #: Labelled documents that the quality model is fitted on, and that the toxicity index is built on: at most so many.
 QUALITY_SAMPLE = 3000
 TOXICITY_SAMPLE = 8000
@@ -80,7 +86,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item within one edit in 16 characters."""
+    """Documents that hold a benchmark item within one edit in 12 characters."""
     small_batches(spark)
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.passages(docs, _table(spark, sf_dir, "benchmark"))
@@ -133,6 +139,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_neardup": op1_neardup,
     "op2_bpe": op2_bpe,
+    "op3_licenses": op3_licenses,
     "op4_quality": op4_quality,
     "op5_decontaminate": op5_decontaminate,
     "op6_secrets": op6_secrets,
