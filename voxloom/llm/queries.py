@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import bpe, decontaminate, licenses, neardup, quality, secrets, sharding, spots, toxicity
+from voxloom.llm import bpe, decontaminate, licenses, lm, neardup, quality, secrets, sharding, spots, toxicity
 from voxloom.llm.labelled import remainder, training_sample
 from voxloom.llm.store import small_batches
 
@@ -70,6 +70,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under the corpus model and under smoothed unigrams."""
+    small_batches(spark)
+    return lm.scored(_table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document by its nearest labelled examples outside the held-out fold."""
     small_batches(spark)
@@ -144,6 +150,7 @@ QUERIES = {
     "op5_decontaminate": op5_decontaminate,
     "op6_secrets": op6_secrets,
     "op7_sharding": op7_sharding,
+    "op8_lm": op8_lm,
     "op9_toxicity": op9_toxicity,
     "op10_fingerprints": op10_fingerprints,
 }
