@@ -170,15 +170,18 @@ def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
     Whether a document goes is decided row by row with the items at hand, so texts are not shuffled.
     """
-    spark, out = docs.sparkSession, docs
-    for rows in _blocks(benchmark, "item_id", "text", BLOCK):
-        spread = spark.sparkContext.broadcast(rows)
+    def holds(rows: list[tuple[int, str]]):
+        spread = docs.sparkSession.sparkContext.broadcast(rows)  # at most `block` characters
 
         @F.pandas_udf("boolean")
-        def held(batches: Iterator[pd.Series], spread=spread) -> Iterator[pd.Series]:
+        def held(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             compiled = Items(spread.value)
             for texts in batches:
                 yield pd.Series([bool(compiled.matches(normal(t))) for t in texts], dtype=bool)
 
-        out = out.where(~held(F.col(f"`{text}`")))
+        return held(F.col(f"`{text}`"))
+
+    out = docs
+    for rows in _blocks(benchmark, "item_id", "text", BLOCK):
+        out = out.where(~holds(rows))
     return out
