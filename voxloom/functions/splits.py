@@ -20,3 +20,9 @@ def assign_split(key: Column, val: float = 0.15, test: float = 0.15, seed: int =
         raise ValueError("fractions must be in [0, 1) and leave something to train on")
     at = hash_position(key, seed)
     return F.when(at < test, "test").when(at < test + val, "val").otherwise("train")
+
+
+def lumpy(got: Column, total: Column, share: Column) -> Column:
+    """Whether a sample under 60 strays from its expected count by more than half of it and half a row."""
+    want = total * share
+    return (total < 60) & (F.abs(got - want) > 0.5 + 0.5 * want)

@@ -1,34 +1,4 @@
-"""Queries over the driver tables, bound to operators by small adapters, and their SQL twins."""
+"""All queries over the driver tables and their SQL twins."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from voxloom.functions.splits import assign_split
-from voxloom.session import table
-
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with SQL that DuckDB can run where there is any."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-SPLIT_SQL = """(('0x' || substr(sha256('12345:' || doc_id::varchar), 1, 16))::UBIGINT)::DOUBLE / 18446744073709551616.0"""
-SPLIT_OF = f"CASE WHEN {SPLIT_SQL} < 0.15 THEN 'test' WHEN {SPLIT_SQL} < 0.3 THEN 'val' ELSE 'train' END"
-
-
-@query(f"SELECT {SPLIT_OF} AS split, count(*) AS n FROM documents GROUP BY 1")
-def hash_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id")
-    return docs.groupBy(assign_split(F.col("doc_id")).alias("split")).agg(F.count("*").alias("n"))
+from voxloom.plans import annotation_queries, event_queries, split_queries, text_queries, voxel_queries  # noqa: F401
+from voxloom.plans.base import QUERIES, SQL  # noqa: F401
