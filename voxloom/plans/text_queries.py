@@ -1 +1,106 @@
-"""Queries."""
+"""Names, texts, checksums and listings."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from voxloom.functions import text
+from voxloom.plans.base import query
+from voxloom.session import table
+from voxloom.sources import listing
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, coalesce(json_extract_string(props, '$.missing'), 'none') AS missing FROM events")
+def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of a JSON record, defaults for missing keys (FN-27)."""
+    parsed = F.from_json("props", "k bigint, missing string")
+    rows = table(spark, sf_dir, "events").select("event_id", parsed.alias("p"))
+    return rows.select("event_id", F.col("p.k").alias("k"), F.coalesce("p.missing", F.lit("none")).alias("missing"))
+
+
+@query(r"""SELECT page_id, CASE WHEN lower(n) LIKE '%.nii.gz' THEN '.nii.gz' WHEN lower(n) LIKE '%.nrrd' THEN '.nrrd' WHEN lower(n) LIKE '%.mha' THEN '.mha' ELSE '' END AS suffix,
+regexp_replace(regexp_replace(url, '[^\p{L}\p{N}_.-]', '_', 'g'), '^[._]+|[._]+$', '', 'g') AS safe, regexp_extract(url, '([^/]*)$', 1) AS base
+FROM (SELECT *, url || CASE page_id % 4 WHEN 0 THEN '.nii.gz' WHEN 1 THEN '.NRRD' WHEN 2 THEN '.mha' ELSE '' END AS n FROM pages)""")
+def suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extensions, safe names and base names (FN-15, FN-16)."""
+    kind = F.col("page_id") % 4
+    name = F.concat("url", F.when(kind == 0, ".nii.gz").when(kind == 1, ".NRRD").when(kind == 2, ".mha").otherwise(""))
+    return table(spark, sf_dir, "pages").select(
+        "page_id", text.suffix(name).alias("suffix"), text.safe_name(F.col("url")).alias("safe"), text.case_name(F.col("url")).alias("base")
+    )
+
+
+@query("SELECT doc_id, sha256(text) AS sha256, md5(text) AS md5, count(*) OVER (PARTITION BY sha256(text)) AS copies FROM documents")
+def checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checksums of texts and how many share one; only digests are shuffled (FN-13, FN-14)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.md5("text").alias("md5"))
+    copies = docs.groupBy("sha256").agg(F.count("*").alias("copies"))
+    return docs.join(copies, "sha256")
+
+
+WALLTIMES = ["23:50:00", "1-12:00:00", "12:30", "1-12:30", "60", "1-6", "", "abc", "1:2:3:4", "24h", "-5", "1--00:00"]
+
+
+@query("SELECT * FROM (VALUES ('23:50:00', 85800), ('1-12:00:00', 129600), ('12:30', 750), ('1-12:30', 131400), ('60', 3600), ('1-6', 108000), ('', NULL), ('abc', NULL), ('1:2:3:4', NULL), ('24h', NULL), ('-5', NULL), ('1--00:00', NULL)) t(walltime, seconds)")
+def walltime_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walltimes in seconds, null for what is none (FN-18)."""
+    rows = spark.createDataFrame([(w,) for w in WALLTIMES], "walltime string")
+    return rows.select("walltime", text.walltime_seconds(F.col("walltime")).cast("int").alias("seconds"))
+
+
+@query("""SELECT o_orderkey, printf('%02d:%02d:%02d', s % 86400 // 3600, s % 3600 // 60, s % 60) AS clock, CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN printf('%dm%02ds', s // 60, s % 60) ELSE printf('%dh%02dm', s // 3600, s % 3600 // 60) END AS took,
+CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KB', b / 1024) ELSE printf('%.1f MB', b / 1048576) END AS size FROM (SELECT o_orderkey, o_orderkey * 5 % 80000 AS s, o_orderkey * 331 AS b FROM orders)""")
+def human_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Durations and sizes as text (FN-18, FN-19)."""
+    s, b = F.col("o_orderkey") * 5 % 80000, F.col("o_orderkey") * 331
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", text.walltime_text(s).alias("clock"), text.duration(s).alias("took"), text.human_bytes(b).alias("size")
+    )
+
+
+@query("""SELECT c_custkey, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(c_name, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (h * 31 + c) & 4294967295) AS hash,
+regexp_replace(c_name, '\\D', '', 'g')::BIGINT AS label, CASE WHEN c_acctbal / 10000 < 0.3 THEN 'low' WHEN c_acctbal / 10000 < 0.7 THEN 'middle' ELSE 'high' END AS band FROM customer""".replace("\\\\", "\\"))
+def name_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stable hashes, labels from digits and colour bands (FN-28, FN-29, FN-30)."""
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey", text.name_hash(F.col("c_name")).alias("hash"), text.label_index(F.col("c_name")).alias("label"), text.dice_band(F.col("c_acctbal") / 10000).alias("band")
+    )
+
+
+@query("SELECT doc_id, ok FROM (SELECT doc_id, doc_id % 3 <> 1 OR false AS ok FROM documents)")
+def checksum_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checksums that agree but for case, that differ, and that nothing is expected of (FN-13)."""
+    own = F.sha2("text", 256)
+    expected = F.when(F.col("doc_id") % 3 == 0, F.upper(own)).when(F.col("doc_id") % 3 == 1, F.lit("00")).otherwise(F.lit(None))
+    return table(spark, sf_dir, "documents").select("doc_id", text.checksum_matches(expected, own).alias("ok"))
+
+
+@query("SELECT 'data/' || item_id || '.bin' AS key, strlen(text)::BIGINT AS size, CASE WHEN item_id % 2 = 0 THEN 'next' || item_id END AS token FROM benchmark WHERE item_id % 5 <> 0")
+def xml_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects of bucket listings, without directory placeholders; the token only where the list goes on (SC-20)."""
+    key = F.concat(F.lit("data/"), "item_id", F.when(F.col("item_id") % 5 == 0, "/").otherwise(".bin"))
+    page = F.concat(
+        F.lit("<ListBucketResult xmlns='urn:x'><IsTruncated>"), F.when(F.col("item_id") % 2 == 0, "true").otherwise("false"), F.lit("</IsTruncated><NextContinuationToken>next"), "item_id",
+        F.lit("</NextContinuationToken><Contents><Key>"), key, F.lit("</Key><Size>"), F.octet_length("text"), F.lit("</Size></Contents></ListBucketResult>"),
+    )
+    return listing.listed_objects(table(spark, sf_dir, "benchmark").select(page.alias("xml")), "xml")
+
+
+@query("SELECT c_mktsegment, list_sort(list(DISTINCT c_nationkey) FILTER (c_nationkey NOT IN (1, 2, 3)))::BIGINT[] AS foreign_keys FROM customer GROUP BY 1")
+def unknown_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that are present but not expected (ST-4, ST-5)."""
+    keys = F.array_except(F.collect_set(F.col("c_nationkey").cast("bigint")), F.array(*[F.lit(k).cast("bigint") for k in (1, 2, 3)]))
+    return table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.array_sort(keys).alias("foreign_keys"))
+
+
+@query("SELECT p_brand, count(*) AS n FROM part WHERE p_type NOT LIKE '%STEEL%' GROUP BY 1")
+def catalogue_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries without a blocked term (PF-13)."""
+    return table(spark, sf_dir, "part").where(~F.col("p_type").contains("STEEL")).groupBy("p_brand").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_nationkey, min(c_custkey) AS first_key FROM customer GROUP BY 1 ORDER BY 2 LIMIT 12")
+def ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct values in the order of their first appearance (ST-8)."""
+    return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.min("c_custkey").alias("first_key")).orderBy("first_key").limit(12)
