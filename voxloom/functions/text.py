@@ -53,10 +53,10 @@ def walltime_text(seconds: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    """Bytes with a unit up to TB, one decimal above bytes."""
-    out = F.format_string("%.1f TB", n / 1024.0**4)
+    """Bytes with a unit up to TB, one decimal (halves to even) above bytes."""
+    out = F.format_string("%.1f TB", F.bround(n / 1024.0**4, 1))
     for i, unit in reversed([(0, "B"), (1, "KB"), (2, "MB"), (3, "GB")]):
-        text = F.format_string("%d B", n.cast("bigint")) if i == 0 else F.format_string(f"%.1f {unit}", n / 1024.0**i)
+        text = F.format_string("%d B", n.cast("bigint")) if i == 0 else F.format_string(f"%.1f {unit}", F.bround(n / 1024.0**i, 1))
         out = F.when(F.abs(n) < 1024 ** (i + 1), text).otherwise(out)
     return out
 

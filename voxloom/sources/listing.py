@@ -48,7 +48,7 @@ def read_overrides(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 
 
 def files_under(spark: SparkSession, root: str) -> DataFrame:
-    """(path, length) of all files under a folder, without their content."""
+    """(path, length) of all files under a folder, without their content; empty files are no volumes and are not listed."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
 
 
