@@ -126,6 +126,15 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+# Letters and numbers that came after the library's Unicode tables (16.0), so that they are neither to it.
+LATER = """558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7
+10ed9-10eee 11b0a 11db0-11ddb 11de0-11de9 11df1 1246f 12475-1247f 12550-12686 16ea0-16eb8 16ebb-16ed3 16ff2-16ff6 187f8-187ff
+18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff
+1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f"""
+# Lower case by character where Python's str.lower has no or another one.
+LOWER = {0x3A3: 0x3C3, 0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DC: 0x19B} | {c: c + 32 for c in range(0x10D50, 0x10D66)} | {c: c + 27 for c in range(0x16EA0, 0x16EB9)}
+
+
 class WordTokenizer(dict):
     """A tokenizer file whose texts are put in NFC and lower case and split by a pattern, each word encoded alone.
 
@@ -144,7 +153,13 @@ class WordTokenizer(dict):
         self.label = self.automaton.label | {i: t for t, i in self.special.items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.words = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
+        pattern = pattern.replace(r"\s", r"\p{White_Space}")
+        self.words = regex.compile(pattern)
+        later = "".join("-".join(f"\\U{int(x, 16):08x}" for x in r.split("-")) for r in LATER.split())
+        self.odd = regex.compile(f"[{later}{''.join(f'\\U{c:08x}' for c in LOWER)}]")
+        wide = pattern.replace(r"[^\p{White_Space}\p{L}\p{N}]", "[^WLN]")
+        wide = wide.replace(r"[\p{L}]", f"[\\p{{L}}--[{later}]]").replace(r"[\p{N}]", f"[\\p{{N}}--[{later}]]")
+        self.early_words = regex.compile(wide.replace("[^WLN]", f"[[^\\p{{White_Space}}\\p{{L}}\\p{{N}}]||[{later}]]"), regex.V1)
 
     def __missing__(self, word: str) -> tuple[bytes, str]:
         if len(self) >= self.room:
@@ -160,9 +175,12 @@ class WordTokenizer(dict):
             if part in self.special:
                 out.append((self.special[part].to_bytes(4, "little"), part))
             elif part:
+                words = self.words
                 if not part.isascii():
-                    part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # lower case by character
-                out += map(self.__getitem__, self.words.findall(part.lower()))
+                    part = unicodedata.normalize("NFC", part)
+                    if self.odd.search(part):
+                        part, words = part.translate(LOWER), self.early_words
+                out += map(self.__getitem__, words.findall(part.lower()))
         return out
 
     def encode(self, text: str) -> bytes:

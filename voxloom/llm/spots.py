@@ -7,6 +7,8 @@ All of it is regular expressions and array functions on the JVM.
 
 from __future__ import annotations
 
+from math import log as _log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -102,3 +104,30 @@ def edited(text: Column, other: Column) -> Column:
     """The last quarter (rounded down) of a text replaced by as many first code points of another, or all it has."""
     quarter = F.floor(F.length(text) / 4).cast("int")
     return F.concat(F.substring(text, F.lit(1), F.length(text) - quarter), F.substring(other, F.lit(1), quarter))
+
+
+def near_pairs(signed: DataFrame, key: str, sigs: str, threshold: float = 0.75) -> tuple[DataFrame, DataFrame]:
+    """((id, rep), (a, b, likeness)): classes of equal sets, and pairs of class representatives that are alike enough.
+
+    Representatives are partitioned by set length: a set of n can only match lengths from
+    threshold * n to n / threshold, so a set lies in its own partition and asks in the next one
+    too (lengths grow by 1 / threshold). Within a partition only the rarest signatures are indexed, as many as
+    one of them must be shared. Rows without signatures match nothing.
+    """
+    rows = signed.select(F.col(key).alias("id"), F.col(sigs).alias("s"))
+    classes = rows.groupBy("s").agg(F.min("id").alias("rep"))
+    members = rows.join(classes, "s").select("id", "rep")
+    reps = classes.where(F.size("s") > 0).withColumn("n", F.size("s"))
+    base = -1 / float(_log(threshold))
+    reps = reps.withColumn("part", F.floor(F.log("n") * base + 1e-9))
+    frequency = reps.select(F.explode("s").alias("v")).groupBy("v").agg(F.count("*").alias("df"))
+    spread = reps.select("rep", "n", "part", F.explode("s").alias("v")).join(frequency, "v")
+    ordered = spread.groupBy("rep", "n", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "v"))), lambda x: x["v"]).alias("o"))
+    prefix = F.slice("o", F.lit(1), F.greatest(F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1, F.lit(1)).cast("int"))
+    kept = ordered.select("rep", "n", "part", F.explode(prefix).alias("v"))
+    asked = kept.select(F.col("rep").alias("b"), F.col("n").alias("m"), "v", F.explode(F.array("part", F.col("part") + 1)).alias("part"))
+    near = (F.col("n") >= threshold * F.col("m")) & (F.col("m") >= threshold * F.col("n")) & (F.col("rep") != F.col("b"))
+    pairs = kept.join(asked, ["part", "v"]).where(near).select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
+    sides = [reps.select(F.col("rep").alias(c), F.col("s").alias(f"s{c}")) for c in "ab"]
+    scored = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", likeness(F.col("sa"), F.col("sb")).alias("likeness"))
+    return members, scored.where(F.col("likeness") >= threshold)
