@@ -27,6 +27,7 @@ def expected(text):
 def model(spark):
     words = "the configuration of an ordinary identifier such as getUserAccountName or max_retry_count and compute_total_value between several components of the application framework"
     ordinary = spark.createDataFrame([(w, False) for w in words.split() * 20], "value string, random boolean")
+    ordinary = ordinary.unionByName(secrets.ordinary_samples(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")))
     return secrets.train(secrets.random_samples(spark, 500).unionByName(ordinary))
 
 

@@ -36,8 +36,8 @@ class MergeAutomaton:
             if w in self.born or rank <= max(self.born.get(u, -1), self.born.get(v, -1)):
                 raise ValueError(f"merge {rank} uses a token before it exists, or makes one again")
             self.parts[w], self.born[w], self.rule[u, v] = (u, v), rank, rank
-        self.lost: dict[tuple[int, int], int] = {}
-        self.arcs: dict[tuple[int, int], bool] = {}
+        self.lost: dict[int, int] = {}
+        self.arcs: dict[int, bool] = {}
         # arcs by characters: node -> character -> node; tokens ending inside a word, and at its end
         self.next: list[dict[str, int]] = [{}]
         self.inner: list[int] = [-1]
@@ -61,8 +61,8 @@ class MergeAutomaton:
 
     def lost_at(self, x: int, y: int) -> int:
         """The merge that takes y's arc from the state after x; NEVER if it was not there at all, ALWAYS if it stays."""
-        if (x, y) in self.lost:
-            return self.lost[x, y]
+        if (found := self.lost.get(x << 32 | y)) is not None:
+            return found
         bx, by = self.born.get(x, -1), self.born.get(y, -1)
         if by > bx:  # y's arc was made where its left part had one
             there = self.lost_at(x, self.parts[y][0]) > by
@@ -72,16 +72,17 @@ class MergeAutomaton:
             there = self.lost_at(self.parts[x][1], self.parts[y][0]) >= bx
         else:
             there = True
-        self.lost[x, y] = found = self.rule.get((x, y), ALWAYS) if there else NEVER
+        self.lost[x << 32 | y] = found = self.rule.get((x, y), ALWAYS) if there else NEVER
         return found
 
     def accepts(self, x: int, y: int) -> bool:
-        found = self.arcs.get((x, y))
+        found = self.arcs.get(x << 32 | y)
         if found is None:
-            if len(self.arcs) > 2_000_000:
+            if len(self.arcs) > 200_000:
                 self.arcs.clear()
+            if len(self.lost) > 200_000:
                 self.lost.clear()
-            found = self.arcs[x, y] = self.lost_at(x, y) == ALWAYS
+            found = self.arcs[x << 32 | y] = self.lost_at(x, y) == ALWAYS
         return found
 
     def tokens_at(self, word: str, at: int) -> list[tuple[int, int]]:
@@ -142,7 +143,7 @@ class WordTokenizer(dict):
     kept for at most `room` words.
     """
 
-    def __init__(self, path: str, room: int = 400_000):
+    def __init__(self, path: str, room: int = 200_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, self.room = spec["model"], room

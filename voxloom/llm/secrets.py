@@ -94,7 +94,7 @@ def train(samples: DataFrame, value: str = "value", label: str = "random") -> li
 def random_samples(spark: SparkSession, n: int = 2000) -> DataFrame:
     """Random strings over the usual key alphabets (value, random = true), equal in every run."""
     digest = F.unhex(F.sha2(F.concat(F.lit("sample:"), F.col("id").cast("string")), 256))
-    by_alphabet = F.array(F.lower(F.hex(digest)), F.base64(digest), F.translate(F.lower(F.base64(digest)), "+/=", "xyz"))
+    by_alphabet = F.array(F.base64(digest), F.translate(F.base64(digest), "+/=", "xyz"), F.lower(F.hex(F.substring(digest, 1, 6))))
     return spark.range(n).select(F.explode(by_alphabet).alias("value"), F.lit(True).alias("random"))
 
 

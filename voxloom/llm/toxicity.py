@@ -179,7 +179,7 @@ def scored(df: DataFrame, index: BlockMaxIndex, text: str = "text", k: int = 10,
             counts: Counter = Counter()
             for w in WORD.findall((t or "").lower()):
                 if w not in known:
-                    if len(known) > 500_000:
+                    if len(known) > 120_000:
                         known.clear()
                     known[w] = [x for x in terms(w) if x in at.idf]
                 if known[w]:
