@@ -138,11 +138,16 @@ class BlockMaxIndex:
             best = sorted([*best, *((float(score[p]), int(b) * self.block + int(p)) for p in hits)], key=lambda h: (-h[0], h[1]))[:k]
         return best
 
-    def vote(self, query: dict[str, float], k: int, doubt: float = 0.05) -> tuple[float, list[int]]:
-        """Share of toxic votes, each weighted by the squared cosine, with some doubt that counts as clean; the voters' ids."""
+    def vote(self, query: dict[str, float], k: int, doubt: float = 0.05, toxic: float = 2.0) -> tuple[float, list[int]]:
+        """Share of toxic votes, with the voters' ids.
+
+        A vote weighs the squared cosine, a toxic one `toxic` times that, as toxic examples are the
+        rarer; `doubt` counts as clean, so that far neighbours alone convince nobody.
+        """
         near = self.nearest(query, k)
-        total = sum(s * s for s, _ in near) + doubt
-        return sum(s * s for s, i in near if self.labels[i]) / total, [self.ids[i] for _, i in near]
+        weights = [s * s * (toxic if self.labels[i] else 1.0) for s, i in near]
+        share = sum(w for w, (_, i) in zip(weights, near, strict=True) if self.labels[i]) / (sum(weights) + doubt)
+        return share, [self.ids[i] for _, i in near]
 
 
 def trained(sample: DataFrame, size: int = 512) -> BlockMaxIndex:
