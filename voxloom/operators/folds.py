@@ -33,15 +33,14 @@ def stratified_folds(df: DataFrame, key: str, stratum: str, folds: int = 5, seed
     order = W.orderBy(F.desc("_size"), stratum)
     ranks = sizes.withColumn("_stratum", F.row_number().over(order)).drop("_size")
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)
-    placed = df.join(F.broadcast(ranks), stratum).withColumn("_digest", digest)
+    placed = df.join(ranks, stratum).withColumn("_digest", digest)
     ranked = distributed_rank(placed, ["_stratum"], "_digest", "_at")
     return ranked.withColumn("fold", (F.col("_at") % folds).cast("int")).drop("_at", "_stratum", "_digest")
 
 
-def fold_members(folded: DataFrame, key: str) -> DataFrame:
+def fold_members(folded: DataFrame, key: str, folds: int = 5) -> DataFrame:
     """(fold, role, key): a row is validation in its own fold and training in all others."""
-    folds = folded.select(F.col("fold").alias("_f")).distinct()
-    crossed = folded.select(key, "fold").join(F.broadcast(folds))
+    crossed = folded.select(key, "fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("_f"))
     role = F.when(F.col("_f") == F.col("fold"), "val").otherwise("train")
     return crossed.select(F.col("_f").alias("fold"), role.alias("role"), key)
 

@@ -120,10 +120,10 @@ def remap(df: DataFrame, mapping: dict[int, int], label: str = "label") -> DataF
     return df.withColumn("source", F.col(label)).withColumn(label, F.try_element_at(pairs, F.col(label)))
 
 
-def label_counts(df: DataFrame, case: str, labels: DataFrame) -> DataFrame:
+def label_counts(df: DataFrame, case: str, labels: list[int]) -> DataFrame:
     """(case, label, n) for every case and label of the set, zero where none; labels outside the set are left out."""
     counts = df.groupBy(case, "label").agg(F.count("*").alias("n"))
-    every = df.select(case).distinct().join(F.broadcast(labels.select("label").distinct()))
+    every = df.select(case).distinct().select(case, F.explode(F.array(*[F.lit(x) for x in labels])).alias("label"))
     return every.join(counts, [case, "label"], "left").select(case, "label", F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -88,7 +88,7 @@ def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Voxels of each case and label of a set, zero-filled (AG-22, VX-12, AG-21)."""
     parts = table(spark, sf_dir, "part").where("p_size < 20").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").alias("c"))
     rows = table(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_linenumber").alias("label")).join(parts, "l_partkey")
-    return voxels.label_counts(rows, "c", spark.createDataFrame([(1,), (2,), (9,)], "label int"))
+    return voxels.label_counts(rows, "c", [1, 2, 9])
 
 
 _M = "embedding[{}]::DOUBLE"
