@@ -21,11 +21,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.llm.labelled import remainder
+from voxloom.llm.packed import pack, ranges, unpack
 from voxloom.llm.store import released, written
 
 BITS = 56
@@ -36,17 +36,6 @@ HELD_OUT, DELETED, KEPT = 0, 1, 2
 END, START = (xxhash.xxh3_64_intdigest(x) >> (64 - BITS) for x in (b"end of text", b"start of text"))  # no word has a space
 
 
-def pack(a: np.ndarray) -> bytes:
-    """Numbers by byte planes, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
-
-
-def unpack(data: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
-
-
 def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
@@ -135,11 +124,9 @@ def _questions(blocks: DataFrame, parts: dict[int, int]) -> DataFrame:
                 grams, out = _Grams(row), []
                 for kind, n in parts.items():
                     keys, counts = grams.keys[kind], grams.counts[kind].astype(np.uint32)
-                    part = (keys >> np.uint64(BITS - n)).astype(np.int64) if n else np.zeros(len(keys), np.int64)
-                    cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
-                    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    for part, a, b in ranges(keys, BITS, n):
                         steps = np.diff(keys[a:b], prepend=np.uint64(0))
-                        out.append((kind, int(part[a]), row.block, row.role, pack(steps), pack(counts[a:b]) if row.role != HELD_OUT else b""))
+                        out.append((kind, part, row.block, row.role, pack(steps), pack(counts[a:b]) if row.role != HELD_OUT else b""))
                 yield pd.DataFrame(out, columns=["kind", "part", "block", "role", "keys", "counts"])
 
     return blocks.mapInPandas(run, "kind int, part int, block bigint, role int, keys binary, counts binary")
