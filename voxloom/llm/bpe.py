@@ -143,7 +143,7 @@ class WordTokenizer(dict):
     kept for at most `room` words.
     """
 
-    def __init__(self, path: str, room: int = 200_000):
+    def __init__(self, path: str, room: int = 150_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, self.room = spec["model"], room
@@ -192,21 +192,12 @@ class WordTokenizer(dict):
         return " ".join([self.label[i] for i in memoryview(ids).cast("I")])
 
 
-_loaded: dict[str, WordTokenizer] = {}
-
-
-def tokenizer(path: str) -> WordTokenizer:
-    if path not in _loaded:
-        _loaded[path] = WordTokenizer(path)
-    return _loaded[path]
-
-
 def encoded(text: Column, path: str) -> Column:
     """struct(ids binary, decoded string) of a text. Null counts as empty: no ids, decoded ''."""
 
     @F.pandas_udf("ids binary, decoded string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        t = tokenizer(path)
+        t = WordTokenizer(path)  # of this task: a worker process outlives it
         for texts in batches:
             found = [t.pieces(x or "") for x in texts]
             yield pd.DataFrame({"ids": [b"".join([p[0] for p in x]) for x in found], "decoded": [" ".join([p[1] for p in x]) for x in found]})
@@ -219,7 +210,7 @@ def decoded(ids: Column, path: str) -> Column:
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        t = tokenizer(path)
+        t = WordTokenizer(path)  # of this task: a worker process outlives it
         for rows in batches:
             yield rows.map(lambda x: None if x is None else t.decode(x))
 

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.neardup import shingles
+from voxloom.llm.neardup import forget, shingles
 from voxloom.llm.store import written
 
 WORD = regex.compile(r"\p{L}+")
@@ -61,6 +61,7 @@ def without_copies(sample: DataFrame) -> DataFrame:
     @F.pandas_udf("bigint")
     def smallest(texts: pd.Series) -> pd.Series:
         sets = [shingles(t) for t in texts]
+        forget()
         return pd.Series([int(s[0].view(np.int64)) if len(s) else 0 for s in sets], dtype="int64")
 
     first = sample.groupBy(smallest("text").alias("key")).agg(F.min(F.struct("id", "text", "label")).alias("row"))
