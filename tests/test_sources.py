@@ -91,3 +91,20 @@ def test_texts(spark):
     assert tuple(row[c] for c in "abcdef") == (".nii.gz", "s1", "é_b_".strip("._"), "1.5 KB", "1h01m", "1-01:01:01")
     assert (row["g"]["host"], row["g"]["path"], row["h"]["host"], row["i"]) == ("me@host", "/runs/1", None, "best")
     assert (row["j"], row["k"], row["l"]) == (True, True, False)
+
+
+def test_label_sets_and_reports(spark, tmp_path):
+    from voxloom.functions import records
+    from voxloom.sources import reports
+
+    (tmp_path / "coronary.yaml").write_text("labels:\n  LM: 1\n  LAD: 2\nsource_values:\n  LM: 7\n")
+    sets = reports.label_sets(spark, str(tmp_path / "*.yaml"))
+    assert {tuple(r) for r in sets.collect()} == {("coronary", "LM", 1, 7), ("coronary", "LAD", 2, None)}
+    report = records.label_set_report(sets, "label_set", "structure", "label", "source_value").first()
+    assert report["contiguous"] and report["unique_names"] and report["source_injective"]
+    reports.write_csv(sets, str(tmp_path / "out"), "\t")
+    assert spark.read.option("header", True).option("sep", "\t").csv(str(tmp_path / "out")).count() == 2
+    events = spark.createDataFrame([(1.0, "epoch")], "t double, event string")
+    for _ in range(2):
+        reports.append_log(events, str(tmp_path / "log"))
+    assert listing.read_log(spark, str(tmp_path / "log")).count() == 2
