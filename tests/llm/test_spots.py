@@ -21,11 +21,13 @@ def plain(text):
                 j += 1
             if len(chain) == 2:
                 out.add(" ".join([w, *chain]))
-    return out or {" ".join(p) for p in zip(words, words[1:], strict=False)} or set(words)
+    if len(out) * 12 < len(words):  # each spot of these texts occurs once
+        out |= {" ".join(p) for p in zip(words, words[1:], strict=False)} or set(words)
+    return out
 
 
 def test_signatures_match_plain_python(spark, table):
-    texts = ["The house of cards and the fall.", "of the of and is x the y z", "a b c", "one", "", None, "the " * 20 + "x y", "Die Katze von der Straße ist im Haus", "the cat"]
+    texts = ["The house of cards and the fall.", "of the of and is x the y z", "a b c", "one", "x1 x2 x3 x4 x5 x6 x7 x8 x9 x10 x11 x12 the y1 y2", "", None, "the " * 20 + "x y", "Die Katze von der Straße ist im Haus", "the cat"]
     rows = table(list(enumerate(texts))).select("text", spots.signatures(F.col("text")).alias("s")).collect()
     for r in rows:
         want = spark.createDataFrame([(x,) for x in plain(r["text"])] or [("",)], "v string")

@@ -35,20 +35,19 @@ def _hashes(values: Column) -> Column:
 def signatures(text: Column) -> Column:
     """Sorted distinct 32-bit hashes of a text's spots, array<bigint>.
 
-    A text without any spot (few words, or no anchors) counts each pair of following words, or
-    its only word, instead; null and blank texts have none. Equal texts have equal signatures.
+    A text with fewer spots than a twelfth of its words (lists, foreign or broken texts) also counts each
+    pair of following words, or its only word; null and blank texts have none. Equal texts have
+    equal signatures.
     """
     bare = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
     marked = F.regexp_replace(F.concat(F.lit(" "), bare, F.lit(" ")), SPOT, "\x01$1 $2 $3\x01")
     spots = F.filter(F.split(marked, "\x01"), lambda _, i: i % 2 == 1)
+    n_words = F.length(bare) - F.length(F.replace(bare, F.lit(" "), F.lit(""))) + 1
     words = F.split(bare, " ")
-    pairs = F.zip_with(
-        words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat_ws(" ", a, b)
-    )
-    plain = F.when(F.length(bare) > 0, F.when(F.size(words) > 1, F.slice(pairs, F.lit(1), F.size(words) - 1)).otherwise(words)).otherwise(
-        F.array().cast("array<string>")
-    )
-    return _hashes(F.when(F.size(spots) > 0, spots).otherwise(plain))
+    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
+    plain = F.when(n_words > 1, F.slice(pairs, F.lit(1), F.size(words) - 1)).otherwise(words)
+    few = (F.size(spots) * 12 < n_words) & (F.length(bare) > 0)
+    return _hashes(F.when(few, F.concat(spots, plain)).otherwise(spots))
 
 
 def fingerprint(signed: Column) -> Column:
