@@ -38,26 +38,25 @@ class MergeAutomaton:
             self.parts[w], self.born[w], self.rule[u, v] = (u, v), rank, rank
         self.lost: dict[int, int] = {}
         self.arcs: dict[int, bool] = {}
-        # arcs by characters: node -> character -> node; tokens ending inside a word, and at its end
-        self.next: list[dict[str, int]] = [{}]
-        self.inner: list[int] = [-1]
-        self.last: list[int] = [-1]
+        self.unmade: set[int] = set()
+        # a token that the merges never make of its own text has no arc from the start
+        for w, (u, v) in self.parts.items():
+            if u in self.unmade or v in self.unmade or self.lost_at(u, v) != self.born[w]:
+                self.unmade.add(w)
+        # arcs by characters: each node is (character -> node, token that ends inside a word, token at its end)
+        self.start: list = [{}, -1, -1]
         for token, i in vocab.items():
-            if i not in self.born and len(token.removesuffix(end) if end else token) != 1:
+            single = len(token.removesuffix(end) if end else token) == 1
+            if i in self.unmade or (i not in self.born and not single):
                 continue  # a special token: no merge makes it
             text, final = (token[: len(token) - len(end)], True) if end and token.endswith(end) else (token, not end)
-            node = 0
+            node = self.start
             for c in text:
-                if c not in self.next[node]:
-                    self.next[node][c] = len(self.next)
-                    self.next.append({})
-                    self.inner.append(-1)
-                    self.last.append(-1)
-                node = self.next[node][c]
+                node = node[0].setdefault(c, [{}, -1, -1])
             if final:
-                self.last[node] = i
+                node[2] = i
             if not (end and final):
-                self.inner[node] = i
+                node[1] = i
 
     def lost_at(self, x: int, y: int) -> int:
         """The merge that takes y's arc from the state after x; NEVER if it was not there at all, ALWAYS if it stays."""
@@ -86,37 +85,45 @@ class MergeAutomaton:
         return found
 
     def tokens_at(self, word: str, at: int) -> list[tuple[int, int]]:
-        """(token, end) of every token that starts at a position, longest first."""
-        node, out, n = 0, [], len(word)
-        for e in range(at + 1, n + 1):
-            node = self.next[node].get(word[e - 1], -1)
-            if node < 0:
+        """(token, end) of every token that starts at a position, longest last."""
+        out, n = [], len(word)
+        node = self.start
+        for e in range(at, n):
+            node = node[0].get(word[e])
+            if node is None:
                 break
-            token = self.last[node] if e == n else self.inner[node]
+            token = node[1] if e + 1 < n else node[2]
             if token >= 0:
-                out.append((token, e))
-        return out[::-1]
+                out.append((token, e + 1))
+        return out
 
     def encode(self, word: str) -> list[int]:
-        """The word's only accepted path. A prefix has one accepted path too, so a position that failed stays dead."""
-        path: list[int] = []
-        ends = [0]
-        dead = bytearray(len(word) + 1)
-        tries = [iter(self.tokens_at(word, 0))]
+        """The word's only accepted path, tried with the longest arcs first. A prefix has one accepted path too, so a position that failed stays dead."""
+        n, arcs, path = len(word), self.arcs, []
+        ends, tries, dead, last = [0], [self.tokens_at(word, 0)], set(), -1
         while tries:
-            for token, e in tries[-1]:
-                if not dead[e] and (not path or self.accepts(path[-1], token)):
-                    path.append(token)
-                    if e == len(word):
-                        return path
-                    ends.append(e)
-                    tries.append(iter(self.tokens_at(word, e)))
-                    break
+            options = tries[-1]
+            while options:
+                token, e = options.pop()
+                if e in dead:
+                    continue
+                if last >= 0:
+                    ok = arcs.get(last << 32 | token)
+                    if not (self.accepts(last, token) if ok is None else ok):
+                        continue
+                path.append(token)
+                if e == n:
+                    return path
+                ends.append(e)
+                tries.append(self.tokens_at(word, e))
+                last = token
+                break
             else:
                 tries.pop()
-                dead[ends.pop()] = 1
+                dead.add(ends.pop())
                 if path:
                     path.pop()
+                last = path[-1] if path else -1
         raise ValueError("the word holds a character without a token")
 
 
@@ -143,7 +150,7 @@ class WordTokenizer(dict):
     kept for at most `room` words.
     """
 
-    def __init__(self, path: str, room: int = 150_000):
+    def __init__(self, path: str, room: int = 300_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, self.room = spec["model"], room
@@ -165,7 +172,7 @@ class WordTokenizer(dict):
     def __missing__(self, word: str) -> tuple[bytes, str]:
         if len(self) >= self.room:
             self.clear()
-        ids = self.automaton.encode("".join([self.letters[b] for b in word.encode()]))
+        ids = self.automaton.encode(word if word.isalpha() and word.isascii() else "".join([self.letters[b] for b in word.encode()]))
         self[word] = out = (b"".join(i.to_bytes(4, "little") for i in ids), " ".join([self.label[i] for i in ids]))
         return out
 
