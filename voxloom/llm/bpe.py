@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.llm.store import trimmed
+
 NEVER, ALWAYS = -2, 1 << 60
 
 
@@ -199,15 +201,27 @@ class WordTokenizer(dict):
         return " ".join([self.label[i] for i in memoryview(ids).cast("I")])
 
 
+_loaded: dict[str, WordTokenizer] = {}
+
+
+def loaded(path: str) -> WordTokenizer:
+    """A file's tokenizer, compiled once a worker process; tasks clear its words when they end."""
+    if path not in _loaded:
+        _loaded[path] = WordTokenizer(path)
+    return _loaded[path]
+
+
 def encoded(text: Column, path: str) -> Column:
     """struct(ids binary, decoded string) of a text. Null counts as empty: no ids, decoded ''."""
 
     @F.pandas_udf("ids binary, decoded string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        t = WordTokenizer(path)  # of this task: a worker process outlives it
+        t = loaded(path)
         for texts in batches:
             found = [t.pieces(x or "") for x in texts]
             yield pd.DataFrame({"ids": [b"".join([p[0] for p in x]) for x in found], "decoded": [" ".join([p[1] for p in x]) for x in found]})
+        t.clear()
+        trimmed()
 
     return run(text)
 
@@ -217,9 +231,9 @@ def decoded(ids: Column, path: str) -> Column:
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        t = WordTokenizer(path)  # of this task: a worker process outlives it
+        t = loaded(path)
         for rows in batches:
-            yield rows.map(lambda x: None if x is None else t.decode(x))
+            yield rows.map(lambda x, t=t: None if x is None else t.decode(x))
 
     return run(ids)
 

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.llm.store import trimmed
+
 EDIT_SHARE = 12
 #: Characters of items in a block at most (a longer item is a block alone).
 BLOCK = 4_000_000
@@ -178,6 +180,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
             compiled = Items(spread.value)
             for texts in batches:
                 yield pd.Series([bool(compiled.matches(normal(t))) for t in texts], dtype=bool)
+            del compiled
+            trimmed()
 
         return held(F.col(f"`{text}`"))
 

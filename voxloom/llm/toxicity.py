@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.llm.neardup import forget, shingles
-from voxloom.llm.store import written
+from voxloom.llm.store import trimmed, written
 
 WORD = regex.compile(r"\p{L}+")
 
@@ -50,6 +50,7 @@ def term_labels(sample: DataFrame) -> DataFrame:
                 n[int(label > 0)].update([*counted(text), None])
             both = list({**n[0], **n[1]})
             yield pd.DataFrame({"term": both, "toxic": [n[1][t] for t in both], "clean": [n[0][t] for t in both]})
+        trimmed()
 
     counts = sample.select("text", "label").mapInPandas(run, "term string, toxic bigint, clean bigint")
     return counts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
@@ -195,5 +196,7 @@ def scored(df: DataFrame, index: BlockMaxIndex, text: str = "text", k: int = 10,
         for texts in batches:
             found = [vote(t) for t in texts]
             yield pd.DataFrame({"score": [s for s, _ in found], "evidence": [e for _, e in found]})
+        known.clear()
+        trimmed()
 
     return df.withColumn(out, run(F.col(f"`{text}`")))
