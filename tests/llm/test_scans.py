@@ -44,6 +44,23 @@ def test_no_passage_within_the_budget_is_missed():
             assert closest(dict(items)[k], text[a:b])[0] == d
 
 
+def test_no_passage_of_a_repeated_phrase_is_missed():
+    text = "so he said 2o be or nxt to be or not to be, that is the que and left"
+    item = "to be or not to be or not to be, that is the que"
+    assert [(k, d) for k, d, _, _ in de.Items([(1, item)]).matches(text)] == [(1, 2)]
+    rng = random.Random(5)
+    for _ in range(400):
+        phrases = ["".join(rng.choice("abc ") for _ in range(rng.randint(3, 9))) for _ in range(2)]
+        item = de.normal("".join(rng.choice(phrases) for _ in range(rng.randint(5, 12))))
+        edited = list(item)
+        for _ in range(rng.randint(0, len(item) // de.EDIT_SHARE + 1)):
+            edited[rng.randrange(len(edited))] = "z"
+        text = de.normal("".join(rng.choice(phrases) for _ in range(3)) + " y " + "".join(edited) + " y " + "".join(rng.choice(phrases) for _ in range(3)))
+        want, found = closest(item, text)[0], de.Items([(1, item)]).matches(text)
+        assert [d for _, d, _, _ in found] == ([want] if want <= len(item) // de.EDIT_SHARE else [])
+        assert all(closest(item, text[a:b])[0] == d for _, d, a, b in found)
+
+
 def test_passages_and_clean(spark, table):
     bench = spark.createDataFrame([(1, "The quick brown fox jumps over the lazy dog near the river bank."), (2, None), (3, "")], "item_id bigint, text string")
     docs = table([(1, "x the QUICK brown\nfox jumps over the lazy dog near the river bank. y"), (2, "the quick brawn fox jumps over the lazy dog near the rivr bank."), (3, "the quick brown fox"), (4, None), (5, ""), (None, "clean")])

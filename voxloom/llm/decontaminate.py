@@ -92,15 +92,16 @@ class Items:
                 low = max(0, last + 1 - size - start - budget)
                 high = min(len(text), last + 1 - size - start + len(item) + budget)
                 of = windows.setdefault(k, [])
-                if of and low <= of[-1][1] and high - of[-1][0] <= 3 * len(item) + 4 * budget:
-                    of[-1][1] = max(of[-1][1], high)
+                # a later piece may ask for an earlier start, as its text can also stand elsewhere in the item
+                if of and low <= of[-1][1] and max(high, of[-1][1]) - min(low, of[-1][0]) <= 3 * len(item) + 4 * budget:
+                    of[-1] = [min(low, of[-1][0]), max(high, of[-1][1])]
                 else:
                     of.append([low, high])
         out = []
         for k, of in windows.items():
             number, item, budget = self.items[k]
             found = None
-            for low, high in of:
+            for low, high in sorted(of):
                 part = text[low:high]
                 exact = part.find(item)
                 if exact >= 0:
