@@ -81,3 +81,50 @@ def test_near_pairs_match_brute_force(spark, table):
     reps = sorted(set(rep.values()))
     want = {(a, b) for a in reps for b in reps if a < b and own[a] and len(own[a] & own[b]) >= 0.6 * len(own[a] | own[b])}
     assert got == want and all(own[i] == own[r] for i, r in rep.items())
+
+
+def by_place(text):
+    """Spots and pairs by a loop over places: any number of anchors is skipped, pairs count in stretches of twelve words."""
+    words = re.findall(r"[^\W_]+", (text or "").lower())
+    content = [i for i, w in enumerate(words) if w not in spots.ANCHORS]
+    after = lambda i: [j for j in content if j > i][:2]
+    heads = [i for i, w in enumerate(words) if w in spots.ANCHORS and len(after(i)) == 2]
+    out = {" ".join([words[i], *[words[j] for j in after(i)]]) for i in heads}
+    if not heads:
+        return out | ({" ".join(p) for p in zip(words, words[1:], strict=False)} or set(words))
+    start = 0
+    while start < len(words):
+        end = start
+        while end < len(words) and end not in heads:
+            end += 1
+        run = end
+        while run < len(words) and run in heads:
+            run += 1
+        if end - start >= 12:
+            whole = words[start:run] + ([words[j] for j in after(end)] if run > end else [])
+            out |= {" ".join(p) for p in zip(whole, whole[1:], strict=False)}
+        start = run
+    return out
+
+
+def test_signatures_depend_on_the_words_around_only(spark, table):
+    import random
+
+    rng = random.Random(7)
+    texts = ["the of and to in a is that it for on was x1 x2", "the " * 3000 + "x1 x2", "x1 x2 " + "of " * 30_000]
+    for _ in range(150):
+        share = rng.choice([0.02, 0.08, 0.3, 0.9])
+        texts.append(" ".join(rng.choice(["the", "of", "des"]) if rng.random() < share else f"w{rng.randrange(500)}" for _ in range(rng.randrange(80))))
+    hashed = F.array_sort(F.transform("w", lambda v: F.xxhash64(v).bitwiseAND(F.lit(spots.LOW))))
+    rows = spark.createDataFrame([(t, sorted(by_place(t))) for t in texts], "text string, w array<string>")
+    for r in rows.select("text", spots.signatures(F.col("text")).alias("s"), hashed.alias("h")).collect():
+        assert r["s"] == r["h"], r["text"][:300]
+
+
+def test_near_copies_on_either_side_of_one_spot_in_twelve_words_are_alike(spark):
+    base = [f"w{i}" for i in range(90)]
+    for i in range(5, 85, 13):
+        base[i] = "the"
+    more = base[:84] + ["the", "y1", "y2", "the", "y3", "y4"]
+    df = spark.createDataFrame([(" ".join(base), " ".join(more))], "a string, b string")
+    assert df.select(spots.likeness(spots.signatures(F.col("a")), spots.signatures(F.col("b")))).first()[0] > 0.5

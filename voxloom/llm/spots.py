@@ -22,9 +22,11 @@ ANCHORS = (
 ).split()
 _A = "(?:" + "|".join(sorted(set(ANCHORS))) + ")"
 _WORD = rf"(?!{_A} )([^ ]++)"
-_MORE = rf"(?: {_A}(?= )){{0,8}}+"
-#: An anchor, looking ahead over up to eight further anchors to each of two content words.
-SPOT = rf"(?<= )({_A})(?={_MORE} {_WORD}{_MORE} {_WORD} )"
+_MORE = rf"(?: {_A}(?= ))*+"
+#: A whole run of anchors, looking ahead over any number of further anchors to each of two content words; each run is read once.
+SPOT = rf"(?<= )(?={_A} )(?<! {_A} )({_A}(?= ){_MORE})(?= {_WORD}{_MORE} {_WORD} )"
+#: So many words without an anchor of a spot also count as pairs.
+STRETCH = 12
 LOW = (1 << 32) - 1
 
 
@@ -32,22 +34,39 @@ def _hashes(values: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(values, lambda v: F.xxhash64(v).bitwiseAND(F.lit(LOW)))))
 
 
+def _pairs(words: Column) -> Column:
+    """Each word with the next, or the only word."""
+    after = F.size(words) - 1
+    both = F.zip_with(F.slice(words, F.lit(1), after), F.slice(words, F.lit(2), after), lambda a, b: F.concat_ws(" ", a, b))
+    return F.when(after > 0, both).otherwise(words)
+
+
+def _counted(parts: Column) -> Column:
+    """Spots and pairs of a text cut into words outside spots' anchors (even places) and runs of anchors with their two words (odd ones)."""
+    runs = F.filter(parts, lambda _, i: i % 2 == 1)
+    spots = F.flatten(
+        F.transform(runs, lambda r: F.transform(F.split(F.substring_index(r, "\x02", 1), " "), lambda a: F.concat_ws(" ", a, F.substring_index(r, "\x02", -1))))
+    )
+    # twelve words and the spaces around them have 25 characters at least
+    wide = lambda e: (F.length(e) > 2 * STRETCH) & (F.length(e) - F.length(F.replace(e, F.lit(" "), F.lit(""))) > STRETCH)
+    alone = lambda e: (F.size(parts) == 1) & (F.trim(e) != "")
+    on = lambda i: F.translate(F.try_element_at(parts, i + 2), "\x02", " ")
+    stretches = F.transform(parts, lambda e, i: F.when((i % 2 == 0) & (wide(e) | alone(e)), F.split(F.concat_ws(" ", F.trim(e), on(i)), " ")))
+    return F.concat(spots, F.flatten(F.transform(F.filter(stretches, lambda w: w.isNotNull()), _pairs)))
+
+
 def signatures(text: Column) -> Column:
     """Sorted distinct 32-bit hashes of a text's spots, array<bigint>.
 
-    A text with fewer spots than a twelfth of its words (lists, foreign or broken texts) also counts each
-    pair of following words, or its only word; null and blank texts have none. Equal texts have
-    equal signatures.
+    Where twelve or more words follow each other without an anchor of a spot (lists, foreign or broken
+    passages), each pair of following words counts too, on through the spot behind them; so what counts at a
+    place depends on the words around it only. A text without spots counts its pairs, or its only
+    word; null and blank texts have none. Equal texts have equal signatures.
     """
     bare = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    marked = F.regexp_replace(F.concat(F.lit(" "), bare, F.lit(" ")), SPOT, "\x01$1 $2 $3\x01")
-    spots = F.filter(F.split(marked, "\x01"), lambda _, i: i % 2 == 1)
-    n_words = F.length(bare) - F.length(F.replace(bare, F.lit(" "), F.lit(""))) + 1
-    words = F.split(bare, " ")
-    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
-    plain = F.when(n_words > 1, F.slice(pairs, F.lit(1), F.size(words) - 1)).otherwise(words)
-    few = (F.size(spots) * 12 < n_words) & (F.length(bare) > 0)
-    return _hashes(F.when(few, F.concat(spots, plain)).otherwise(spots))
+    marked = F.regexp_replace(F.concat(F.lit(" "), bare, F.lit(" ")), SPOT, "\x01$1\x02$2 $3\x01")
+    # bound to a lambda's variable, the parts are computed once
+    return _hashes(F.transform(F.array(F.split(marked, "\x01")), _counted)[0])
 
 
 def fingerprint(signed: Column) -> Column:
