@@ -95,6 +95,15 @@ def test_notices(text, name, edits):
     assert [(n[0], n[4]) for n in licenses.Templates().notices("prose é before\n\n" + text + "\n\nprose after")] == [(name, edits)]
 
 
+def test_several_notices_of_a_block():
+    found = lambda text: [n[0] for n in licenses.Templates().notices(text)]
+    gpl = licenses.NOTICES["GPL-3.0"][1].replace("you can ", "you can\n").replace("General ", "General\n").replace("version ", "version\n")
+    assert found("SPDX-License-Identifier: MIT\n" + gpl) == ["MIT", "GPL-3.0"]
+    assert found(gpl + "\nSPDX-License-Identifier: MIT\n" + gpl) == ["GPL-3.0", "MIT", "GPL-3.0"]
+    names = ["MIT", "ISC", "GPL-2.0", "MPL-2.0", "CC-BY-4.0", "LGPL-3.0", "BSD-2-Clause", "Apache-2.0", "MIT"]
+    assert found(" and ".join(licenses.NOTICES[n][-1] for n in names)) == names
+
+
 def test_ordinary_use_of_the_word_is_no_notice():
     for text in ("The license plate was red.", "He lost his driving licence in May.", "licensed", "x" * 100_000):
         assert licenses.Templates().notices(text) == []

@@ -2,13 +2,14 @@
 
 A block around a cue word is compressed alone and with each template as raw zstandard dictionary.
 The more a template shortens it, the more of the template's wording the block repeats; the
-templates with the largest reductions are then compared word by word, and the best is confirmed if few
-words differ.
+templates that shorten it are then compared word by word, and confirmed where few words differ; what
+lies between confirmed notices is tried again.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -104,6 +105,12 @@ def wording(block: list[str], template: list[str]) -> tuple[int, int, int, list[
     return edits, first, end, changes[::-1]
 
 
+def between(taken: list[tuple[int, int]], low: int, high: int) -> list[tuple[int, int]]:
+    """The (start, end) of low to high that lie outside the taken ones."""
+    ends = [low, *(b for _, b in sorted(taken))]
+    return [(a, b) for a, b in zip(ends, [*(a for a, _ in sorted(taken)), high], strict=True) if a < b]
+
+
 class Templates:
     """Compressors with each notice as raw dictionary."""
 
@@ -122,34 +129,50 @@ class Templates:
         alone = len(self.plain.compress(data))
         return sorted(((1 - len(c.compress(data)) / alone, i) for i, c in enumerate(self.given)), key=lambda x: (-x[0], x[1]))
 
-    def _found(self, block: str, tries: int, most: float) -> list[tuple[str, int, int, float, int, str]]:
-        """Confirmed notices of a block, each over words that no better one took."""
-        spans = [m.span() for m in _word.finditer(block)]
-        own = [block[a:b].lower() for a, b in spans]
-        hits = []
-        for saved, i in self.ranked(block)[:tries]:
+    def _hits(self, block: str, own: list[str], most: float) -> list[tuple]:
+        """Every template that a block's words confirm at their best place, best first."""
+        hits, there = [], Counter(own)
+        for saved, i in self.ranked(block):
             name, _, template = self.all[i]
+            # a word of the template that the block lacks is an edit at least
+            if saved <= 0 or (Counter(template) - there).total() > most * len(template):
+                continue
             edits, first, end, changes = wording(own, template)
-            if saved > 0 and edits <= most * len(template):
+            if end > first and edits <= most * len(template):
                 hits.append((edits / len(template), -len(template), name, first, end, saved, edits, "; ".join(changes)))
-        taken: list[tuple[int, int]] = []
-        out = []
-        for _, _, name, first, end, saved, edits, changes in sorted(hits):
-            if end > first and all(end <= a or b <= first for a, b in taken):
-                taken.append((first, end))
-                out.append((name, spans[first][0], spans[end - 1][1], saved, edits, changes))
+        return sorted(hits)
+
+    def _found(self, block: str, most: float) -> list[tuple[str, int, int, float, int, str]]:
+        """Confirmed notices of a block, each over words that no better one took; what lies between them is tried until nothing is confirmed."""
+        spans = [m.span() for m in _word.finditer(block)]
+        own = [block[a:b].lower() for a, b in spans]
+        out, left = [], [(0, len(spans), block)]
+        while left:
+            low, high, part = left.pop()
+            taken: list[tuple[int, int]] = []
+            for _, _, name, first, end, saved, edits, changes in self._hits(part, own[low:high], most):
+                first, end = first + low, end + low
+                if all(end <= a or b <= first for a, b in taken):
+                    taken.append((first, end))
+                    out.append((name, spans[first][0], spans[end - 1][1], saved, edits, changes))
+            if taken:
+                for a, b in between(taken, low, high):
+                    left.append((a, b, block[spans[a][0] : spans[b - 1][1]]))
         return sorted(out, key=lambda x: x[1])
 
-    def notices(self, text: str | None, tries: int = 6, most: float = 0.15) -> list[tuple[str, int, int, float, int, str]]:
+    def notices(self, text: str | None, most: float = 0.15) -> list[tuple[str, int, int, float, int, str]]:
         """(license, start, end, size reduction, differing words, their list) of every notice in a text."""
         out = []
         for low, high in blocks(text):
+            own = []
             # the cue's own line or sentence compresses apart from the prose around it
             for m in re.finditer(r"[^\n]+?(?:[.!?](?=\s)|$|(?=\n))", text[low:high]):
                 if _cue.search(m[0]):
-                    out += [(n, low + m.start() + a, low + m.start() + b, s, e, c) for n, a, b, s, e, c in self.found(m[0], tries, most)]
-            if not out or out[-1][1] < low:
-                out += [(n, low + a, low + b, s, e, c) for n, a, b, s, e, c in self.found(text[low:high], tries, most)]
+                    own += [(n, low + m.start() + a, low + m.start() + b, s, e, c) for n, a, b, s, e, c in self.found(m[0], most)]
+            # notices over several lines, in what no line took
+            for start, end in between([(x[1], x[2]) for x in own], low, high):
+                own += [(n, start + a, start + b, s, e, c) for n, a, b, s, e, c in self.found(text[start:end], most)]
+            out += sorted(own, key=lambda x: x[1])
         return out
 
 
