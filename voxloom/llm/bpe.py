@@ -4,16 +4,22 @@ The automaton reads tokens; its state after a token is that token's own state. M
 compiled one after another by the merge gadget: the merge of u and v into w takes v's arc
 away from the state that follows u, and gives w an arc from every state that then had an arc
 for u, leading to a copy of the state that follows v at that time. A token string is accepted
-exactly if it is the encoding of the text it spells, so an encoder only has to find the one
-accepted path. Copies are not written out: an arc's fate follows from those of the arcs it was
-copied from, and is kept in a transition table once it is known.
+exactly if it is the encoding of the text it spells.
+
+All tables are flat. Copies of states are not written out, as there would be an arc for most pairs of
+tokens: a row of the arc table is filled in when a text first needs it, from the tables of the
+gadgets. Texts are read once, from left to right: a second table leads from a place in the text to the
+longest token that ends there and on to shorter ones, and the state of every prefix is the one of
+them that has an arc from the state where it begins. Each prefix has one state only, so nothing is undone.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import regex
@@ -22,111 +28,133 @@ from pyspark.sql import functions as F
 
 from voxloom.llm.store import trimmed
 
-NEVER, ALWAYS = -2, 1 << 60
+NEVER = 1 << 60
+#: Entries of the arc table, and of the text table besides its tree, that are kept.
+ROOM = 150_000
 
 
 class MergeAutomaton:
-    """tokens: text of each token; merges: (left, right) tokens in order; end: suffix of a word's last token."""
+    """vocab: number of each token; merges: (left, right) tokens in order; end: suffix of a word's last token.
+
+    symbols: the number below 1024 of each letter that tokens are written in (default: its code point).
+    """
 
-    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str = ""):
-        self.end, self.label = end, {i: t for t, i in vocab.items()}
-        self.parts: dict[int, tuple[int, int]] = {}
-        self.born: dict[int, int] = {}
-        self.rule: dict[tuple[int, int], int] = {}
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str = "", symbols: dict[str, int] | None = None):
+        self.symbols = symbols or {c: ord(c) for t in vocab for c in t}
+        n = max(vocab.values()) + 1
+        self.left, self.right, self.born, self.size = (array("i", [-1]) * n for _ in range(4))
+        self.rule: dict[int, int] = {}
+        unmade = bytearray(n)
         for rank, (a, b) in enumerate(merges):
             u, v, w = vocab[a], vocab[b], vocab[a + b]
-            if w in self.born or rank <= max(self.born.get(u, -1), self.born.get(v, -1)):
+            if self.born[w] >= 0 or rank <= max(self.born[u], self.born[v]):
                 raise ValueError(f"merge {rank} uses a token before it exists, or makes one again")
-            self.parts[w], self.born[w], self.rule[u, v] = (u, v), rank, rank
-        self.lost: dict[int, int] = {}
+            # a token that the merges never make of its own text has no arc from the start
+            unmade[w] = unmade[u] or unmade[v] or not self.there(u, v)
+            self.left[w], self.right[w], self.born[w], self.rule[u << 20 | v] = u, v, rank, rank
         self.arcs: dict[int, bool] = {}
-        self.unmade: set[int] = set()
-        # a token that the merges never make of its own text has no arc from the start
-        for w, (u, v) in self.parts.items():
-            if u in self.unmade or v in self.unmade or self.lost_at(u, v) != self.born[w]:
-                self.unmade.add(w)
-        # arcs by characters: each node is (character -> node, token that ends inside a word, token at its end)
-        self.start: list = [{}, -1, -1]
+        self._tree({t: i for t, i in vocab.items() if not unmade[i]}, end)
+
+    def _tree(self, vocab: dict[str, int], end: str) -> None:
+        """The text table: a tree of the tokens' letters; by node, (token, size) of those that end there, longest first, inside a word and at its end."""
+        self.step: dict[int, int] = {}
+        self.inner, self.final, self.fail = [()], [()], array("i", [0])
         for token, i in vocab.items():
-            single = len(token.removesuffix(end) if end else token) == 1
-            if i in self.unmade or (i not in self.born and not single):
+            bare = token.removesuffix(end) if end else token
+            if self.born[i] < 0 and len(bare) != 1:
                 continue  # a special token: no merge makes it
-            text, final = (token[: len(token) - len(end)], True) if end and token.endswith(end) else (token, not end)
-            node = self.start
-            for c in text:
-                node = node[0].setdefault(c, [{}, -1, -1])
-            if final:
-                node[2] = i
-            if not (end and final):
-                node[1] = i
-
-    def lost_at(self, x: int, y: int) -> int:
-        """The merge that takes y's arc from the state after x; NEVER if it was not there at all, ALWAYS if it stays."""
-        if (found := self.lost.get(x << 32 | y)) is not None:
-            return found
-        bx, by = self.born.get(x, -1), self.born.get(y, -1)
-        if by > bx:  # y's arc was made where its left part had one
-            there = self.lost_at(x, self.parts[y][0]) > by
-        elif bx > by:  # x's state is a copy of the one after its right part, before that merge took an arc away
-            there = self.lost_at(self.parts[x][1], y) >= bx
-        elif bx >= 0:
-            there = self.lost_at(self.parts[x][1], self.parts[y][0]) >= bx
-        else:
-            there = True
-        self.lost[x << 32 | y] = found = self.rule.get((x, y), ALWAYS) if there else NEVER
-        return found
+            node = 0
+            for c in bare:
+                key = node << 10 | self.symbols[c]
+                if key not in self.step:
+                    self.step[key] = len(self.inner)
+                    for table, x in ((self.inner, ()), (self.final, ()), (self.fail, 0)):
+                        table.append(x)
+                node = self.step[key]
+            self.size[i] = len(bare)
+            if not end or bare != token:
+                self.final[node] = ((i, len(bare)),)
+            if bare == token:
+                self.inner[node] = ((i, len(bare)),)
+        self.most = len(self.step) + ROOM
+        children: dict[int, list[tuple[int, int]]] = {}
+        for key, node in self.step.items():
+            children.setdefault(key >> 10, []).append((key & 1023, node))
+        level = [0]
+        while level:
+            after = []
+            for parent in level:
+                for c, node in children.pop(parent, ()):
+                    fail = self.fail[node] = self._fallen(self.fail[parent], c) if parent else 0
+                    for table in (self.inner, self.final):
+                        table[node] = table[node] + table[fail] if table[node] else table[fail]
+                    after.append(node)
+            level = after
+
+    def _fallen(self, node: int, symbol: int) -> int:
+        """The tree's node for the longest end of the text read so far, and one more symbol."""
+        while (to := self.step.get(node << 10 | symbol)) is None and node:
+            node = self.fail[node]
+        return to or 0
+
+    def there(self, x: int, y: int) -> bool:
+        """Whether the state after x had an arc for y when both were made: no gadget had taken away the arc it is a copy of."""
+        born, rule = self.born, self.rule
+        while True:
+            bx, by = born[x], born[y]
+            if by > bx:  # y's arc was made where its left part had one
+                y = self.left[y]
+                if rule.get(x << 20 | y, NEVER) <= by:
+                    return False
+            elif bx >= 0:  # x's state is a copy of the one after its right part, before that merge took an arc away
+                x, y = self.right[x], self.left[y] if by == bx else y
+                if rule.get(x << 20 | y, NEVER) < bx:
+                    return False
+            else:
+                return True
 
     def accepts(self, x: int, y: int) -> bool:
-        found = self.arcs.get(x << 32 | y)
-        if found is None:
-            if len(self.arcs) > 200_000:
-                self.arcs.clear()
-            if len(self.lost) > 200_000:
-                self.lost.clear()
-            found = self.arcs[x << 32 | y] = self.lost_at(x, y) == ALWAYS
+        """An entry of the arc table: whether y may follow x once all merges are compiled."""
+        if len(self.arcs) >= ROOM:
+            self.arcs.clear()
+        self.arcs[x << 20 | y] = found = (x << 20 | y) not in self.rule and self.there(x, y)
         return found
 
-    def tokens_at(self, word: str, at: int) -> list[tuple[int, int]]:
-        """(token, end) of every token that starts at a position, longest last."""
-        out, n = [], len(word)
-        node = self.start
-        for e in range(at, n):
-            node = node[0].get(word[e])
-            if node is None:
-                break
-            token = node[1] if e + 1 < n else node[2]
-            if token >= 0:
-                out.append((token, e + 1))
-        return out
-
-    def encode(self, word: str) -> list[int]:
-        """The word's only accepted path, tried with the longest arcs first. A prefix has one accepted path too, so a position that failed stays dead."""
-        n, arcs, path = len(word), self.arcs, []
-        ends, tries, dead, last = [0], [self.tokens_at(word, 0)], set(), -1
-        while tries:
-            options = tries[-1]
-            while options:
-                token, e = options.pop()
-                if e in dead:
-                    continue
-                if last >= 0:
-                    ok = arcs.get(last << 32 | token)
-                    if not (self.accepts(last, token) if ok is None else ok):
-                        continue
-                path.append(token)
-                if e == n:
-                    return path
-                ends.append(e)
-                tries.append(self.tokens_at(word, e))
-                last = token
-                break
+    def encode(self, word: str | bytes) -> list[int]:
+        """The tokens of a word, given as letters or symbols: arc labels on the way back from the state at its end."""
+        text: Iterable[int] = [self.symbols[c] for c in word] if isinstance(word, str) else word
+        n, step, arcs, ends = len(word), self.step, self.arcs, self.inner
+        states, node, e = [-1] * (n + 1), 0, 0
+        for c in text:
+            e += 1
+            key = node << 10 | c
+            if key in step:
+                node = step[key]
             else:
-                tries.pop()
-                dead.add(ends.pop())
-                if path:
-                    path.pop()
-                last = path[-1] if path else -1
-        raise ValueError("the word holds a character without a token")
+                node = self._fallen(node, c)
+                if len(step) < self.most:
+                    step[key] = node
+            if e == n:
+                ends = self.final
+            for token, size in ends[node]:
+                if size == e:
+                    states[e] = token
+                    break
+                key = states[e - size] << 20 | token
+                if key in arcs:
+                    if arcs[key]:
+                        states[e] = token
+                        break
+                elif self.accepts(states[e - size], token):
+                    states[e] = token
+                    break
+        path = []
+        while n:
+            if states[n] < 0:
+                raise ValueError("the word holds a character without a token")
+            path.append(states[n])
+            n -= self.size[states[n]]
+        return path[::-1]
 
 
 def byte_letters() -> dict[int, str]:
@@ -145,60 +173,79 @@ LATER = """558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2
 LOWER = {0x3A3: 0x3C3, 0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DC: 0x19B} | {c: c + 32 for c in range(0x10D50, 0x10D66)} | {c: c + 27 for c in range(0x16EA0, 0x16EB9)}
 
 
+def ranges(pattern: str, below: int, without: str = "") -> str:
+    """The characters below a code point that a one-character pattern matches, as the inside of a character class."""
+    every = "".join(map(chr, range(below)))
+    cut = regex.compile(f"(?V1)(?:[{pattern}--[{without}]])+" if without else f"(?:{pattern})+")
+    return "".join(f"\\U{m.start():08x}-\\U{m.end() - 1:08x}" for m in cut.finditer(every))
+
+
 class WordTokenizer(dict):
     """A tokenizer file whose texts are put in NFC and lower case and split by a pattern, each word encoded alone.
 
-    As a dict: word -> (ids as little-endian unsigned 32-bit integers, labels joined by spaces),
-    kept for at most `room` words.
+    As a dict: word -> ids as little-endian unsigned 32-bit integers. At most `room` words are kept here and
+    as many older ones beside, which come back when they are met again.
     """
 
-    def __init__(self, path: str, room: int = 300_000):
+    def __init__(self, path: str, room: int = 60_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model, self.room = spec["model"], room
+        model, self.room, self.older = spec["model"], room, {}
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.automaton = MergeAutomaton(model["vocab"], merges, model["end_of_word_suffix"] or "")
-        self.letters = {b: c for b, c in byte_letters().items()}
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.label = self.automaton.label | {i: t for t, i in self.special.items()}
+        letters = {c: b for b, c in byte_letters().items()}
+        self.automaton = MergeAutomaton(model["vocab"], merges, model["end_of_word_suffix"] or "", letters)
+        self.special = {t["content"]: t["id"].to_bytes(4, "little") for t in spec["added_tokens"]}
+        labels = model["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.label = [""] * (max(labels.values()) + 1)
+        for token, i in labels.items():
+            self.label[i] = token
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        pattern = pattern.replace(r"\s", r"\p{White_Space}")
-        self.words = regex.compile(pattern)
         later = "".join("-".join(f"\\U{int(x, 16):08x}" for x in r.split("-")) for r in LATER.split())
-        self.odd = regex.compile(f"[{later}{''.join(f'\\U{c:08x}' for c in LOWER)}]")
-        wide = pattern.replace(r"[^\p{White_Space}\p{L}\p{N}]", "[^WLN]")
-        wide = wide.replace(r"[\p{L}]", f"[\\p{{L}}--[{later}]]").replace(r"[\p{N}]", f"[\\p{{N}}--[{later}]]")
-        self.early_words = regex.compile(wide.replace("[^WLN]", f"[[^\\p{{White_Space}}\\p{{L}}\\p{{N}}]||[{later}]]"), regex.V1)
-
-    def __missing__(self, word: str) -> tuple[bytes, str]:
+        self.odd = [re.compile(f"[{''.join(f'\\U{c:08x}' for c in LOWER if c < below)}]") for below in (0x10000, 0x110000)]
+        self.high = re.compile("[\U00010000-\U0010ffff]")
+        # the pattern spelt out for texts of ASCII, of the basic plane, and of any characters: each word costs less the fewer ranges there are
+        self.words = []
+        for below in (0x80, 0x10000, 0x110000):
+            pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+            for name in (r"\p{L}", r"\p{N}"):
+                pattern = pattern.replace(name, ranges(name, below, later))
+            self.words.append(re.compile(pattern.replace(r"\s", ranges(r"\p{White_Space}", below))))
+
+    def __missing__(self, word: str) -> bytes:
         if len(self) >= self.room:
+            self.older = dict(self)
             self.clear()
-        ids = self.automaton.encode(word if word.isalpha() and word.isascii() else "".join([self.letters[b] for b in word.encode()]))
-        self[word] = out = (b"".join(i.to_bytes(4, "little") for i in ids), " ".join([self.label[i] for i in ids]))
-        return out
+        ids = self.older.get(word)
+        if ids is None:
+            ids = array("I", self.automaton.encode(word.encode())).tobytes()
+        self[word] = ids
+        return ids
+
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
 
-    def pieces(self, text: str) -> list[tuple[bytes, str]]:
+    def encode(self, text: str) -> bytes:
         parts = self.cut.split(text) if self.cut and any(s in text for s in self.special) else [text]
-        out = []
+        out: list[bytes] = []
         for part in parts:
             if part in self.special:
-                out.append((self.special[part].to_bytes(4, "little"), part))
+                out.append(self.special[part])
             elif part:
-                words = self.words
+                words = self.words[0]
                 if not part.isascii():
                     part = unicodedata.normalize("NFC", part)
-                    if self.odd.search(part):
-                        part, words = part.translate(LOWER), self.early_words
+                    high = self.high.search(part) is not None
+                    if self.odd[high].search(part):
+                        part = part.translate(LOWER)
+                    words = self.words[1 + high]
                 out += map(self.__getitem__, words.findall(part.lower()))
-        return out
-
-    def encode(self, text: str) -> bytes:
-        return b"".join([x[0] for x in self.pieces(text)])
+        return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
         """Labels of the arcs along the path, as the library joins them for a file without a decoder."""
-        return " ".join([self.label[i] for i in memoryview(ids).cast("I")])
+        label = self.label
+        return " ".join([label[i] for i in memoryview(ids).cast("I")]) if ids else ""
 
 
 _loaded: dict[str, WordTokenizer] = {}
@@ -218,9 +265,9 @@ def encoded(text: Column, path: str) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         t = loaded(path)
         for texts in batches:
-            found = [t.pieces(x or "") for x in texts]
-            yield pd.DataFrame({"ids": [b"".join([p[0] for p in x]) for x in found], "decoded": [" ".join([p[1] for p in x]) for x in found]})
-        t.clear()
+            ids = [t.encode(x or "") for x in texts]
+            yield pd.DataFrame({"ids": ids, "decoded": [t.decode(x) for x in ids]})
+        t.forget()
         trimmed()
 
     return run(text)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 
@@ -13,10 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; only where it is unset (tests), a temporary folder."""
+    """The cluster's spark.checkpoint.dir; where it is unset, a temporary folder in local mode (tests), else an error."""
     context = spark.sparkContext
     path = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", context.master):
+            raise ValueError("spark.checkpoint.dir is unset: executors need a folder that all of them share")
         path = tempfile.mkdtemp(prefix="voxloom-")
         context.setCheckpointDir(path)
     return path
@@ -38,9 +41,13 @@ def released(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Whole documents go to Python in batches of at most so many rows, which bounds a worker's memory."""
+def small_batches(spark: SparkSession, rows: int = 500, size: str = "4m") -> None:
+    """Whole documents go to Python in batches of at most so many rows and bytes (or one row), which bounds a worker's memory.
+
+    Spark reads these settings when a query is planned, so they stay for the session's later queries.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def trimmed() -> None:
