@@ -1,4 +1,7 @@
+import random
 import re
+import string
+import time
 
 from pyspark.sql import functions as F
 
@@ -60,3 +63,37 @@ def test_edges_and_redaction(spark, edges, table):
 def test_no_samples_flag_nothing(spark, table):
     empty = spark.createDataFrame([], "value string, random boolean")
     assert secrets.scanned(table([(1, "9fQ2xLz7Vb1Nc8Ym4Kd6Wp3Rt5Hs0Jg")]), secrets.train(empty)).first()["secrets"] == []
+
+
+def test_a_million_characters_in_one_run(spark, table):
+    ratios = model(spark)
+    long = ["x" * 1_000_000, "9fQ2xLz7Vb1Nc8Ym" * 60_000, "key9fQ2xLz7Vb1Nc8Ym4Kd6Wp3Rt5Hs0Jg " * 20_000]
+    began = time.perf_counter()
+    got = {r["doc_id"]: r["n"] for r in secrets.scanned(table(list(enumerate(long))), ratios).select("doc_id", F.size("secrets").alias("n")).collect()}
+    assert got == {0: 0, 1: 1, 2: 20_000} and time.perf_counter() - began < 60
+
+
+def test_many_spans_keep_their_places(spark, table):
+    text = "é " + " ".join(f"token=abcdefgh{i} AKIA{i:012d}" for i in range(2000))
+    row = table([(1, text)]).select(secrets.base_spans(F.col("text")).alias("s")).first()
+    assert [(s["start"], s["kind"], s["end"]) for s in row["s"]] == expected(text)
+
+
+def test_precision_and_recall_of_the_models(spark):
+    """Strings of known labels that the models have not seen: keys of four alphabets, and names, paths, numbers and words."""
+    rng = random.Random(8)
+    alphabets = [string.ascii_letters + string.digits, string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, string.ascii_letters + string.digits + "+/"]
+    keys = ["".join(rng.choices(rng.choice(alphabets), k=rng.randint(20, 44))) for _ in range(400)]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id")
+    parts = [r["value"] for r in secrets.ordinary_samples(docs.offset(300)).where(F.length("value") > 5).where("value NOT RLIKE '[0-9]'").select("value").distinct().orderBy("value").limit(3000).collect()]
+    glue = ["_", "-", "/", ""]
+    names = [g.join(w.capitalize() if g == "" else w.lower() for w in rng.sample(parts, 3)) for g in (rng.choice(glue) for _ in range(400))]
+    names += [f"build-2024-{i:02d}-{i:02d}/part-{i:05d}" for i in range(1, 100)]
+    rows = spark.createDataFrame([(v, True) for v in keys] + [(v, False) for v in names], "text string, random boolean")
+    ordinary = secrets.ordinary_samples(docs.limit(300))
+    found = secrets.scanned(rows, secrets.train(secrets.random_samples(spark).unionByName(ordinary)))
+    flagged = found.select("random", (F.size("secrets") > 0).alias("hit")).groupBy("random", "hit").count().collect()
+    n = {(r["random"], r["hit"]): r["count"] for r in flagged}
+    recall = n[True, True] / len(keys)
+    precision = n[True, True] / (n[True, True] + n.get((False, True), 0))
+    assert recall > 0.97 and precision > 0.97, (recall, precision)

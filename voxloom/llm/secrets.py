@@ -8,6 +8,7 @@ says that it is random. Everything runs as built-in column expressions; texts ar
 from __future__ import annotations
 
 import math
+import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +20,12 @@ HEX = "[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "markov")
 #: Runs that the models judge.
 RUN = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}"
-#: Symbols of the models: letters without case, digits, and one for all else.
-SYMBOLS = 37
+#: Symbols of the models: letters of either case, digits, and one for all else.
+SYMBOLS = 63
+#: Spans that are gathered before they are put by, so that many matches cost no more each than few.
+PART = 256
+#: Characters that stand in long rows as padding or rulers.
+FILLERS = string.ascii_letters + string.digits + "+/_-"
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
@@ -28,23 +33,22 @@ def _spans(text: Column, kind: int, pattern: str, likely: str | None = None) ->
     """Leftmost non-overlapping matches with their places in code points; texts without a match cost one search."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    step = lambda acc, x: F.struct(
-        (acc["at"] + F.length(x["gap"]) + F.length(x["value"])).alias("at"),
-        F.concat(
-            acc["spans"],
-            F.array(
-                F.struct(
-                    (acc["at"] + F.length(x["gap"])).alias("start"),
-                    F.lit(kind).alias("kind"),
-                    (acc["at"] + F.length(x["gap"]) + F.length(x["value"])).alias("end"),
-                    x["value"].alias("value"),
-                )
-            ),
-        ).alias("spans"),
-    )
+    none, parts = F.array().cast(SPAN), F.array().cast(f"array<{SPAN}>")
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["gap"])
+        end = start + F.length(x["value"])
+        span = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["value"].alias("value")))
+        full = F.size(acc["last"]) >= PART
+        return F.struct(
+            end.alias("at"),
+            F.when(full, span).otherwise(F.concat(acc["last"], span)).alias("last"),
+            F.when(full, F.concat(acc["done"], F.array(acc["last"]))).otherwise(acc["done"]).alias("done"),
+        )
+
     pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("value")))
-    none = F.array().cast(SPAN)
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
+    begin = F.struct(F.lit(0).alias("at"), none.alias("last"), parts.alias("done"))
+    found = F.aggregate(pairs, begin, step, lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["last"]))))
     return F.when(text.rlike(likely or pattern), found).otherwise(none)
 
 
@@ -55,14 +59,13 @@ def base_spans(text: Column) -> Column:
 
 
 def _symbols(value: Column) -> Column:
-    """array<int> of the models' symbols."""
-    low = F.lower(value)
+    """array<int> of the models' symbols, in one pass over the string."""
 
-    def symbol(i: Column) -> Column:
-        c = F.ascii(F.substring(low, i, F.lit(1)))
-        return F.when(c.between(97, 122), c - 97).when(c.between(48, 57), c - 22).otherwise(SYMBOLS - 1)
+    def symbol(c: Column) -> Column:
+        a = F.ascii(c)
+        return F.when(a.between(97, 122), a - 97).when(a.between(65, 90), a - 39).when(a.between(48, 57), a + 4).otherwise(SYMBOLS - 1)
 
-    return F.transform(F.sequence(F.lit(1), F.length(value)), symbol)
+    return F.transform(F.split(value, ""), symbol)
 
 
 def _transitions(value: Column) -> Column:
@@ -76,7 +79,7 @@ def train(samples: DataFrame, value: str = "value", label: str = "random") -> li
     """Log-likelihood ratio of each symbol pair, from labelled strings (label true or 1: random), with add-one counts.
 
     Rows with a null value or label are left out; without samples every ratio is 0. What
-    comes to the driver are at most 2 x 37 x 37 counts.
+    comes to the driver are at most 2 x 63 x 63 counts.
     """
     pair = F.explode(_transitions(F.col(f"`{value}`"))).alias("pair")
     labelled = samples.where(F.col(f"`{label}`").isNotNull() & F.col(f"`{value}`").isNotNull())
@@ -98,12 +101,22 @@ def random_samples(spark: SparkSession, n: int = 2000) -> DataFrame:
     return spark.range(n).select(F.explode(by_alphabet).alias("value"), F.lit(True).alias("random"))
 
 
-def ordinary_samples(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Runs of key characters in texts that no rule takes for a secret (value, random = false)."""
+def ordinary_samples(docs: DataFrame, text: str = "text", numbered: int = 2000) -> DataFrame:
+    """Strings that are no secrets (value, random = false).
+
+    Runs in texts that no rule takes for one, dates and counters as they stand in names (`numbered` days and
+    numbers), and fillers of one character.
+    """
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, ASSIGN, " "), ACCESS, " "), HEX, " ")
     runs = F.regexp_extract_all(clean, F.lit("[A-Za-z0-9+/_-]{4,}"), F.lit(0))
-    return docs.select(F.explode(runs).alias("value"), F.lit(False).alias("random"))
+    day = F.date_add(F.lit("2015-01-01").cast("date"), (F.col("id") * 3).cast("int"))
+    names = F.array(F.date_format(day, "yyyy-MM-dd"), F.date_format(day, "yyyyMMdd"), F.format_string("part-%05d", F.col("id")), F.format_string("_v%d/", F.col("id") % 100))
+    spark = docs.sparkSession
+    counters = spark.range(numbered).select(F.explode(names).alias("value"))
+    filler = F.explode(F.transform(F.split(F.lit(FILLERS), ""), lambda c: F.repeat(c, F.lit(32))))
+    known = counters.unionByName(spark.range(1).select(filler.alias("value")))
+    return docs.select(F.explode(runs).alias("value")).unionByName(known).withColumn("random", F.lit(False))
 
 
 def scanned(df: DataFrame, ratios: list[float], threshold: float = 12.0, text: str = "text", out: str = "secrets") -> DataFrame:
@@ -113,7 +126,7 @@ def scanned(df: DataFrame, ratios: list[float], threshold: float = 12.0, text: s
     touches it. Null and empty texts have no spans; a column of df named like `out` is replaced.
     """
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    table = F.array(*[F.lit(x) for x in ratios])
+    table = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
     score = lambda v: F.aggregate(_transitions(v), F.lit(0.0), lambda acc, p: acc + F.get(table, p))
     runs = F.filter(_spans(t, 3, RUN), lambda s: score(s["value"]) >= threshold)
     staged = df.withColumn("_base", base_spans(t)).withColumn("_runs", runs)
