@@ -56,7 +56,7 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Labelled documents that the quality model is fitted on, and that the toxicity index is built on: at most so many.
 QUALITY_SAMPLE = 3000
-TOXICITY_SAMPLE = 8000
+TOXICITY_SAMPLE = 3000
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,43 +1,41 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and word beginnings. Those that separate the labels in the sample (by the
-chi-square statistic, counted as a Spark job) make up the vocabulary; examples without any of
-them are no neighbours of anything. The index holds, for each term and block of examples, the
-postings and their largest weight: blocks are visited by the bound that these give, until
-no bound reaches the k-th best cosine, so the neighbours are exact.
+Every word of the examples is a term. A term's weight is its inverse document frequency times how
+far it separates the labels in the sample: the share of the chi-square statistic (counted as a Spark
+job) beyond what chance gives, over a floor that all terms keep, so that no text or example is
+left without terms. Examples lie in blocks; the index holds, for each block and term, the postings
+and their largest weight. Blocks whose bound, from the largest weights, is below the k-th best
+cosine are not read, so the neighbours are exact. Their votes become a probability by a
+logistic curve fitted to the examples' own votes, each without itself.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.neardup import forget, shingles
+from voxloom.llm.neardup import BANDS, ROWS, forget, permutations, shingles, signature
 from voxloom.llm.store import trimmed, written
 
-WORD = regex.compile(r"\p{L}+")
-
-
-def terms(word: str) -> list[str]:
-    """A lower-case word and its beginnings of three to seven letters."""
-    return [word] + [word[:k] + "*" for k in (3, 4, 5, 6, 7) if len(word) > k]
+WORD = re.compile(r"[^\W\d_]+")
+#: Chi-square that some of many terms reach by chance, and the weight that every term keeps (with the whole statistic: 1).
+CHANCE, FLOOR = 20.0, 0.002
+#: Examples of a block.
+BLOCK = 128
+#: Added to the votes as a clean one, so that far neighbours alone convince nobody.
+DOUBT = 0.05
 
 
 def counted(text: str | None) -> Counter:
-    """How often each term stands in a text."""
-    out: Counter = Counter()
-    for w, n in Counter(WORD.findall((text or "").lower())).items():
-        for t in terms(w):
-            out[t] += n
-    return out
+    """How often each lower-case word stands in a text."""
+    return Counter(WORD.findall((text or "").lower()))
 
 
 def term_labels(sample: DataFrame) -> DataFrame:
@@ -56,25 +54,46 @@ def term_labels(sample: DataFrame) -> DataFrame:
     return counts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def copies(signatures: np.ndarray, least: float = 0.7) -> list[int]:
+    """For each row the first one that is a copy or near copy: some band is equal, and so are `least` of all hashes."""
+    first: dict[bytes, list[int]] = {}
+    out = list(range(len(signatures)))
+    for i, row in enumerate(signatures):
+        bands = [bytes([b]) + row[b * ROWS : (b + 1) * ROWS].tobytes() for b in range(BANDS)]
+        near = {j for b in bands for j in first.get(b, ())}
+        for j in sorted(near):
+            if (signatures[j] == row).mean() >= least:
+                out[i] = j
+                break
+        else:
+            for b in bands:
+                first.setdefault(b, []).append(i)
+    return out
+
+
 def without_copies(sample: DataFrame) -> DataFrame:
-    """One row, that with the smallest id, of those whose smallest shingle hash is the same: copies would make any of their words look telling."""
+    """One row, that with the smallest id, of each group of copies or near copies: many of them would make any of their words look telling.
 
-    @F.pandas_udf("bigint")
-    def smallest(texts: pd.Series) -> pd.Series:
-        sets = [shingles(t) for t in texts]
-        forget()
-        return pd.Series([int(s[0].view(np.int64)) if len(s) else 0 for s in sets], dtype="int64")
+    Texts without words are copies of each other. What comes to the driver are signatures, 512 bytes a row of the bounded sample.
+    """
 
-    first = sample.groupBy(smallest("text").alias("key")).agg(F.min(F.struct("id", "text", "label")).alias("row"))
-    return first.select("row.*")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        a, b = permutations(BANDS * ROWS)
+        for rows in batches:
+            sets = [shingles(t) for t in rows["text"]]
+            yield pd.DataFrame({"id": rows["id"], "signature": [signature(s, a, b).tobytes() for s in sets]})
+        forget()
 
+    rows = sorted(sample.select("id", "text").mapInPandas(run, "id bigint, signature binary").collect(), key=lambda r: r["id"])
+    if not rows:
+        return sample
+    group = copies(np.stack([np.frombuffer(r["signature"], np.uint32) for r in rows]))
+    kept = [(r["id"],) for i, r in enumerate(rows) if group[i] == i]
+    return sample.join(F.broadcast(sample.sparkSession.createDataFrame(kept, "id bigint")), "id", "left_semi")
 
-def vocabulary(sample: DataFrame, size: int = 512, least: int = 5) -> dict[str, float]:
-    """term -> inverse document frequency of the `size` terms with the largest chi-square.
 
-    Terms in fewer than `least` documents, and those whose statistic is under 20 or under 0.4 % of
-    the sample, are left out.
-    """
+def term_weights(sample: DataFrame) -> dict[str, float]:
+    """term -> weight, for every word of the sample; nothing if it holds one label only."""
     counts = term_labels(sample)
     whole = counts.where("term IS NULL").first()
     if whole is None or not (whole["toxic"] and whole["clean"]):
@@ -82,121 +101,143 @@ def vocabulary(sample: DataFrame, size: int = 512, least: int = 5) -> dict[str,
     n1, n0 = whole["toxic"], whole["clean"]
     n, x, y = n1 + n0, F.col("toxic"), F.col("clean")
     chi = F.try_divide(n * (x * (n0 - y) - y * (n1 - x)).cast("double") ** 2, (x + y) * (n - x - y) * F.lit(float(n1) * n0))
-    best = counts.where(F.col("term").isNotNull() & (x + y >= least)).withColumn("chi", chi).where(F.col("chi") >= max(20.0, 0.004 * n))
-    rows = best.orderBy(F.desc("chi"), "term").limit(size).collect()
-    return {r["term"]: math.log(1 + n / (r["toxic"] + r["clean"])) for r in rows}
+    told = F.greatest(F.coalesce(chi, F.lit(0.0)) - CHANCE, F.lit(0.0)) / n
+    weight = F.log1p(F.lit(n) / (x + y)) * (told + FLOOR)
+    rows = counts.where("term IS NOT NULL").select("term", weight.alias("weight")).orderBy("term").collect()
+    return {r["term"]: r["weight"] for r in rows}
 
 
-def weighted(counts: dict[str, int], idf: dict[str, float]) -> dict[str, float]:
-    """The unit TF-IDF vector of a text."""
-    v = {t: (1 + math.log(n)) * idf[t] for t, n in counts.items() if t in idf}
-    norm = math.sqrt(sum(x * x for x in v.values()))
-    return {t: x / norm for t, x in v.items()}
-
-
-@dataclass
 class BlockMaxIndex:
-    """ids, labels: of the examples; postings[term][block]: (places, weights); top[term]: largest weight per block."""
+    """ids, labels: of the examples, in the order of their places; curve: of the votes' logistic (level, slope)."""
+
+    def __init__(self, weights: dict[str, float], block: int = BLOCK):
+        self.block, self.curve = block, (0.0, 0.0)
+        self.row = {t: i for i, t in enumerate(weights)}
+        self.weights = np.fromiter(weights.values(), np.float64, len(weights))
+        self.ids, self.labels = np.empty(0, np.int64), np.empty(0, np.int8)
 
-    idf: dict[str, float]
-    block: int = 64
-    ids: list[int] = field(default_factory=list)
-    labels: list[int] = field(default_factory=list)
-    postings: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]] = field(default_factory=dict)
-    top: dict[str, np.ndarray] = field(default_factory=dict)
+    def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, weights): the unit TF-IDF vector of a text's known words."""
+        known = [(r, n) for t, n in counts.items() if (r := self.row.get(t)) is not None]
+        if not known:
+            return np.empty(0, np.int64), np.empty(0)
+        rows, n = np.array(known, np.int64).T
+        x = (1 + np.log(n)) * self.weights[rows]
+        return rows, x / math.sqrt(x @ x)
 
-    def build(self, examples: list[tuple[int, int, dict[str, float]]]) -> BlockMaxIndex:
+    def build(self, examples: list[tuple[int, int, np.ndarray, np.ndarray]]) -> BlockMaxIndex:
+        """examples: (id, label, rows, weights), those without a known word left out."""
         # like examples lie in one block, which keeps the bounds tight
-        examples = sorted((e for e in examples if e[2]), key=lambda e: (max(e[2], key=lambda t: (e[2][t], t)), e[1], e[0]))
-        self.ids, self.labels = [e[0] for e in examples], [e[1] for e in examples]
-        blocks = -(-len(examples) // self.block)
-        lists: dict[str, dict[int, list[tuple[int, float]]]] = {}
-        for i, (_, _, v) in enumerate(examples):
-            for t, x in v.items():
-                lists.setdefault(t, {}).setdefault(i // self.block, []).append((i % self.block, x))
-        for t, by_block in lists.items():
-            self.postings[t] = {b: (np.array([p for p, _ in x]), np.array([w for _, w in x])) for b, x in by_block.items()}
-            self.top[t] = np.zeros(blocks)
-            for b, (_, w) in self.postings[t].items():
-                self.top[t][b] = w.max()
+        examples = sorted((e for e in examples if len(e[2])), key=lambda e: (int(e[2][np.argmax(e[3])]), e[1], e[0]))
+        terms, blocks = len(self.row), -(-len(examples) // self.block)
+        self.ids = np.array([e[0] for e in examples], np.int64)
+        self.labels = np.array([e[1] for e in examples], np.int8)
+        place = np.repeat(np.arange(len(examples)), [len(e[2]) for e in examples])
+        rows = np.concatenate([e[2] for e in examples] or [np.empty(0, np.int64)])
+        x = np.concatenate([e[3] for e in examples] or [np.empty(0)])
+        key = place // self.block * terms + rows
+        order = np.argsort(key, kind="stable")
+        self.place, self.x = place[order].astype(np.int32), x[order].astype(np.float32)
+        self.start = np.searchsorted(key[order], np.arange(blocks * terms + 1)).astype(np.int32)
+        self.top = np.zeros((terms, blocks), np.float32)
+        np.maximum.at(self.top, (rows, place // self.block), x.astype(np.float32))
         return self
 
-    def nearest(self, query: dict[str, float], k: int) -> list[tuple[float, int]]:
+    def _scores(self, blocks: np.ndarray, rows: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Cosines of all examples of some blocks; elsewhere 0."""
+        key = blocks[:, None] * len(self.row) + rows
+        start, size = self.start[key], self.start[key + 1] - self.start[key]
+        there = size > 0
+        start, size, x = start[there], size[there], np.broadcast_to(x, key.shape)[there]
+        at = np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if len(size) else start
+        return np.bincount(self.place[at], self.x[at] * np.repeat(x, size), len(self.ids))
+
+    def nearest(self, rows: np.ndarray, x: np.ndarray, k: int) -> list[tuple[float, int]]:
         """(cosine, place) of the k examples with the largest cosines above 0; ties by place."""
-        known = [(t, x) for t, x in query.items() if t in self.postings]
-        if not known:
+        if not (len(rows) and len(self.ids)):
             return []
-        bound = sum(x * self.top[t] for t, x in known)
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) == k and bound[b] < best[-1][0] - 1e-9):
-                break
-            score = np.zeros(self.block)
-            for t, x in known:
-                if b in self.postings[t]:
-                    places, weights = self.postings[t][b]
-                    score[places] += x * weights
-            hits = np.flatnonzero(score)
-            best = sorted([*best, *((float(score[p]), int(b) * self.block + int(p)) for p in hits)], key=lambda h: (-h[0], h[1]))[:k]
-        return best
-
-    def vote(self, query: dict[str, float], k: int, doubt: float = 0.05, toxic: float = 2.0) -> tuple[float, list[int]]:
-        """Share of toxic votes, with the voters' ids.
-
-        A vote weighs the squared cosine, a toxic one `toxic` times that, as toxic examples are the
-        rarer; `doubt` counts as clean, so that far neighbours alone convince nobody.
-        """
-        near = self.nearest(query, k)
-        weights = [s * s * (toxic if self.labels[i] else 1.0) for s, i in near]
-        share = sum(w for w, (_, i) in zip(weights, near, strict=True) if self.labels[i]) / (sum(weights) + doubt)
-        return share, [self.ids[i] for _, i in near]
-
-
-def trained(sample: DataFrame, size: int = 512) -> BlockMaxIndex:
-    """The index over a bounded sample (id, text, label); what comes to the driver are vectors over the vocabulary."""
+        bound = x @ self.top[rows]
+        order = np.argsort(-bound, kind="stable")
+        s = self._scores(order[:2], rows, x)
+        least = np.partition(s, -k)[-k] if len(s) > k else 0.0
+        rest = order[2:][bound[order[2:]] >= least - 1e-5]
+        if len(rest):
+            s += self._scores(rest, rows, x)
+            least = np.partition(s, -k)[-k] if len(s) > k else 0.0
+        hits = np.flatnonzero(s >= least if least > 0 else s > 0)
+        return sorted(((float(s[i]), int(i)) for i in hits), key=lambda h: (-h[0], h[1]))[:k]
+
+    def vote(self, rows: np.ndarray, x: np.ndarray, k: int, without: int | None = None) -> tuple[float, list[int]]:
+        """Share of toxic votes, each weighing the squared cosine, with the voters' places; `without` is an example that has no vote."""
+        near = [h for h in self.nearest(rows, x, k + (without is not None)) if without is None or self.ids[h[1]] != without][:k]
+        total = sum(s * s for s, _ in near) + DOUBT
+        return sum(s * s for s, i in near if self.labels[i]) / total, [int(self.ids[i]) for _, i in near]
+
+    def score(self, share: float) -> float:
+        """Probability of label 1 at a share of toxic votes."""
+        level, slope = self.curve
+        return 1 / (1 + math.exp(-max(-60.0, min(60.0, level + slope * share)))) if len(self.ids) else 0.0
+
+
+def logistic(share: np.ndarray, label: np.ndarray, ridge: float = 1.0) -> tuple[float, float]:
+    """(level, slope) of the most likely logistic curve, by Newton steps."""
+    a = np.stack([np.ones(len(share)), share], axis=1)
+    w, hold = np.zeros(2), np.diag([1e-6, ridge / 100])
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -60, 60)))
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + hold, a.T @ (label - p) - hold @ w)
+        w += step
+        if np.abs(step).max() < 1e-8:
+            break
+    return float(w[0]), float(w[1])
+
+
+def trained(sample: DataFrame, k: int = 10) -> BlockMaxIndex:
+    """The index over a bounded sample (id, text, label); what comes to the driver are its vectors, terms, and one vote a row."""
     sample = written(without_copies(sample))
-    idf = vocabulary(sample, size)
+    index = BlockMaxIndex(term_weights(sample))
+    if not index.row:
+        return index
+    context = sample.sparkSession.sparkContext
+    bare = context.broadcast(index)
+
+    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = bare.value
+        for rows in batches:
+            found = [at.vector(counted(t)) for t in rows["text"]]
+            yield pd.DataFrame({"id": rows["id"], "label": rows["label"], "rows": [r.tobytes() for r, _ in found], "x": [x.tobytes() for _, x in found]})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows = sample.select("id", "text", "label").mapInPandas(vectors, "id bigint, label int, rows binary, x binary").collect()
+    index.build([(r["id"], int(r["label"] > 0), np.frombuffer(r["rows"], np.int64), np.frombuffer(r["x"], np.float64)) for r in rows])
+    spread = context.broadcast(index)
+
+    def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = spread.value
         for rows in batches:
-            found = [weighted(counted(t), idf) for t in rows["text"]]
-            kept = [bool(v) for v in found]
-            yield pd.DataFrame(
-                {"id": rows["id"][kept], "label": rows["label"][kept], "terms": [list(v) for v in found if v], "weights": [list(v.values()) for v in found if v]}
-            )
+            shares = [at.vote(*at.vector(counted(t)), k, without=i)[0] for i, t in zip(rows["id"], rows["text"], strict=True)]
+            yield pd.DataFrame({"share": shares, "label": (rows["label"] > 0).astype("int")})
 
-    schema = "id bigint, label int, terms array<string>, weights array<double>"
-    rows = sample.select("id", "text", "label").mapInPandas(run, schema).collect() if idf else []
-    return BlockMaxIndex(idf).build([(r["id"], int(r["label"] > 0), dict(zip(r["terms"], r["weights"], strict=True))) for r in rows])
+    own = sample.select("id", "text", "label").mapInPandas(votes, "share double, label int").collect()
+    own = sorted((r["share"], r["label"]) for r in own)
+    index.curve = logistic(np.array([s for s, _ in own]), np.array([y for _, y in own], np.float64))
+    return index
 
 
 def scored(df: DataFrame, index: BlockMaxIndex, text: str = "text", k: int = 10, out: str = "toxicity") -> DataFrame:
-    """df with `out`: struct(score double, evidence array<bigint>): vote of the k nearest examples, and their ids.
+    """df with `out`: struct(score double, evidence array<bigint>): calibrated vote of the k nearest examples, and their ids.
 
-    Texts without a vocabulary term (null and empty ones too) score 0. A column of df named like `out` is replaced.
+    Null, empty and other texts without a known word have no neighbours and get the curve's level; with an
+    index of no examples (an empty sample, or one label only) every score is 0. Equal texts have equal
+    scores. A column of df named like `out` is replaced.
     """
-    spread = df.sparkSession.sparkContext.broadcast(index)  # at most the sample's rows, over `size` terms
+    spread = df.sparkSession.sparkContext.broadcast(index)  # bounded by the sample's texts
 
     @F.pandas_udf("score double, evidence array<bigint>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         at = spread.value
-        known: dict[str, list[str]] = {}
-
-        def vote(t: str | None) -> tuple[float, list[int]]:
-            counts: Counter = Counter()
-            for w in WORD.findall((t or "").lower()):
-                if w not in known:
-                    if len(known) > 120_000:
-                        known.clear()
-                    known[w] = [x for x in terms(w) if x in at.idf]
-                if known[w]:
-                    counts.update(known[w])
-            return at.vote(weighted(counts, at.idf), k) if counts else (0.0, [])
-
         for texts in batches:
-            found = [vote(t) for t in texts]
-            yield pd.DataFrame({"score": [s for s, _ in found], "evidence": [e for _, e in found]})
-        known.clear()
+            found = [at.vote(*at.vector(counted(t)), k) for t in texts]
+            yield pd.DataFrame({"score": [at.score(s) for s, _ in found], "evidence": [e for _, e in found]})
         trimmed()
 
     return df.withColumn(out, run(F.col(f"`{text}`")))
