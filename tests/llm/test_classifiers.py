@@ -30,25 +30,59 @@ def test_quality_on_the_held_out_fold(tables):
 
 def test_toxicity_on_the_held_out_fold(tables):
     docs, labels = tables
-    index = toxicity.trained(training_sample(docs, labels, "toxic", 8000))
+    index = toxicity.trained(training_sample(docs, labels, "toxic", 3000))
     s, y = held(toxicity.scored(docs, index).withColumn("s", F.col("toxicity.score")), labels, "toxic")
     assert ((s >= 0.5) == y).mean() > 0.93 and (s[y == 0] >= 0.5).mean() < 0.03
 
 
 def test_neighbours_are_exact():
     rng = np.random.default_rng(3)
-    idf = {f"t{i}": float(rng.uniform(0.5, 4)) for i in range(60)}
-    vector = lambda: toxicity.weighted({f"t{i}": int(rng.integers(1, 4)) for i in rng.choice(60, 6, replace=False)}, idf)
-    examples = [(i, int(rng.integers(2)), vector()) for i in range(500)]
-    index = toxicity.BlockMaxIndex(idf, block=16).build(examples)
-    own = {i: v for i, _, v in examples}
+    index = toxicity.BlockMaxIndex({f"t{i}": float(rng.uniform(0.5, 4)) for i in range(60)}, block=16)
+    vector = lambda: index.vector({f"t{i}": int(rng.integers(1, 4)) for i in rng.choice(60, 6, replace=False)})
+    examples = [(i, int(rng.integers(2)), *vector()) for i in range(500)]
+    index.build(examples)
+    own = {i: dict(zip(r.tolist(), x.tolist(), strict=True)) for i, _, r, x in examples}
     for _ in range(60):
-        q = vector()
-        want = sorted((sum(x * own[i].get(t, 0.0) for t, x in q.items()) for i in own), reverse=True)[:10]
-        got = [s for s, _ in index.nearest(q, 10)]
+        rows, x = vector()
+        want = sorted((sum(w * own[i].get(t, 0.0) for t, w in zip(rows.tolist(), x.tolist(), strict=True)) for i in own), reverse=True)[:10]
+        got = [s for s, _ in index.nearest(rows, x, 10)]
         assert np.allclose(got, [w for w in want if w > 0][: len(got)]) and len(got) == min(10, sum(w > 0 for w in want))
 
 
+def test_every_term_counts_and_copies_are_found(spark):
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600)]
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(rng.choice(words, 40)) + (" awful" if i % 5 == 0 else ""), int(i % 5 == 0)) for i in range(300)]
+    rows += [(1000, "ten rare things that stand nowhere else at all here", 1), (1001, "the rarest", 0), (1002, "", 0)]
+    index = toxicity.trained(spark.createDataFrame(rows, "id bigint, text string, label int"))
+    assert set(index.row) == {w for _, t, _ in rows for w in toxicity.counted(t)}
+    for key, text, _ in rows[::17] + rows[300:302]:
+        score, place = index.nearest(*index.vector(toxicity.counted(text)), 10)[0]
+        assert score == pytest.approx(1, abs=1e-5) and index.ids[place] == key
+    score = lambda t: index.score(index.vote(*index.vector(toxicity.counted(t)), 10)[0])
+    assert score("such an awful wordab") > 0.5 > score("wordab wordac wordad wordba") and 0 < score("") < 0.5
+
+
+def test_near_copies_count_once(spark):
+    long = " ".join(f"w{i}" for i in range(300))
+    rows = [(5, long, 1), (3, long.replace("w7 ", "x "), 1), (4, "quite another text with some words of its own", 0), (9, long, 0)]
+    kept = toxicity.without_copies(spark.createDataFrame(rows, "id bigint, text string, label int")).collect()
+    assert {r["id"] for r in kept} == {3, 4}
+
+
+def test_scores_are_calibrated(tables):
+    docs, labels = tables
+    index = toxicity.trained(training_sample(docs, labels, "toxic", 3000))
+    s, y = held(toxicity.scored(docs, index).withColumn("s", F.col("toxicity.score")), labels, "toxic")
+    assert abs(s.mean() - y.mean()) < 0.05 and ((s - y) ** 2).mean() < 0.5 * y.mean() * (1 - y.mean())
+
+
+def test_grams_cover_whole_tokens():
+    token = b"a" * 100
+    assert quality.features(token + b"xyz")[1:] != quality.features(token + b"qrs")[1:]
+    assert len(quality.features(b"x" * 200_000)) == 3 * 200_000 + 1
+
+
 def test_edges(spark, edges, tables):
     docs, labels = tables
     nothing = training_sample(docs.where("false"), labels, "toxic", 10)

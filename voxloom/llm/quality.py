@@ -25,7 +25,7 @@ REPEAT = zlib.crc32(b"\x00repeat") % BUCKETS
 
 def features(token: bytes, low: int = 2, high: int = 4) -> list[int]:
     """Buckets of a token and of its character n-grams (as bytes, with marks at both ends)."""
-    marked = b"<" + token[:64] + b">"
+    marked = b"<" + token + b">"
     grams = [zlib.crc32(marked[i : i + n]) % BUCKETS for n in range(low, high + 1) for i in range(len(marked) - n + 1)]
     return [zlib.crc32(b"\x01" + token) % BUCKETS, *grams]
 
