@@ -128,6 +128,98 @@ def test_one_slot_has_one_winner_and_no_repeat(spark):
     assert all((r["user"], r["case"]) != (1, 7) for r in won) and len({r["case"] for r in won}) == len(won)
 
 
+def one_after_another(requests, cases, taken):
+    left, seen, out = {c: s for c, _, _, s in cases}, set(taken), set()
+    order = [c for c, *_ in sorted(cases, key=lambda c: (-c[1], c[2], c[0]))]
+    for user, _ in sorted(requests, key=lambda r: r[1]):
+        for c in order:
+            if left[c] > 0 and (user, c) not in seen:
+                left[c] -= 1
+                seen.add((user, c))
+                out.add((user, c))
+                break
+    return out
+
+
+@pytest.mark.parametrize("seed, forbid", [(1, 0.0), (2, 0.05), (3, 0.6)])
+def test_claims_against_a_plain_loop(spark, seed, forbid):
+    """Without forbidden pairs as one after another; with them nobody waits who could be served, and no pair is wrong."""
+    import random
+
+    rng = random.Random(seed)
+    requests = [(u, rng.randrange(10**6) * 100 + u) for u in range(40)]
+    cases = [(c, rng.randrange(4), rng.randrange(5), rng.choice([0, 1, 2])) for c in range(60 if seed < 3 else 25)]
+    taken = [(u, c) for u, _ in requests for c, *_ in cases if rng.random() < forbid]
+    won = {(r["user"], r["case"]) for r in allocate(spark, requests, cases, taken)}
+    want = one_after_another(requests, cases, taken)
+    if not forbid:
+        assert won == want
+    slots = {c: s for c, _, _, s in cases}
+    for _, c in won:
+        slots[c] -= 1
+    served = {u for u, _ in won}
+    assert len(served) == len(won) and min(slots.values()) >= 0 and not won & set(taken)
+    waiting = {u for u, _ in requests} - served
+    assert not any(slots[c] > 0 and (u, c) not in set(taken) for u in waiting for c in slots)
+
+
+def test_one_who_had_the_first_cases_gets_the_next(spark):
+    cases = [(c, 0, c, 1) for c in range(30)]
+    assert [r["case"] for r in allocate(spark, [(1, 1)], cases, [(1, c) for c in range(12)])] == [12]
+
+
+def test_slots_match_a_loop(spark):
+    import random
+
+    rng = random.Random(5)
+    events = ["claim", "claim", "claim_duplicate", "release", "complete", "retire"]
+    log = [(rng.randrange(25), i, rng.choices(events, [6, 6, 6, 3, 3, 1])[0]) for i in range(700)]
+    want = {}
+    for c, _, e in log:
+        wanted, active, approved, retired, refused = want.get(c, (1, 0, 0, False, 0))
+        if e == "claim":
+            if not retired and active + approved < wanted:
+                active += 1
+            else:
+                refused += 1
+        elif e == "claim_duplicate":
+            if not retired and (wanted, approved, active) == (1, 1, 0):
+                wanted, active = 2, 1
+            else:
+                refused += 1
+        elif e in ("release", "complete"):
+            active, approved = max(0, active - 1), approved + (e == "complete")
+        else:
+            retired = True
+        want[c] = (wanted, active, approved, retired, refused)
+    df = spark.createDataFrame(log, "c int, pos int, event string").repartition(3)
+    assert {r[0]: tuple(r[1:]) for r in queue.slot_counters(df, "c", "event", ["pos"]).collect()} == want
+
+
+def test_stamps(spark):
+    steps = [("assign", 10), ("download", 20), ("approve", 25), ("submit", 30), ("reject", 40), ("rework", 50), ("download", 60)]
+    log = spark.createDataFrame([(1, i, e, float(t)) for i, (e, t) in enumerate(steps)], "k int, pos int, event string, at double")
+    r = queue.stamped_log(log.where("pos < 5"), "k", "event", "at", ["pos"], lease=100.0).first()
+    assert (r["state"], r["attempt"], r["deadline"], r["downloaded_at"], r["submitted_at"], r["decided_at"]) == ("rejected", 1, 110.0, 20.0, 30.0, 40.0)
+    r = queue.stamped_log(log, "k", "event", "at", ["pos"], lease=100.0).first()
+    assert (r["state"], r["attempt"], r["deadline"], r["downloaded_at"], r["submitted_at"], r["decided_at"], r["reworked_at"]) == ("downloaded", 2, 150.0, 60.0, None, 40.0, 50.0)
+
+
+def test_first_fitting_verdict_decides(spark):
+    asked = [(1, 5, 1, "reject", " "), (1, 6, 2, "approve", None), (1, 7, 3, "reject", "late"), (2, 1, 1, "approve", None), (3, 1, 1, "nonsense", "x")]
+    requests = spark.createDataFrame(asked, "k int, at int, reviewer int, verdict string, comment string")
+    states = spark.createDataFrame([(1, "submitted"), (2, "assigned"), (3, "submitted")], "k int, state string")
+    got = {(r["k"], r["reviewer"]): (r["outcome"], r["event"], r["slot_event"]) for r in queue.judged(requests, states, "k").collect()}
+    assert got == {(1, 1): ("comment_required", None, None), (1, 2): ("approved", "approve", "complete"), (1, 3): ("bad_state", None, None), (2, 1): ("bad_state", None, None), (3, 1): ("bad_state", None, None)}
+
+
+def test_segments_are_checked(spark):
+    schema = "name string, label int"
+    found = lambda rows: {tuple(r) for r in policy.segment_problems(spark.createDataFrame(rows, schema)).collect()}
+    assert found([("a", 1), ("b", 2)]) == set() and found([]) == {("no_segments", "")}
+    assert found([("a", 1), ("a", 3), ("b", 0), ("c", 3)]) == {("duplicate_name", "a"), ("duplicate_label", "3"), ("background_label", "b")}
+
+
 def test_replica_names(spark):
     rows = spark.createDataFrame([("c", 3), ("c", 1), ("d", 2)], "case string, t int")
     assert {r["replica_name"] for r in queue.replica_names(rows, "case", F.col("case"), ["t"]).collect()} == {"c", "c__r2", "d"}

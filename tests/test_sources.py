@@ -1,9 +1,10 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from voxloom.functions import text
-from voxloom.sources import listing
+from voxloom.sources import listing, volumes
 from voxloom.streaming import log_reader
 
 
@@ -52,19 +53,25 @@ def test_batch_log(spark, tmp_path):
     assert [(r["t"], r["event"]) for r in listing.read_log(spark, str(tmp_path)).orderBy("pos").collect()] == [(1.0, "run_start"), (2.0, "strange")]
 
 
-def test_growing_log_reader(tmp_path):
+def test_growing_log_reader(tmp_path, monkeypatch):
     p = tmp_path / "run.jsonl"
     p.write_text('{"t": 1, "event": "epoch"}\n{"t": 2, "eve')
     reader = log_reader.LogReader(str(tmp_path / "*.jsonl"))
-    rows, at = reader.read(reader.initialOffset())
-    assert [r[2] for r in rows] == [1.0]
+    times = lambda start, end: [r[2] for part in reader.partitions(start, end) for r in reader.read(part)]
+    first, at = reader.initialOffset(), reader.latestOffset()
+    assert times(first, at) == [1.0]
     with p.open("a") as f:
         f.write('nt": "epoch"}\nnonsense\n{"t": 3, "event": "log"}\n')
-    rows, after = reader.read(at)
-    assert [r[2] for r in rows] == [2.0, 3.0]
-    assert [r[2] for r in reader.readBetweenOffsets(at, after)] == [2.0, 3.0]
+    after = reader.latestOffset()
+    assert times(at, after) == [2.0, 3.0]
+    monkeypatch.setattr(log_reader, "CHUNK", 7)
+    assert times(at, after) == [2.0, 3.0] and times(first, after) == [1.0, 2.0, 3.0] and times(after, after) == []
     p.write_text('{"t": 9, "event": "run_start"}\n')
-    assert [r[2] for r in reader.read(after)[0]] == [9.0]
+    assert times(after, reader.latestOffset()) == [9.0]
+    (tmp_path / "two.jsonl").write_text('{"t": 4}\n')
+    assert len(reader.partitions({}, reader.latestOffset())) == 2
+    p.unlink()
+    assert times(first, after) == []
 
 
 def test_growing_log_as_stream(spark, tmp_path):
@@ -108,3 +115,23 @@ def test_label_sets_and_reports(spark, tmp_path):
     for _ in range(2):
         reports.append_log(events, str(tmp_path / "log"))
     assert listing.read_log(spark, str(tmp_path / "log")).count() == 2
+
+
+def test_masks_become_volumes_and_come_back(spark, tmp_path):
+    from voxloom.operators import voxels
+
+    rows = spark.createDataFrame([("c1", 1, 0, 0, 0), ("c1", 1, 3, 2, 1), ("c1", 7, 1, 1, 1), ("c2", 2, 2, 2, 2)], "case string, label int, x int, y int, z int")
+    masks = voxels.masks_of(rows, "case", [1, 2])
+    grid = spark.createDataFrame([(c, [4, 3, 3], [0.5, 0.5, 2.0], [0.5, 0.0, 0.0, 9.0, 0.0, 0.5, 0.0, 8.0, 0.0, 0.0, 2.0, 7.0]) for c in ("c1", "c2")], "case string, size array<int>, spacing array<double>, affine array<double>")
+    volumes.register(spark)
+    for _ in range(2):
+        volumes.volumes(masks, grid, "case").write.format("whole_files").mode("append").option("path", str(tmp_path / "out")).save()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(tmp_path / "out"))
+    names = {"/".join(r["path"].split("/")[-2:]) for r in files.collect()}
+    assert names == {"c1/1.nii.gz", "c1/2.nii.gz", "c2/1.nii.gz", "c2/2.nii.gz"}
+    found = {("/".join(r["path"].split("/")[-2:]), r["label"], r["x"], r["y"], r["z"]) for r in volumes.label_rows(files).collect()}
+    assert found == {("c1/1.nii.gz", 1, 0, 0, 0), ("c1/1.nii.gz", 1, 3, 2, 1), ("c2/2.nii.gz", 1, 2, 2, 2)}
+    g = volumes.geometry(files).first()
+    assert (list(g["size"]), list(g["spacing"]), list(g["origin"])) == ([4, 3, 3], [0.5, 0.5, 2.0], [9.0, 8.0, 7.0])
+    with pytest.raises(Exception, match="leads out"):
+        spark.createDataFrame([("../x", b"")], "name string, content binary").write.format("whole_files").mode("append").option("path", str(tmp_path / "out")).save()

@@ -109,3 +109,49 @@ def test_signed_rank_small_or_equal(spark):
     d = [i - i * i % 5 for i in range(9) if i != i * i % 5]
     ranks = {m: np.mean([k + 1 for k, v in enumerate(sorted(map(abs, d))) if v == m]) for m in set(map(abs, d))}
     assert got["c"]["w"] == min(sum(ranks[abs(v)] for v in d if v > 0), sum(ranks[abs(v)] for v in d if v < 0))
+
+
+def test_signed_rank_chance(spark):
+    """Against all signs written out, against the approximation, and through the operator."""
+    import itertools
+
+    for n in (6, 7, 9):
+        sums = [sum(r for r, s in zip(range(1, n + 1), signs, strict=True) if s) for signs in itertools.product((0, 1), repeat=n)]
+        for w in range(n * (n + 1) // 4):
+            want = min(1.0, 2 * sum(x <= w for x in sums) / 2**n)
+            assert voxels.signed_rank_chance(n, w, 0, True) == pytest.approx(want)
+    assert voxels.signed_rank_chance(50, 400.0, 0, True) == pytest.approx(voxels.signed_rank_chance(50, 400.0, 0, False), abs=0.01)
+    rows = [("a", float(i), 0.0) for i in range(1, 9)] + [("b", float(i % 3), 1.0) for i in range(30)] + [("c", 1.0, 0.0)] * 5 + [("d", 1.0, 1.0)] * 9 + [("a", None, 1.0)]
+    got = {r["k"]: (r["n"], r["w"], r["p"]) for r in voxels.signed_rank(spark.createDataFrame(rows, "k string, x double, y double"), ["k"], "x", "y").collect()}
+    assert got["a"] == (8, 0.0, pytest.approx(2 / 2**8)) and got["c"] == (5, None, None) and got["d"] == (9, None, None)
+    assert got["b"][2] == pytest.approx(1.0)
+
+
+def test_absent_structures_and_summaries(spark):
+    schema = "case int, label int, x int, y int, z int"
+    a = spark.createDataFrame([(1, 1, 0, 0, 0), (1, 1, 1, 0, 0), (2, 2, 0, 0, 0)], schema)
+    b = spark.createDataFrame([(1, 1, 0, 0, 0), (2, 1, 5, 5, 5)], schema)
+    scores = voxels.score_cases(a, b, ["case"], (1.0, 1.0, 1.0), labels=[1, 2, 3])
+    got = {(r["case"], r["label"]): (r["voxels_a"], r["voxels_b"], r["dice"]) for r in scores.collect()}
+    assert got == {(1, 1): (2, 1, pytest.approx(2 / 3)), (1, 2): (0, 0, None), (1, 3): (0, 0, None), (2, 1): (0, 1, 0.0), (2, 2): (1, 0, 0.0), (2, 3): (0, 0, None)}
+    per = {r["case"]: (r["mean_dice"], r["n_present"], r["n_classes"]) for r in voxels.case_summary(scores, ["case"]).collect()}
+    assert per == {1: (pytest.approx(2 / 3), 1, 3), 2: (0.0, 1, 3)}
+    report = [(r["label"], r["n_cases_present"], r["n_cases"]) for r in voxels.structure_report(scores).orderBy("place").collect()]
+    assert report == [(2, 0, 2), (1, 2, 2), (3, 0, 2)]
+    sizes = lambda x: spark.createDataFrame([(1, [4, 4, x])], "case int, size array<int>")
+    assert voxels.shape_mismatches(sizes(4), sizes(5), "case").count() == 1 and voxels.shape_mismatches(sizes(4), sizes(4), "case").count() == 0
+
+
+def test_masks_take_the_corrected_affine(spark):
+    import numpy as np
+
+    tilt = np.array([[0.9, 0.02, 0.0], [-0.01, 0.8, 0.0], [0.0, 0.0, 2.0]])
+    rows = [(1, np.column_stack([tilt, [5.0, 6.0, 7.0]]).ravel().tolist()), (2, [1.0, 0.0, 0.0, 1.0, 0.0, 1.0, 0.0, 2.0, 0.0, 0.0, 1.0, 3.0])]
+    volumes = spark.createDataFrame(rows, "case int, affine array<double>")
+    masks = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "case int, mask string")
+    got = {(r["case"], r["mask"]): (r["corrected"], np.array(r["affine"]).reshape(3, 4)) for r in voxels.corrected_masks(masks, volumes, "case").collect()}
+    assert got[1, "a"][0] and not got[2, "a"][0] and (got[1, "a"][1] == got[1, "b"][1]).all()
+    m = got[1, "a"][1]
+    unit = m[:, :3] / np.linalg.norm(m[:, :3], axis=0)
+    assert np.abs(unit.T @ unit - np.eye(3)).max() < 1e-9 and m[:, 3].tolist() == [5.0, 6.0, 7.0]
+    assert np.allclose(np.linalg.norm(m[:, :3], axis=0), np.linalg.norm(tilt, axis=0))

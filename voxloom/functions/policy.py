@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NORMAL, GOLD, DUPLICATE = "normal", "gold", "duplicate"
@@ -12,7 +12,9 @@ NORMAL, GOLD, DUPLICATE = "normal", "gold", "duplicate"
 
 @dataclass(frozen=True)
 class SamplingPolicy:
-    """The project's knobs; defaults are those of the annotation protocol."""
+    """The project's knobs."""
+
+    # Defaults of the annotation protocol.
 
     training_gate_cases: int = 5
     base_review_rate: float = 0.20
@@ -98,6 +100,7 @@ def duplicatable(wanted: Column, active: Column, approved: Column, retired: Colu
     return ~retired & (wanted == 1) & (approved == 1) & (active == 0)
 
 
+# Limits of the submission rules.
 STRAY_VOXELS = 8
 TOLERANCE_MM = 1e-3
 PROBLEM = "array<struct<level:string,code:string,subject:string>>"
@@ -143,13 +146,36 @@ def blocking(problems: Column) -> Column:
     return F.filter(problems, lambda x: x["level"] == "error")
 
 
+def summary(problems: Column) -> Column:
+    """A line for each problem."""
+    lines = F.transform(problems, lambda x: F.concat(F.lit("- "), x["code"], F.lit(": "), x["subject"]))
+    return F.when(F.size(problems) > 0, F.array_join(lines, "\n")).otherwise("No problems found.")
+
+
+def _fixed(x: Column, digits: int) -> Column:
+    """A number with so many decimals, halves away from zero by its decimal digits (of which six count)."""
+    return F.round(x.cast("decimal(18,6)"), digits).cast(f"decimal(18,{digits})").cast("string")
+
+
+def segment_problems(df: DataFrame, name: str = "name", label: str = "label") -> DataFrame:
+    """(problem, subject) of a project's segments: none at all, labels below 1, names or labels that several have.
+
+    Settings hold a few segments.
+    """
+    rows = df.select(F.col(name).alias("name"), F.col(label).cast("int").alias("label"))
+    none = rows.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("no_segments").alias("problem"), F.lit("").alias("subject"))
+    low = rows.where("label IS NULL OR label < 1").select(F.lit("background_label"), F.coalesce("name", F.lit("")))
+    twice = lambda c, what: rows.groupBy(c).agg(F.count("*").alias("n")).where("n > 1").select(F.lit(what), F.col(c).cast("string"))
+    return none.union(low).union(twice("name", "duplicate_name")).union(twice("label", "duplicate_label"))
+
+
 def review_flags(kind: Column, mean_dice: Column, seconds: Column, warnings: Column, p: SamplingPolicy = SamplingPolicy()) -> Column:
     """Reasons to look at a submission: low agreement, little time, and its warnings."""
     gold = kind == GOLD
     low = mean_dice < F.when(gold, p.gold_dice_flag).otherwise(p.duplicate_dice_flag)
     against = F.when(gold, "the reference").otherwise("the other annotator")
     reasons = F.array(
-        F.when(low, F.concat(F.lit("mean Dice "), F.format_string("%.2f", mean_dice), F.lit(" against "), against)),
-        F.when((seconds > 0) & (seconds < 60), F.concat(F.lit("only "), F.format_string("%.0f", seconds), F.lit(" s spent on the case"))),
+        F.when(low, F.concat(F.lit("mean Dice "), _fixed(mean_dice, 2), F.lit(" against "), against)),
+        F.when((seconds > 0) & (seconds < 60), F.concat(F.lit("only "), _fixed(seconds, 0), F.lit(" s spent on the case"))),
     )
     return F.concat(F.filter(reasons, lambda x: x.isNotNull()), F.coalesce(warnings, F.array().cast("array<string>")))

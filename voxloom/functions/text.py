@@ -78,9 +78,25 @@ def checksum_matches(expected: Column, actual: Column) -> Column:
 
 def name_hash(name: Column) -> Column:
     """32-bit rolling hash (times 31) over a name's characters, which seeds its colour."""
-    codes = F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.ascii(F.substring(name, i, F.lit(1))).cast("bigint"))
-    rolled = F.aggregate(codes, F.lit(0).cast("bigint"), lambda h, c: (h * 31 + c).bitwiseAND(F.lit(0xFFFFFFFF)))
-    return F.when(F.length(name) > 0, rolled).otherwise(F.lit(0).cast("bigint"))
+    codes = F.transform(F.split(name, ""), F.ascii)
+    return F.aggregate(codes, F.lit(0).cast("bigint"), lambda h, c: (h * 31 + c).bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
+def name_colour(name: Column) -> Column:
+    """struct(red, green, blue) from 0 to 1: the hash gives hue, saturation (0.55 and more) and value (0.7 and more)."""
+    h = name_hash(name)
+    hue, s, v = (h % 360) / 60.0, F.lit(0.55) + (F.shiftright(h, 9) % 40) / 100.0, F.lit(0.70) + (F.shiftright(h, 17) % 30) / 100.0
+    i = F.floor(hue) % 6
+    f = hue - F.floor(hue)
+    p, q, t = v * (1 - s), v * (1 - f * s), v * (1 - (1 - f) * s)
+    sector = [(v, t, p), (q, v, p), (p, v, t), (p, q, v), (t, p, v), (v, p, q)]
+    pick = lambda k: F.get(F.array(*[x[k] for x in sector]), i.cast("int"))
+    return F.struct(*[pick(k).alias(n) for k, n in enumerate(("red", "green", "blue"))])
+
+
+def shell_quoted(path: Column) -> Column:
+    """A path as one word for a remote shell."""
+    return F.concat(F.lit("'"), F.replace(path, F.lit("'"), F.lit("'\\''")), F.lit("'"))
 
 
 def dice_band(value: Column) -> Column:

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from voxloom.functions.policy import DUPLICATE, GOLD, NORMAL, blocking, duplicatable, review_needed, servable
+from voxloom.operators.ranks import placed
+from voxloom.session import kept
+
 # Legal transitions (state, event, next state) of an assignment.
 TRANSITIONS = [
     ("assigned", "download", "downloaded"),
@@ -125,33 +129,169 @@ def duplicate_partner(df: DataFrame, case: str, user: str, key: str, order: list
     return known.select(key, partner.alias("partner"))
 
 
-def allocate(requests: DataFrame, cases: DataFrame, taken: DataFrame, rounds: int = 8) -> DataFrame:
+def allocate(requests: DataFrame, cases: DataFrame, taken: DataFrame) -> DataFrame:
     """(user, case): requests matched to free slots of cases, by priority, without double booking.
 
     requests: user, arrived (unique); cases: case, priority, created, slots (free ones); taken:
-    (user, case) pairs that must not meet again. Each round ranks waiting requests by arrival
-    and free slots by (priority desc, created, case, slot), pairs equal ranks, and keeps the
-    pairs that are allowed; losers stand a place later in the next round. A request that no
-    round places is left out. Two requests never get one slot, and no user a case twice.
-    A batch of requests is small, and only as many slots as it can use are ranked.
+    (user, case) pairs that must not meet again. In a round, waiting requests are ranked by arrival
+    and cases by (priority desc, created, case); the request of place p asks for the case that holds slot
+    p, or for the next one after it that is not forbidden to it, past the last case from the first on; a case
+    takes as many as it has slots, in the order of arrival. Rounds go on until nobody asks: then no waiting
+    request has an allowed case with a free slot. Each round with askers places one at least, and
+    the first places all but those who met others on their way round forbidden cases. Without
+    forbidden pairs the result is that of serving one after another.
     """
     won = None
-    users, free = requests.select("user", "arrived"), cases.select("case", "priority", "created", "slots")
-    seen = taken.select("user", "case").distinct()
-    n = requests.count()
-    for shift in range(rounds):
-        slots = free.where("slots > 0").orderBy(F.desc("priority"), "created", "case").limit(n + rounds)
-        slots = slots.select("case", "priority", "created", F.explode(F.sequence(F.lit(1), F.least("slots", F.lit(n + rounds)).cast("int"))).alias("slot"))
-        slots = slots.withColumn("r", F.row_number().over(W.orderBy(F.desc("priority"), "created", "case", "slot")))
-        asks = users.withColumn("r", F.row_number().over(W.orderBy("arrived")) + shift)
-        pairs = asks.join(slots, "r").join(seen, ["user", "case"], "left_anti").select("user", "case")
-        placed = pairs.sparkSession.createDataFrame(pairs.collect(), pairs.schema)  # one batch's winners
-        if not placed.isEmpty():
-            won = placed if won is None else won.unionByName(placed)
-            users = users.join(placed.select("user"), "user", "left_anti")
-            used = placed.groupBy("case").agg(F.count("*").alias("used"))
-            free = free.join(F.broadcast(used), "case", "left").withColumn("slots", F.col("slots") - F.coalesce("used", F.lit(0))).drop("used")
-            seen = seen.unionByName(placed)
-        if users.isEmpty():
+    waiting = requests.select("user", "arrived")
+    free = cases.where("slots > 0").select("case", "priority", "created", F.col("slots").cast("bigint").alias("slots"))
+    seen = kept(taken.select("user", "case").distinct())
+    while True:
+        n, (kinds, slots) = waiting.count(), free.agg(F.count("*"), F.coalesce(F.sum("slots"), F.lit(0))).first()
+        if not (n and slots):
+            break
+        order = [F.desc("priority"), F.col("created"), F.col("case")]
+        ranked = placed(free, order, q=None, start="slots")
+        asks = placed(waiting, [F.col("arrived")], r=None).withColumn("slot", F.col("r") % slots)
+        held = ranked.where(F.col("start") < n).select("q", F.explode(F.sequence("start", F.least(F.col("start") + F.col("slots"), F.lit(n)) - 1)).alias("slot"))
+        met = seen.join(ranked.select("case"), "case", "left_semi").groupBy("user").agg(F.count("*").alias("k"))
+        tries = asks.join(held, "slot").join(met, "user", "left").select(
+            "user", "arrived", "q", F.explode(F.sequence(F.lit(0), F.least(F.coalesce("k", F.lit(0)), F.lit(kinds - 1)).cast("int"))).alias("off")
+        )
+        tries = tries.withColumn("q", (F.col("q") + F.col("off")) % kinds)
+        allowed = tries.join(ranked.select("q", "case", F.col("slots").alias("room")), "q").join(seen, ["user", "case"], "left_anti")
+        asked = allowed.groupBy("user", "arrived").agg(F.min_by(F.struct("case", "room"), "off").alias("a")).select("user", "arrived", "a.*")
+        # first within cells of a case, so that no task ranks all who ask for it
+        cell = W.partitionBy("case", F.pmod(F.xxhash64("user"), F.lit(64))).orderBy("arrived")
+        first = asked.withColumn("i", F.row_number().over(cell)).where("i <= room")
+        served = first.withColumn("i", F.row_number().over(W.partitionBy("case").orderBy("arrived"))).where("i <= room")
+        new = kept(served.select("user", "case"))
+        if new.isEmpty():
             break
+        won = new if won is None else won.unionByName(new)
+        waiting = kept(waiting.join(new, "user", "left_anti"))
+        used = new.groupBy("case").agg(F.count("*").alias("used"))
+        left = free.join(used, "case", "left").withColumn("slots", F.col("slots") - F.coalesce("used", F.lit(0)))
+        free = kept(left.where("slots > 0").drop("used"))
+        seen = kept(seen.unionByName(new))
     return won if won is not None else requests.sparkSession.createDataFrame([], "user bigint, case bigint")
+
+
+SLOTS = "struct<wanted:int,active:int,approved:int,retired:boolean,refused:int>"
+
+
+def slot_counters(log: DataFrame, case: str, event: str, order: list[str], wanted: int = 1) -> DataFrame:
+    """(case, wanted, active, approved, retired, refused) of each case's slot events in order.
+
+    claim takes a slot of a servable case; claim_duplicate asks for a second replica of a finished one and takes
+    it in the same step; release and complete give a slot back, never below none; complete also approves;
+    retire closes the case. A claim that may not be is refused and changes nothing. A case has few events.
+    """
+    events = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(event).alias("_event")))), lambda x: x["_event"])
+    start = F.struct(*[F.lit(x).alias(n) for x, n in ((wanted, "wanted"), (0, "active"), (0, "approved"), (False, "retired"), (0, "refused"))]).cast(SLOTS)
+
+    def step(acc: Column, e: Column) -> Column:
+        counts = [acc[c] for c in ("wanted", "active", "approved", "retired")]
+        claim = (e == "claim") & servable(*counts)
+        second = (e == "claim_duplicate") & duplicatable(*counts)
+        back = F.greatest(acc["active"] - F.when(e.isin("release", "complete"), 1).otherwise(0), F.lit(0))
+        return F.struct(
+            F.when(second, 2).otherwise(acc["wanted"]).alias("wanted"),
+            (back + F.when(claim | second, 1).otherwise(0)).alias("active"),
+            (acc["approved"] + F.when(e == "complete", 1).otherwise(0)).alias("approved"),
+            (acc["retired"] | (e == "retire")).alias("retired"),
+            (acc["refused"] + F.when(e.isin("claim", "claim_duplicate") & ~claim & ~second, 1).otherwise(0)).alias("refused"),
+        ).cast(SLOTS)
+
+    return log.groupBy(case).agg(F.aggregate(events, start, step).alias("s")).select(case, "s.*")
+
+
+def judged(requests: DataFrame, states: DataFrame, key: str) -> DataFrame:
+    """requests (key, at, reviewer, verdict, comment) with outcome, event and slot_event, as rows for the logs.
+
+    states: (key, state). A rejection without a comment is refused (comment_required); of the others the first, by
+    (at, reviewer), decides work that is submitted or under review, and the rest come too late
+    (bad_state). An approval also completes the case's slot.
+    """
+    known = requests.join(states.select(key, "state"), key, "left")
+    bare = (F.col("verdict") == "reject") & (F.trim(F.coalesce("comment", F.lit(""))) == "")
+    event = F.when(F.col("verdict").isin("approve", "reject"), F.col("verdict"))
+    legal = with_next_state(known.withColumn("event", event)).withColumn("fit", F.col("legal") & ~bare)
+    first = legal.where("fit").groupBy(key).agg(F.min(F.struct("at", "reviewer")).alias("_first"))
+    marked = legal.join(first, key, "left").withColumn("wins", F.coalesce(F.col("fit") & (F.struct("at", "reviewer") == F.col("_first")), F.lit(False)))
+    return marked.select(
+        key, "at", "reviewer", "verdict",
+        F.when(F.col("wins"), F.col("next_state")).when(bare, "comment_required").otherwise("bad_state").alias("outcome"),
+        F.when(F.col("wins"), F.col("event")).alias("event"),
+        F.when(F.col("wins") & (F.col("event") == "approve"), "complete").alias("slot_event"),
+    )
+
+
+def submitted(df: DataFrame) -> DataFrame:
+    """df (state, size, claimed_size, digest, claimed_digest, problems, kind, roll, rate) with outcome, events and slot_event.
+
+    In order: the state must allow it, size and digest agree where they are claimed (digests without regard to case and
+    outer blanks), no problem blocks. Work that no review and no score waits for is approved at once.
+    """
+    differs = lambda a, b, f: F.col(b).isNotNull() & (f(F.col(a)) != f(F.col(b)))
+    same = lambda c: c
+    review = review_needed(F.col("roll"), F.col("rate"), F.col("kind"), F.lit(None).cast("double"))
+    at_once = ~review & (F.col("kind") == NORMAL)
+    outcome = (
+        F.when(~F.coalesce(F.col("state").isin([s for s, e, _ in TRANSITIONS if e == "submit"]), F.lit(False)), "bad_state")
+        .when(differs("size", "claimed_size", same), "size_mismatch")
+        .when(differs("digest", "claimed_digest", lambda c: F.lower(F.trim(c))), "checksum_mismatch")
+        .when(F.size(blocking(F.col("problems"))) > 0, "failed_validation")
+        .when(at_once, "approved")
+        .otherwise("submitted")
+    )
+    found = df.withColumn("outcome", outcome)
+    approved = F.col("outcome") == "approved"
+    return (
+        found.withColumn("needs_review", F.when(F.col("outcome").isin("approved", "submitted"), review))
+        .withColumn("events", F.when(approved, F.array(F.lit("submit"), F.lit("approve"))).when(F.col("outcome") == "submitted", F.array(F.lit("submit"))).otherwise(F.array().cast("array<string>")))
+        .withColumn("slot_event", F.when(approved, "complete"))
+    )
+
+
+def stamped_log(log: DataFrame, key: str, event: str, at: str, order: list[str], lease: float = 7 * 86400.0) -> DataFrame:
+    """(key, state, attempt, deadline, and the last time of each kind of step) of each assignment's log.
+
+    A legal event stamps its time; rework starts an attempt with a new lease and clears download and submission.
+    The first row of a log stands for the assignment itself when its event is 'assign'.
+    """
+    step_map = F.create_map(*[F.lit(x) for s, e, n in TRANSITIONS for x in (f"{s}|{e}", n)])
+    stamps = {"download": "downloaded_at", "submit": "submitted_at", "claim_review": "review_claimed_at", "approve": "decided_at", "reject": "decided_at", "rework": "reworked_at", "release": "released_at", "expire": "released_at"}
+    names = list(dict.fromkeys(stamps.values()))
+    rows = F.array_sort(F.collect_list(F.struct(*order, F.col(event).alias("_event"), F.col(at).cast("double").alias("_at"))))
+    none = F.lit(None).cast("double")
+    start = F.struct(F.lit("assigned").alias("state"), F.lit(1).alias("attempt"), none.alias("deadline"), *[none.alias(n) for n in names])
+
+    def step(acc: Column, x: Column) -> Column:
+        e, t = x["_event"], x["_at"]
+        after = F.try_element_at(step_map, F.concat_ws("|", acc["state"], e))
+        ok, again = after.isNotNull(), after.isNotNull() & (e == "rework")
+        stamp = lambda n: F.when(ok & e.isin([k for k, v in stamps.items() if v == n]), t)
+        keep = lambda n: F.when(again & F.lit(n in ("downloaded_at", "submitted_at")), none).otherwise(acc[n])
+        return F.struct(
+            F.coalesce(after, acc["state"]).alias("state"),
+            (acc["attempt"] + F.when(again, 1).otherwise(0)).alias("attempt"),
+            F.when(again | (e == "assign"), t + lease).otherwise(acc["deadline"]).alias("deadline"),
+            *[F.coalesce(stamp(n), keep(n)).alias(n) for n in names],
+        )
+
+    return log.groupBy(key).agg(F.aggregate(rows, start, step).alias("f")).select(key, "f.*")
+
+
+def released_all(assignments: DataFrame, disabled: DataFrame, user: str, key: str, state: str = "state") -> DataFrame:
+    """(key, event, slot_event): open work of disabled users goes back."""
+    open_work = assignments.where(F.col(state).isin(*OPEN)).join(disabled.select(user).distinct(), user, "left_semi")
+    return open_work.select(key, F.lit("release").alias("event"), F.lit("release").alias("slot_event"))
+
+
+def worker_queue(submissions: DataFrame, limit: int = 25) -> DataFrame:
+    """Oldest submissions (kind, scored, submitted, key) that a score is owed: gold and duplicates, at most `limit`.
+
+    A score that failed leaves its row as it is, so the next poll takes it again.
+    """
+    owed = submissions.where(~F.col("scored") & F.col("kind").isin(GOLD, DUPLICATE))
+    return owed.orderBy("submitted", "key").limit(limit)

@@ -116,13 +116,6 @@ def limited_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return side("train", orders.where("o_orderstatus != 'P'"), 40).unionByName(side("test", orders.where("o_orderstatus = 'P'"), max(1, 40 // 8)))
 
 
-@query("""SELECT o_orderkey FROM orders WHERE o_custkey < 40 ORDER BY CASE o_orderstatus WHEN 'P' THEN 0 ELSE 1 END, o_orderkey LIMIT 30""")
-def pending_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pending work before running work (SO-10)."""
-    rows = table(spark, sf_dir, "orders").where("o_custkey < 40").select("o_orderkey", "o_orderstatus")
-    return rows.orderBy(F.when(F.col("o_orderstatus") == "P", 0).otherwise(1), "o_orderkey").limit(30).select("o_orderkey")
-
-
 @query("""SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) WHERE r = 1 OR r = n OR r = n // 2 + 1""")
 def sampled_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First, middle and last member of a group, as a validation samples them (AG-23)."""

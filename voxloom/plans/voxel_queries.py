@@ -14,8 +14,14 @@ a AS (SELECT n_nationkey AS s, x, y, z FROM nation, grid WHERE (x - 5) * (x - 5)
 b AS (SELECT n_nationkey AS s, x, y, z FROM nation, grid WHERE (x - 5 - n_nationkey % 3) * (x - 5 - n_nationkey % 3) + (y - 5) * (y - 5) + (z - 4) * (z - 4) <= (2 + n_nationkey % 3) * (2 + n_nationkey % 3)),
 """
 SURFACE = """SELECT s, x, y, z FROM {m} v WHERE (SELECT count(*) FROM {m} w WHERE w.s = v.s AND abs(w.x - v.x) + abs(w.y - v.y) + abs(w.z - v.z) = 1) < 6"""
-SPARSE = """m AS (SELECT DISTINCT CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS label, l_partkey % 24 AS x, l_suppkey % 24 AS y, l_linenumber AS z
-FROM lineitem WHERE l_orderkey % 13 = 0)"""
+SCORES = f"""WITH {BALLS} sa AS ({SURFACE.format(m='a')}), sb AS ({SURFACE.format(m='b')}),
+d AS (SELECT sa.s, 0 AS side, min(sqrt(0.25 * (sa.x - sb.x) * (sa.x - sb.x) + 0.25 * (sa.y - sb.y) * (sa.y - sb.y) + (sa.z - sb.z) * (sa.z - sb.z))) AS d FROM sa JOIN sb USING (s) GROUP BY sa.s, sa.x, sa.y, sa.z
+UNION ALL SELECT sb.s, 1, min(sqrt(0.25 * (sa.x - sb.x) * (sa.x - sb.x) + 0.25 * (sa.y - sb.y) * (sa.y - sb.y) + (sa.z - sb.z) * (sa.z - sb.z))) FROM sb JOIN sa USING (s) GROUP BY sb.s, sb.x, sb.y, sb.z),
+n AS (SELECT s, (SELECT count(*) FROM a WHERE a.s = k.s) AS na, (SELECT count(*) FROM b WHERE b.s = k.s) AS nb, (SELECT count(*) FROM a JOIN b USING (s, x, y, z) WHERE s = k.s) AS i FROM (SELECT DISTINCT s FROM a) k)
+SELECT s, round(2 * i / (na + nb), 6) AS dice, round((SELECT avg(CASE WHEN d <= 0.75 THEN 1.0 ELSE 0.0 END) FROM d WHERE d.s = n.s), 6) AS nsd,
+round(greatest((SELECT quantile_cont(d, 0.95) FROM d WHERE d.s = n.s AND side = 0), (SELECT quantile_cont(d, 0.95) FROM d WHERE d.s = n.s AND side = 1)), 6) AS hd95 FROM n"""
+SPARSE = """m AS (SELECT DISTINCT CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS label, l_partkey % 97 AS x, l_suppkey % 89 AS y, l_linenumber AS z
+FROM lineitem)"""
 
 
 def _balls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -27,9 +33,9 @@ def _balls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").where("l_orderkey % 13 = 0")
+    items = table(spark, sf_dir, "lineitem")
     label = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2).otherwise(3)
-    return items.select(label.alias("label"), (F.col("l_partkey") % 24).alias("x"), (F.col("l_suppkey") % 24).alias("y"), F.col("l_linenumber").alias("z")).distinct()
+    return items.select(label.alias("label"), (F.col("l_partkey") % 97).alias("x"), (F.col("l_suppkey") % 89).alias("y"), F.col("l_linenumber").alias("z")).distinct()
 
 
 @query("""SELECT source, sum(quality)::BIGINT AS voxels_a, sum(toxic)::BIGINT AS voxels_b, sum(quality * toxic)::BIGINT AS both,
@@ -47,12 +53,7 @@ def surface_voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("s").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in "xyz"])
 
 
-@query(f"""WITH {BALLS} sa AS ({SURFACE.format(m='a')}), sb AS ({SURFACE.format(m='b')}),
-d AS (SELECT sa.s, 0 AS side, min(sqrt(0.25 * (sa.x - sb.x) * (sa.x - sb.x) + 0.25 * (sa.y - sb.y) * (sa.y - sb.y) + (sa.z - sb.z) * (sa.z - sb.z))) AS d FROM sa JOIN sb USING (s) GROUP BY sa.s, sa.x, sa.y, sa.z
-UNION ALL SELECT sb.s, 1, min(sqrt(0.25 * (sa.x - sb.x) * (sa.x - sb.x) + 0.25 * (sa.y - sb.y) * (sa.y - sb.y) + (sa.z - sb.z) * (sa.z - sb.z))) FROM sb JOIN sa USING (s) GROUP BY sb.s, sb.x, sb.y, sb.z),
-n AS (SELECT s, (SELECT count(*) FROM a WHERE a.s = k.s) AS na, (SELECT count(*) FROM b WHERE b.s = k.s) AS nb, (SELECT count(*) FROM a JOIN b USING (s, x, y, z) WHERE s = k.s) AS i FROM (SELECT DISTINCT s FROM a) k)
-SELECT s, round(2 * i / (na + nb), 6) AS dice, round((SELECT avg(CASE WHEN d <= 0.75 THEN 1.0 ELSE 0.0 END) FROM d WHERE d.s = n.s), 6) AS nsd,
-round(greatest((SELECT quantile_cont(d, 0.95) FROM d WHERE d.s = n.s AND side = 0), (SELECT quantile_cont(d, 0.95) FROM d WHERE d.s = n.s AND side = 1)), 6) AS hd95 FROM n""")
+@query(SCORES)
 def nsd_hd95(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlap and surface scores of each ball against its shifted twin (VX-3 to VX-7)."""
     a, b = _balls(spark, sf_dir)
@@ -82,11 +83,11 @@ def label_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voxels.remap(rows, {1: 7, 2: 3, 5: 1}).groupBy("source", "label").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT c, label, coalesce(n, 0) AS n FROM (SELECT DISTINCT p_size AS c FROM part JOIN lineitem ON l_partkey = p_partkey WHERE p_size < 20) CROSS JOIN (SELECT unnest([1, 2, 9]) AS label)
+@query("""SELECT c, label, coalesce(n, 0) AS n FROM (SELECT DISTINCT p_size AS c FROM part JOIN lineitem ON l_partkey = p_partkey) CROSS JOIN (SELECT unnest([1, 2, 9]) AS label)
 LEFT JOIN (SELECT p_size AS c, l_linenumber AS label, count(*) AS n FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY 1, 2) USING (c, label)""")
 def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Voxels of each case and label of a set, zero-filled (AG-22, VX-12, AG-21)."""
-    parts = table(spark, sf_dir, "part").where("p_size < 20").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").alias("c"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").alias("c"))
     rows = table(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_linenumber").alias("label")).join(parts, "l_partkey")
     return voxels.label_counts(rows, "c", [1, 2, 9])
 
@@ -124,7 +125,7 @@ SELECT l_suppkey, n, CASE WHEN n >= 6 THEN least(p, q) END AS w FROM (SELECT l_s
 (SELECT l_suppkey, sum(rank * up)::DOUBLE AS p, sum(rank * (k - up))::DOUBLE AS q FROM r GROUP BY 1) USING (l_suppkey)""")
 def signed_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_quantity", (F.col("l_linenumber") * 7).cast("double").alias("b"))
-    return voxels.signed_rank(rows, ["l_suppkey"], "l_quantity", "b")
+    return voxels.signed_rank(rows, ["l_suppkey"], "l_quantity", "b").drop("p")
 
 
 @query("""SELECT source, round(avg(quality), 6) AS mean_quality, round(avg(toxic), 6) AS mean_toxic, count(*) FILTER (toxic = 1) AS n_present, count(*) AS n

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +26,23 @@ def session(master: str | None = None, app: str = "voxloom", shuffle_partitions:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table; Catalyst prunes its columns and pushes filters into the scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir; where it is unset, a temporary folder in local mode (tests), else an error."""
+    context = spark.sparkContext
+    path = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not path:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", context.master):
+            raise ValueError("spark.checkpoint.dir is unset: executors need a folder that all of them share")
+        path = tempfile.mkdtemp(prefix="voxloom-")
+        context.setCheckpointDir(path)
+    return path
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the shared folder, without its lineage."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()

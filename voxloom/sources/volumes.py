@@ -1,14 +1,18 @@
-"""NIfTI volumes as sparse label rows, read by a Python data source: one file is one partition."""
+"""NIfTI volumes as sparse label rows, and label rows as volumes; a file is one task's work either way."""
 
 from __future__ import annotations
 
 import gzip
+import os
 import struct
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 # NIfTI-1 data type codes.
 KINDS = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4"}
@@ -28,6 +32,16 @@ def parse(content: bytes) -> tuple[np.ndarray, np.ndarray, list[float]]:
     return values, affine, list(steps[1:4])
 
 
+def head(content: bytes) -> tuple[list[int], np.ndarray, list[float]]:
+    """(size, 4x4 affine, spacing) from the first 352 bytes; the voxels are not unpacked."""
+    data = zlib.decompressobj(31).decompress(content, 352) if content[:2] == b"\x1f\x8b" else content[:352]
+    order = "<" if struct.unpack("<i", data[:4])[0] == 348 else ">"
+    dims = struct.unpack(order + "8h", data[40:56])
+    steps = struct.unpack(order + "8f", data[76:108])
+    affine = np.vstack([np.frombuffer(data[280:328], order + "f4").reshape(3, 4), [0, 0, 0, 1]]).astype(float)
+    return [max(1, d) for d in dims[1:4]], affine, list(steps[1:4])
+
+
 def header(shape: tuple[int, int, int], spacing: tuple[float, float, float], affine: np.ndarray, code: int = 2) -> bytes:
     """A NIfTI-1 header with its four bytes of padding."""
     out = bytearray(352)
@@ -62,8 +76,67 @@ def geometry(files: DataFrame) -> DataFrame:
         for rows in batches:
             out = []
             for path, content in zip(rows["path"], rows["content"], strict=True):
-                values, affine, spacing = parse(content)
-                out.append((path, [int(s) for s in values.shape], [float(s) for s in spacing], affine[:3, 3].tolist(), affine[:3].ravel().tolist()))
+                size, affine, spacing = head(content)
+                out.append((path, size, [float(s) for s in spacing], affine[:3, 3].tolist(), affine[:3].ravel().tolist()))
             yield pd.DataFrame(out, columns=["path", "size", "spacing", "origin", "affine"])
 
     return files.select("path", "content").mapInPandas(run, "path string, size array<int>, spacing array<double>, origin array<double>, affine array<double>")
+
+
+def volumes(masks: DataFrame, grids: DataFrame, key: str) -> DataFrame:
+    """(name, content): a compressed label volume of each row of masks (key, label, voxels: array of x, y, z).
+
+    grids: (key, size, spacing, affine), one a case. The name is key/label.nii.gz, voxels hold 1; a mask without
+    voxels gives an empty volume.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for k, label, voxels, size, spacing, affine in rows.itertuples(index=False):
+                data = np.zeros(size, np.uint8, order="F")
+                if len(voxels):
+                    data[tuple(np.array([[v["x"], v["y"], v["z"]] for v in voxels]).T)] = 1
+                content = header(tuple(size), tuple(spacing), np.asarray(affine, float).reshape(3, 4)) + data.tobytes(order="F")
+                out.append((f"{k}/{label}.nii.gz", gzip.compress(content, 6, mtime=0)))
+            yield pd.DataFrame(out, columns=["name", "content"])
+
+    rows = masks.join(grids, key).select(key, "label", "voxels", "size", "spacing", "affine")
+    return rows.mapInPandas(run, "name string, content binary")
+
+
+class FilesWriter(DataSourceWriter):
+    """Writes (name, content) rows below a folder, each under another name first, so that no half of a file is ever seen."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def write(self, rows: Iterator) -> WriterCommitMessage:
+        for row in rows:
+            path = os.path.join(self.folder, row["name"])
+            if not os.path.realpath(path).startswith(os.path.realpath(self.folder) + os.sep):
+                raise ValueError(f"{row['name']} leads out of the folder")
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            part = f"{path}.{uuid.uuid4().hex}.part"
+            with open(part, "wb") as f:
+                f.write(row["content"])
+            os.replace(part, path)
+        return WriterCommitMessage()
+
+
+class Files(DataSource):
+    """Format whole_files; option path: a folder that all executors share."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "whole_files"
+
+    def schema(self) -> str:
+        return "name string, content binary"
+
+    def writer(self, schema, overwrite: bool) -> FilesWriter:
+        return FilesWriter(self.options["path"])
+
+
+def register(spark: SparkSession) -> None:
+    spark.dataSource.register(Files)

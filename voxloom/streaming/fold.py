@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pandas as pd
@@ -10,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from voxloom.session import shared_dir
+
 STATE = "started_at double, start_pos bigint, end_pos bigint, status string, n_epochs bigint, n_checkpoints bigint, n_previews bigint, n_messages bigint, last_t double, last_pos bigint, epoch bigint, epoch_pos bigint"
 OUT = "run bigint, started_at double, finished boolean, status string, n_epochs bigint, n_checkpoints bigint, n_previews bigint, n_messages bigint, last_event_time double, current_epoch bigint"
 COUNTED = {"epoch": 4, "checkpoint": 5, "preview": 6, "log": 7}
@@ -49,8 +50,7 @@ def streamed_states(spark: SparkSession, path: str, checkpoint: str | None = Non
     """
     from voxloom.plans.event_queries import KINDS
 
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    base = checkpoint or (f"{shared}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="voxloom-stream-"))
+    base = checkpoint or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
     kind = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])
     folder, _, name = path.rpartition("/")

@@ -1,74 +1,115 @@
-"""A stream of growing JSON-lines files: offsets per file, half-written lines left for later, corrupt ones skipped.
+"""A stream of growing JSON-lines files, one partition a file.
 
-Spark's file source reads a file once; a live training log grows in place. This data source keeps a
-byte offset for each file, reads whole lines only, and starts a file over when it has shrunk.
+Spark's file source reads a file once; a live training log grows in place. An offset is the size of
+each file when it was looked at. A batch takes the lines whose end lies between two offsets, so a
+half-written line waits for the batch that brings its end; a file that shrank is read anew. Which
+files there are is asked of the file system through Arrow, so remote ones serve as well.
 """
 
 from __future__ import annotations
 
-import glob
+import fnmatch
 import json
-import os
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+from pyarrow import fs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 SCHEMA = "file string, pos bigint, t double, event string, raw string"
+#: Bytes that are read at once.
+CHUNK = 1 << 20
 
 
-def whole_lines(path: str, start: int) -> tuple[int, list[tuple[int, str]]]:
-    """(new offset, [(place, line)]) of the complete lines after an offset; nothing if the file cannot be read."""
-    try:
-        with open(path, "rb") as f:
-            size = f.seek(0, 2)
-            start = 0 if size < start else start
-            f.seek(start)
-            data = f.read()
-    except OSError:
-        return start, []
-    end = data.rfind(b"\n") + 1
-    out, at = [], start
-    for line in data[:end].split(b"\n")[:-1]:
-        out.append((at, line.decode("utf-8", "replace").strip()))
-        at += len(line) + 1
-    return start + end, out
+def located(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+@dataclass
+class Stretch(InputPartition):
+    """Bytes of a file whose line ends belong to a batch."""
+
+    path: str
+    start: int
+    end: int
 
 
-def parsed(path: str, lines: list[tuple[int, str]]) -> Iterator[tuple]:
-    for at, line in lines:
+def line_start(f, at: int) -> int:
+    """Where the line that is open at a place begins."""
+    while at > 0:
+        low = max(0, at - CHUNK)
+        f.seek(low)
+        found = f.read(at - low).rfind(b"\n")
+        if found >= 0:
+            return low + found + 1
+        at = low
+    return 0
+
+
+def lines(part: Stretch) -> Iterator[tuple[int, bytes]]:
+    """(place, line) of the lines that end in a stretch; nothing if the file is gone."""
+    system, path = located(part.path)
+    try:
+        f = system.open_input_file(path)
+    except OSError:
+        return
+    with f:
+        at = line_start(f, part.start)
+        f.seek(at)
+        rest = b""
+        while (read := at + len(rest)) < part.end:
+            data = f.read(min(CHUNK, part.end - read))
+            if not data:
+                return
+            *whole, rest = (rest + data).split(b"\n")
+            for line in whole:
+                yield at, line
+                at += len(line) + 1
+
+
+def parsed(path: str, rows: Iterator[tuple[int, bytes]]) -> Iterator[tuple]:
+    """Rows of the source; lines that hold no JSON object are left out."""
+    for at, line in rows:
+        text = line.decode("utf-8", "replace").strip()
         try:
-            e = json.loads(line) if line else None
+            e = json.loads(text or "null")
         except json.JSONDecodeError:
             continue
         if isinstance(e, dict):
             t = e.get("t")
-            yield (path, at, float(t) if isinstance(t, int | float) else None, e.get("event"), line)
+            yield (path, at, float(t) if isinstance(t, int | float) else None, e.get("event"), text)
 
 
-class LogReader(SimpleDataSourceStreamReader):
+class LogReader(DataSourceStreamReader):
     def __init__(self, pattern: str):
         self.pattern = pattern
 
     def initialOffset(self) -> dict:
         return {}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows, after = [], dict(start)
-        for path in sorted(glob.glob(self.pattern)):
-            after[path], lines = whole_lines(path, int(start.get(path, 0)))
-            rows += parsed(path, lines)
-        return iter(rows), after
+    def latestOffset(self) -> dict:
+        folder, _, name = self.pattern.rpartition("/")
+        system, path = located(folder)
+        prefix = folder[: -len(path)] if folder.endswith(path) else ""
+        found = system.get_file_info(fs.FileSelector(path, allow_not_found=True))
+        return {prefix + i.path: i.size for i in sorted(found, key=lambda i: i.path) if i.type == fs.FileType.File and fnmatch.fnmatch(i.base_name, name)}
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+    def partitions(self, start: dict, end: dict) -> list[Stretch]:
+        parts = []
         for path, stop in end.items():
-            if os.path.exists(path):
-                _, lines = whole_lines(path, int(start.get(path, 0)))
-                yield from parsed(path, [x for x in lines if x[0] < int(stop)])
+            before = int(start.get(path, 0))
+            before = 0 if int(stop) < before else before
+            if before < int(stop):
+                parts.append(Stretch(path, before, int(stop)))
+        return parts
+
+    def read(self, part: Stretch) -> Iterator[tuple]:
+        return parsed(part.path, lines(part))
 
 
 class GrowingLog(DataSource):
-    """Format growing_log; option path: a glob of log files on a folder that the driver can read."""
+    """Format growing_log; option path: folder/pattern of log files that all executors can read."""
 
     @classmethod
     def name(cls) -> str:
@@ -77,7 +118,7 @@ class GrowingLog(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
-    def simpleStreamReader(self, schema) -> LogReader:
+    def streamReader(self, schema) -> LogReader:
         return LogReader(self.options["path"])
 
 
