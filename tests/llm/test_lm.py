@@ -16,21 +16,23 @@ def reference(rows, weights_of):
     """Counts and base scores by brute force; the model's score with given weights."""
     fold = {i: zlib.crc32(str(i).encode()) % 10 for i, _ in rows}
     learned = [words(t) for i, t in rows if fold[i]]
-    one, two, start = Counter(), Counter(), 0
+    one, two, three, start = Counter(), Counter(), Counter(), 0
     for w in learned:
         one.update([*w, lm.END])
         two.update(zip([lm.START, *w], [*w, lm.END], strict=True))
+        three.update(zip([lm.START, lm.START, *w], [lm.START, *w], [*w, lm.END], strict=False))
         start += 1
     n, v = sum(one.values()), len(one)
     out = {}
     for i, t in rows:
         w = words(t)
         base = score = 0.0
-        for a, b in zip([lm.START, *w], [*w, lm.END], strict=True):
+        for z, a, b in zip([lm.START, lm.START, *w], [lm.START, *w], [*w, lm.END], strict=False):
             base += math.log10((one[b] + 0.1) / (n + 0.1 * (v + 1)))
             c = start if a == lm.START else one[a]
-            k = weights_of(c)
-            score += math.log10(k[0] * two[a, b] / max(c, 1) + k[1] * one[b] / n + k[2] / (v + 1))
+            d = start if a == lm.START else two[z, a]
+            k = weights_of(d, c)
+            score += math.log10(k[0] * three[z, a, b] / max(d, 1) + k[1] * two[a, b] / max(c, 1) + k[2] * one[b] / n + k[3] / (v + 1))
         out[i] = (fold[i] == 0, len(w) + 1, sum(one[x] > 0 for x in [*w, lm.END]), n, base, score)
     return out
 
@@ -49,7 +51,7 @@ def test_scores_match_brute_force(spark, monkeypatch, block, part):
     monkeypatch.setattr(lm, "_weights", weights)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     got = {r["id"]: r for r in lm.scored(docs).collect()}
-    want = reference([tuple(r) for r in docs.collect()], lambda c: kept["w"][int(lm.bucket(np.array([c]))[0])])
+    want = reference([tuple(r) for r in docs.collect()], lambda d, c: kept["w"][int(lm.cells(np.array([d]), np.array([c]))[0])])
     assert got.keys() == want.keys()
     for i, (held, n, known, total, base, score) in want.items():
         r = got[i]

@@ -1,7 +1,8 @@
-"""Scores of a bigram language model with deleted interpolation, learned from the corpus itself.
+"""Scores of a trigram language model with deleted interpolation, learned from the corpus itself.
 
-P(w | v) = l2(b) c(v w) / c(v) + l1(b) c(w) / N + l0(b) / (V + 1), where b is the bucket of the
-context's frequency c(v). The weights come from expectation-maximisation on a held-out tenth of the
+P(w | u v) = l3 c(u v w) / c(u v) + l2 c(v w) / c(v) + l1 c(w) / N + l0 / (V + 1), with weights for each pair
+of buckets of the contexts' frequencies c(u v) and c(v); before a text's first word stands its start, and its
+trigram is its bigram. The weights come from expectation-maximisation on a held-out tenth of the
 training documents, whose own counts are deleted from the estimates meanwhile; final estimates
 use all training counts.
 
@@ -9,7 +10,8 @@ Documents are packed into blocks of bounded size, kept apart by their part in tr
 asks for the counts of its distinct n-grams once: sorted 56-bit hashes, cut by ranges, go to the
 task that owns the range, which adds up what all blocks counted and answers each in the order
 of its question. So an n-gram crosses the network once a block and never whole-corpus tables a
-task, and frequent n-grams cost no more than rare ones.
+task, and frequent n-grams cost no more than rare ones. Two of n distinct n-grams share a hash with
+probability n / 2^56 for each, which adds the count of one to the other (for 10^11 of them: one in a million).
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from voxloom.llm.store import released, written
 
 BITS = 56
 #: Tokens of a block, and n-grams of a counting task, at most (but for one document, or one task's rounding).
-BLOCK, PART = 1_500_000, 2_000_000
+BLOCK, PART = 1_000_000, 2_000_000
 BUCKETS = 24
 HELD_OUT, DELETED, KEPT = 0, 1, 2
 END, START = (xxhash.xxh3_64_intdigest(x) >> (64 - BITS) for x in (b"end of text", b"start of text"))  # no word has a space
@@ -89,6 +91,12 @@ def _blocks(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(run, schema)
 
 
+def _paired(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """64-bit hashes of pairs, in order."""
+    out = (x * np.uint64(0x9E3779B97F4A7C15) + y) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (out ^ (out >> np.uint64(29))) * np.uint64(0x165667B19E3779F9)
+
+
 class _Grams:
     """A block's n-grams: `keys` sorted and distinct, `where` the key of each token, `counts` of each key."""
 
@@ -107,12 +115,17 @@ class _Grams:
         self.starts = np.concatenate([[0], self.ends[:-1]]) if docs else np.empty(0, np.int64)
         self.at_start = before == len(words) + 1
         x, y = hashes[before], hashes[after]
-        two = (x * np.uint64(0x9E3779B97F4A7C15) + y) * np.uint64(0xC2B2AE3D27D4EB4F)
-        two = ((two ^ (two >> np.uint64(29))) * np.uint64(0x165667B19E3779F9)) >> np.uint64(64 - BITS)
+        full = _paired(x, y)
+        two = full >> np.uint64(64 - BITS)
+        # a trigram is the bigram one token earlier and the token; for first tokens, the bigram again
+        earlier = np.concatenate([full[:1], full[:-1]])
+        earlier[self.at_start] = np.uint64(START)
+        three = _paired(earlier, y) >> np.uint64(64 - BITS)
         one, place = np.unique(hashes[:-1], return_inverse=True)
         self.after, self.before = place[after], place[np.where(self.at_start, len(words), before)]
         self.keys, self.counts = {1: one}, {1: np.bincount(self.after, minlength=len(one))}
         self.keys[2], self.two, self.counts[2] = np.unique(two, return_inverse=True, return_counts=True)
+        self.keys[3], self.three, self.counts[3] = np.unique(three, return_inverse=True, return_counts=True)
 
 
 def _questions(blocks: DataFrame, parts: dict[int, int]) -> DataFrame:
@@ -169,24 +182,31 @@ def bucket(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.ceil(np.log2(counts + 1.0)), BUCKETS - 1).astype(np.int64)
 
 
+def cells(wide: np.ndarray, narrow: np.ndarray) -> np.ndarray:
+    """Place of a token's weights, by the counts of its two contexts."""
+    return bucket(wide) * BUCKETS + bucket(narrow)
+
+
 def _weights(stats: DataFrame, uniform: float, rounds: int = 10) -> np.ndarray:
-    """Weights (bucket x bigram, unigram, uniform) by expectation-maximisation; a round is a Spark job with one row a bucket."""
-    weights = np.full((BUCKETS, 3), 1 / 3)
+    """Weights (cell x trigram, bigram, unigram, uniform) by expectation-maximisation; a round is a Spark job with one row a cell."""
+    n_cells = BUCKETS * BUCKETS
+    weights = np.full((n_cells, 4), 1 / 4)
     for _ in range(rounds):
 
         def expect(batches: Iterator[pd.DataFrame], weights=weights) -> Iterator[pd.DataFrame]:
             for rows in batches:
-                sums = np.zeros((BUCKETS, 3))
-                for b, p, q, n in zip(rows["bucket"], rows["two"], rows["one"], rows["n"], strict=True):
-                    b, n = np.frombuffer(b, np.uint8), unpack(n, np.uint32)
-                    share = weights[b] * np.stack([unpack(p, np.float32), unpack(q, np.float32), np.full(len(b), uniform)], axis=1)
+                sums = np.zeros((n_cells, 4))
+                for b, p, q, r, n in zip(rows["cell"], rows["three"], rows["two"], rows["one"], rows["n"], strict=True):
+                    b, n = unpack(b, np.uint16), unpack(n, np.uint32)
+                    share = weights[b] * np.stack([*(unpack(x, np.float32) for x in (p, q, r)), np.full(len(b), uniform)], axis=1)
                     share *= (n / share.sum(axis=1))[:, None]
-                    for k in range(3):
-                        sums[:, k] += np.bincount(b, share[:, k], BUCKETS)
-                yield pd.DataFrame({"bucket": range(BUCKETS), "a": sums[:, 0], "b": sums[:, 1], "c": sums[:, 2]})
+                    for k in range(4):
+                        sums[:, k] += np.bincount(b, share[:, k], n_cells)
+                used = np.flatnonzero(sums.sum(axis=1))
+                yield pd.DataFrame({"cell": used} | {c: sums[used, k] for k, c in enumerate("abcd")})
 
-        rows = stats.mapInPandas(expect, "bucket int, a double, b double, c double").groupBy("bucket").agg(F.sum("a"), F.sum("b"), F.sum("c")).collect()
-        after = np.full((BUCKETS, 3), 1e-3)
+        rows = stats.mapInPandas(expect, "cell int, a double, b double, c double, d double").groupBy("cell").agg(*[F.sum(c) for c in "abcd"]).collect()
+        after = np.full((n_cells, 4), 1e-3)
         for r in rows:
             after[r[0]] += r[1:]
         after /= after.sum(axis=1, keepdims=True)
@@ -213,28 +233,31 @@ def scored(df: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
     total = sum(sizes.values())
     learned = {role: sizes.get(role, 0) for role in (DELETED, KEPT)}
     bits = max(0, math.ceil(math.log2(max(1, total / PART))))
-    answers = written(_answers(_questions(blocks, {1: max(0, bits - 2), 2: bits})))
+    answers = written(_answers(_questions(blocks, {1: max(0, bits - 2), 2: bits, 3: bits})))
     fresh = answers.where("kind = 1").agg(F.sum("fresh")).first()[0] or 0
     texts = {r["role"]: r["n"] for r in blocks.groupBy("role").agg(F.sum(F.size("ids")).alias("n")).collect()}
     n_all, uniform = learned[DELETED] + learned[KEPT], 1 / (fresh + 1)
 
-    def both(grams: _Grams, found: pd.DataFrame, names: list[str], starts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Counts of each token, of its bigram and of its context."""
-        one, two = (sum(_counts(found, kind, name) for name in names) for kind in (1, 2))
-        return one[grams.after], two[grams.two], np.where(grams.at_start, starts, one[grams.before])
+    def found_for(grams: _Grams, found: pd.DataFrame, names: list[str], starts: int) -> tuple[np.ndarray, ...]:
+        """Counts of each token, of its bigram and trigram, and of the contexts of both."""
+        one, two, three = (sum(_counts(found, kind, name) for name in names) for kind in (1, 2, 3))
+        two = two[grams.two]
+        narrow = np.where(grams.at_start, starts, one[grams.before])
+        wide = np.where(grams.at_start, starts, np.concatenate([two[:1], two[:-1]]))
+        return one[grams.after], two, three[grams.three], narrow, wide
 
     def held(row: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         grams = _Grams(next(row.itertuples(index=False)))
-        one, two, context = both(grams, found, ["kept"], texts.get(KEPT, 0))
-        p = np.stack([bucket(context), two / np.maximum(context, 1), one / max(learned[KEPT], 1)], axis=1).astype(np.float32)
+        one, two, three, narrow, wide = found_for(grams, found, ["kept"], texts.get(KEPT, 0))
+        p = [three / np.maximum(wide, 1), two / np.maximum(narrow, 1), one / max(learned[KEPT], 1)]
         # tokens with the same numbers count once
-        same, n = np.unique(p, axis=0, return_counts=True)
-        packed = [pack(np.ascontiguousarray(same[:, i])) for i in (1, 2)]
-        return pd.DataFrame({"bucket": [same[:, 0].astype(np.uint8).tobytes()], "two": packed[:1], "one": packed[1:], "n": [pack(n.astype(np.uint32))]})
+        same, n = np.unique(np.stack([cells(wide, narrow), *p], axis=1).astype(np.float32), axis=0, return_counts=True)
+        packed = {c: [pack(np.ascontiguousarray(same[:, i]))] for i, c in ((1, "three"), (2, "two"), (3, "one"))}
+        return pd.DataFrame({"cell": [pack(same[:, 0].astype(np.uint16))]} | packed | {"n": [pack(n.astype(np.uint32))]})
 
     asked = answers.where(F.col("role") == DELETED).groupBy("block")
     stats = written(
-        blocks.where(F.col("role") == DELETED).groupBy("block").cogroup(asked).applyInPandas(held, "bucket binary, two binary, one binary, n binary")
+        blocks.where(F.col("role") == DELETED).groupBy("block").cogroup(asked).applyInPandas(held, "cell binary, three binary, two binary, one binary, n binary")
     )
     weights = _weights(stats, uniform)
     released(stats)
@@ -242,9 +265,9 @@ def scored(df: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
     def score(row: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         row = next(row.itertuples(index=False))
         grams = _Grams(row)
-        one, two, context = both(grams, found, ["kept", "deleted"], texts.get(KEPT, 0) + texts.get(DELETED, 0))
-        w = weights[bucket(context)]
-        p = w[:, 0] * two / np.maximum(context, 1) + w[:, 1] * one / max(n_all, 1) + w[:, 2] * uniform
+        one, two, three, narrow, wide = found_for(grams, found, ["kept", "deleted"], texts.get(KEPT, 0) + texts.get(DELETED, 0))
+        w = weights[cells(wide, narrow)]
+        p = w[:, 0] * three / np.maximum(wide, 1) + w[:, 1] * two / np.maximum(narrow, 1) + w[:, 2] * one / max(n_all, 1) + w[:, 3] * uniform
         base = np.log10((one + 0.1) / (n_all + 0.1 * (fresh + 1)))
         ids = pd.array([None if x is None or x != x else int(x) for x in row.ids], dtype="Int64")
         return pd.DataFrame(
