@@ -43,7 +43,8 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
         F.crc32(F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))).alias("text_crc32"),
     )
-    return sharding.uniform_shards(docs, ["doc_id"], 24).select(
+    # digest and size tell rows with equal ids apart, so a repeated task deals them alike
+    return sharding.uniform_shards(docs, ["doc_id", "text_crc32", "size"], 24).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 
@@ -155,4 +156,15 @@ QUERIES = {
     "op10_fingerprints": op10_fingerprints,
 }
 
-SQL: dict[str, str] = {}
+_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+SQL: dict[str, str] = {
+    "op1_neardup": f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_AZ}', '{_AZ.lower()}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM w),
+u AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared, any_value(a.n) + any_value(b.n) AS total FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p WHERE 100 * shared >= 75 * (total - shared)), l AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r(x, y) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT x, min(y) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, len(g) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c ON x = doc_id""",
+}
