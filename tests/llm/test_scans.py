@@ -119,3 +119,33 @@ def test_long_texts_are_scanned_whole(table):
 def test_wording_differences():
     edits, first, end, changes = licenses.wording("see the gnu general licence version 3".split(), "the gnu general license version 3".split())
     assert (edits, first, end, changes) == (1, 1, 7, ["license -> licence"])
+
+
+def plainly(text, templates, most=0.15):
+    """Notices of a text without blocks and compression: the template with the smallest share of edits, over words that no better one took, again and again."""
+    found = [(m.start(), m.end()) for m in licenses._word.finditer(text)]
+    own = [text[a:b].lower() for a, b in found]
+    out, left = set(), [(0, len(own))]
+    while left:
+        low, high = left.pop()
+        hits = []
+        for name, _, t in templates.all:
+            edits, first, end, _ = licenses.wording(own[low:high], t)
+            if end > first and edits <= most * len(t):
+                hits.append((edits / len(t), -len(t), name, low + first, low + end))
+        if hits:
+            _, _, name, a, b = min(hits)
+            out.add((name, found[a][0], found[b - 1][1]))
+            left += [(x, y) for x, y in ((low, a), (b, high)) if x < y]
+    return out
+
+
+def test_notices_match_a_plain_comparison(spark):
+    """Documents with a cue word: the same licenses at the same places."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(F.col("text").rlike(licenses.CUE)).select("doc_id", "text").orderBy("doc_id").limit(30)
+    templates = licenses.Templates()
+    want = {(r["doc_id"], *x) for r in docs.collect() for x in plainly(r["text"], templates)}
+    got = {(r["doc_id"], r["license"], r["start"], r["end"]) for r in licenses.scanned(docs).collect()}
+    assert got == want and len(want) > 10
