@@ -135,3 +135,49 @@ def test_masks_become_volumes_and_come_back(spark, tmp_path):
     assert (list(g["size"]), list(g["spacing"]), list(g["origin"])) == ([4, 3, 3], [0.5, 0.5, 2.0], [9.0, 8.0, 7.0])
     with pytest.raises(Exception, match="leads out"):
         spark.createDataFrame([("../x", b"")], "name string, content binary").write.format("whole_files").mode("append").option("path", str(tmp_path / "out")).save()
+
+
+def test_label_sets_go_out_and_come_back(spark, tmp_path):
+    from voxloom.sources import reports
+
+    rows = {("heart", "it's", 2, None), ("heart", "LM: left", 1, 7), ("lung", "lobe", 1, 3)}
+    volumes.register(spark)
+    sets = spark.createDataFrame(sorted(rows, key=str), "label_set string, structure string, label int, source_value int")
+    reports.label_files(sets).write.format("whole_files").mode("append").option("path", str(tmp_path)).save()
+    assert {tuple(r) for r in reports.label_sets(spark, str(tmp_path / "*.yaml")).collect()} == rows
+
+
+def test_leases_run_out_in_a_stream(spark, tmp_path):
+    """A lease too old, one without heartbeats, one that was closed in time, and one that is still good."""
+    from datetime import datetime, timedelta, timezone
+
+    from voxloom.streaming import leases
+
+    start, day = datetime(2024, 1, 1, tzinfo=timezone.utc), timedelta(days=1)
+    batches = [
+        [(1, 0, "assign"), (2, 0, "assign"), (3, 0, "assign"), (2, 0.5, "heartbeat"), (3, 1, "submit"), (9, 1, "heartbeat")],
+        [(4, 5, "assign"), (1, 5, "heartbeat")],
+        [(4, 6, "heartbeat"), (5, 7.5, "assign")],
+        [(5, 7.6, "heartbeat")],
+    ]
+    (tmp_path / "in").mkdir()
+    schema = "assignment bigint, ts timestamp, event string"
+    log = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    q = leases.expiries(log).writeStream.format("memory").queryName("expired").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).start()
+    try:
+        for i, rows in enumerate(batches):
+            lines = [json.dumps({"assignment": a, "ts": (start + d * day).isoformat(), "event": e}) for a, d, e in rows]
+            (tmp_path / "in" / f"b{i}.json").write_text("\n".join(lines))
+            q.processAllAvailable()
+    finally:
+        q.stop()
+    got = {(r["assignment"], round((r["expired_at"] - start.timestamp()) / 86400, 3), r["reason"]) for r in spark.table("expired").collect()}
+    assert got == {(2, 3.5, "no heartbeat for 72 hours"), (1, 7.0, "lease of 7 days expired")}
+
+
+def test_files_settle(spark):
+    from voxloom.operators import runs
+
+    looks = [("a", 1, 10, 1), ("a", 2, 20, 1), ("a", 3, 20, 1), ("a", 4, 20, 1), ("a", 5, 5, 2), ("a", 6, 5, 2), ("b", 1, 7, 1), ("b", 2, 7, 2)]
+    got = runs.settled_files(spark.createDataFrame(looks, "path string, at int, size int, changed int"), "path", ["at"], "size", "changed").collect()
+    assert {tuple(r) for r in got} == {("a", 1, 3), ("a", 2, 6)}

@@ -75,3 +75,15 @@ def cache_keep(df: DataFrame, owner: str, size: str, order: list[str], cap: floa
     newest = W.partitionBy(owner).orderBy(*[F.desc(c) for c in order])
     kept = F.sum(size).over(newest.rowsBetween(W.unboundedPreceding, 0))
     return df.withColumn("evict", (kept > cap) & (F.row_number().over(newest) > 1))
+
+
+def settled_files(looks: DataFrame, path: str, order: list[str], size: str, changed: str) -> DataFrame:
+    """(path, changed, order): the first look at which each version of a file is complete.
+
+    looks: rows of a directory seen again and again. A version (its time of change) is complete when two looks at
+    the file that follow each other show it with the same size. Each file's looks are ordered alone.
+    """
+    w = W.partitionBy(path).orderBy(*order)
+    same = (F.lag(size).over(w) == F.col(size)) & (F.lag(changed).over(w) == F.col(changed))
+    still = looks.withColumn("_still", same).where("_still")
+    return still.groupBy(path, changed).agg(F.min(F.struct(*order)).alias("_at")).select(path, changed, "_at.*")

@@ -119,3 +119,11 @@ def late_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").where("event_type IN ('view', 'error')").withColumn("k", F.get_json_object("props", "$.k"))
     raised = rows.groupBy("user_id", "k").agg(F.bool_or(F.col("event_type") == "error").alias("raised"))
     return rows.join(raised, ["user_id", "k"]).select("user_id", "event_id", ((F.col("value") > 90) | F.col("raised")).alias("needs_review"))
+
+
+@query("""WITH l AS (SELECT user_id, event_id, floor(value / 34)::BIGINT AS size, event_type, lag(floor(value / 34)::BIGINT) OVER w AS before, lag(event_type) OVER w AS type_before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT user_id, event_type AS version, min(event_id) AS event_id FROM l WHERE size = before AND event_type = type_before GROUP BY 1, 2""")
+def settled_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each version of a file was first seen whole (SM-5): users stand for files, events for looks at them."""
+    looks = table(spark, sf_dir, "events").select("user_id", "event_id", F.floor(F.col("value") / 34).alias("size"), F.col("event_type").alias("version"))
+    return runs.settled_files(looks, "user_id", ["event_id"], "size", "version")

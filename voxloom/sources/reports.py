@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,10 +37,32 @@ def folds_from_json(rows: DataFrame, key_type: str = "string") -> DataFrame:
 
 def label_sets(spark: SparkSession, paths: str) -> DataFrame:
     """(label_set, structure, label, source_value) of YAML files with a `labels` and perhaps a `source_values` mapping."""
-    rows = []
-    for path, content in spark.sparkContext.wholeTextFiles(paths).collect():  # a handful of small files
-        spec = yaml.safe_load(content) or {}
-        source = spec.get("source_values") or {}
-        name = spec.get("name") or path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-        rows += [(name, s, int(i), source.get(s)) for s, i in (spec.get("labels") or {}).items()]
-    return spark.createDataFrame(rows, "label_set string, structure string, label int, source_value int")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for files in batches:
+            rows = []
+            for path, content in zip(files["path"], files["content"], strict=True):
+                spec = yaml.safe_load(content) or {}
+                source = spec.get("source_values") or {}
+                name = spec.get("name") or path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+                rows += [(name, s, int(i), source.get(s)) for s, i in (spec.get("labels") or {}).items()]
+            yield pd.DataFrame(rows, columns=["label_set", "structure", "label", "source_value"]).astype({"label": "Int32", "source_value": "Int32"})
+
+    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    return files.mapInPandas(run, "label_set string, structure string, label int, source_value int")
+
+
+def label_files(sets: DataFrame) -> DataFrame:
+    """(name, content): a YAML file of each label set (label_set, structure, label, source_value), as label_sets reads them; structures by label.
+
+    For the sink whole_files. Names of structures are quoted; a set has a few hundred at most.
+    """
+    quoted = lambda c: F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("''")), F.lit("'"))
+    entries = F.array_sort(F.collect_list(F.struct("label", "structure", "source_value")))
+    per = sets.groupBy("label_set").agg(entries.alias("e"))
+    line = lambda c: lambda x: F.concat(F.lit("  "), quoted(x["structure"]), F.lit(": "), x[c].cast("string"), F.lit("\n"))
+    labels = F.array_join(F.transform("e", line("label")), "")
+    given = F.filter("e", lambda x: x["source_value"].isNotNull())
+    source = F.when(F.size(given) > 0, F.concat(F.lit("source_values:\n"), F.array_join(F.transform(given, line("source_value")), ""))).otherwise("")
+    content = F.concat(F.lit("name: "), quoted(F.col("label_set")), F.lit("\nlabels:\n"), labels, source)
+    return per.select(F.concat("label_set", F.lit(".yaml")).alias("name"), F.encode(content, "UTF-8").alias("content"))
