@@ -149,3 +149,9 @@ def test_notices_match_a_plain_comparison(spark):
     want = {(r["doc_id"], *x) for r in docs.collect() for x in plainly(r["text"], templates)}
     got = {(r["doc_id"], r["license"], r["start"], r["end"]) for r in licenses.scanned(docs).collect()}
     assert got == want and len(want) > 10
+
+
+def test_notices_beside_clashing_columns(table):
+    docs = table([(1, "Released under the MIT License."), (None, "Released under the MIT License."), (2, None)])
+    odd = docs.withColumnRenamed("lang", "license").withColumnRenamed("source", "start").withColumnRenamed("n_chars", "changes")
+    assert sorted(str(r["doc_id"]) + r["license"] for r in licenses.scanned(odd).collect()) == ["1MIT", "NoneMIT"]

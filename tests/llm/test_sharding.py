@@ -48,3 +48,9 @@ def test_edges(edges, table):
     assert len(out) == 10 and {len(s) for s in by.values()} == {3, 4}
     assert shards(edges.where("false"))[0] == []
     assert len(shards(table([(None, "a"), (None, "b"), (1, None)]), shards=24)[0]) == 3
+
+
+def test_rows_with_equal_ids_are_dealt_alike_again(table):
+    docs = table([(i % 5, f"text {i}") for i in range(300)])
+    place = lambda d: {(r["text"], r["shard"], r["slot"]) for r in sharding.uniform_shards(d, ["doc_id", "text"], shards=7).collect()}
+    assert place(docs) == place(docs.repartition(9).orderBy("text")) and len(place(docs)) == 300
