@@ -29,6 +29,8 @@ WORD = re.compile(r"[^\W\d_]+")
 CHANCE, FLOOR = 20.0, 0.002
 #: Examples of a block.
 BLOCK = 128
+#: Terms in more than one of so many examples are kept as rows of all examples instead of lists.
+COMMON = 24
 #: Added to the votes as a clean one, so that far neighbours alone convince nobody.
 DOUBT = 0.05
 
@@ -118,53 +120,69 @@ class BlockMaxIndex:
 
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """(rows, weights): the unit TF-IDF vector of a text's known words."""
-        known = [(r, n) for t, n in counts.items() if (r := self.row.get(t)) is not None]
+        row = self.row
+        known = [t for t in counts if t in row]
         if not known:
             return np.empty(0, np.int64), np.empty(0)
-        rows, n = np.array(known, np.int64).T
-        x = (1 + np.log(n)) * self.weights[rows]
+        rows = np.fromiter([row[t] for t in known], np.int64, len(known))
+        x = (1 + np.log(np.fromiter([counts[t] for t in known], np.float64, len(known)))) * self.weights[rows]
         return rows, x / math.sqrt(x @ x)
 
     def build(self, examples: list[tuple[int, int, np.ndarray, np.ndarray]]) -> BlockMaxIndex:
         """examples: (id, label, rows, weights), those without a known word left out."""
         # like examples lie in one block, which keeps the bounds tight
         examples = sorted((e for e in examples if len(e[2])), key=lambda e: (int(e[2][np.argmax(e[3])]), e[1], e[0]))
-        terms, blocks = len(self.row), -(-len(examples) // self.block)
+        terms, self.blocks = len(self.row), -(-len(examples) // self.block)
         self.ids = np.array([e[0] for e in examples], np.int64)
         self.labels = np.array([e[1] for e in examples], np.int8)
         place = np.repeat(np.arange(len(examples)), [len(e[2]) for e in examples])
         rows = np.concatenate([e[2] for e in examples] or [np.empty(0, np.int64)])
-        x = np.concatenate([e[3] for e in examples] or [np.empty(0)])
+        x = np.concatenate([e[3] for e in examples] or [np.empty(0)]).astype(np.float32)
+        # a list that names many examples costs less as a row of all of them
+        often = np.flatnonzero(np.bincount(rows, minlength=terms) > len(examples) / COMMON)
+        self.common = np.full(terms, -1, np.int32)
+        self.common[often] = np.arange(len(often))
+        self.full = np.zeros((len(often), self.blocks * self.block), np.float32)
+        listed = self.common[rows] < 0
+        self.full[self.common[rows[~listed]], place[~listed]] = x[~listed]
+        place, rows, x = place[listed], rows[listed], x[listed]
         key = place // self.block * terms + rows
         order = np.argsort(key, kind="stable")
-        self.place, self.x = place[order].astype(np.int32), x[order].astype(np.float32)
-        self.start = np.searchsorted(key[order], np.arange(blocks * terms + 1)).astype(np.int32)
-        self.top = np.zeros((terms, blocks), np.float32)
-        np.maximum.at(self.top, (rows, place // self.block), x.astype(np.float32))
+        self.place, self.x = place[order].astype(np.int32), x[order]
+        self.start = np.searchsorted(key[order], np.arange(self.blocks * terms + 1)).astype(np.int32)
+        self.top = np.zeros((terms, self.blocks), np.float32)
+        np.maximum.at(self.top, (rows, place // self.block), x)
         return self
 
-    def _scores(self, blocks: np.ndarray, rows: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """Cosines of all examples of some blocks; elsewhere 0."""
+    def _listed(self, blocks: np.ndarray, rows: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """What the lists of some blocks add to their examples' cosines; elsewhere 0."""
         key = blocks[:, None] * len(self.row) + rows
         start, size = self.start[key], self.start[key + 1] - self.start[key]
-        there = size > 0
-        start, size, x = start[there], size[there], np.broadcast_to(x, key.shape)[there]
-        at = np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if len(size) else start
-        return np.bincount(self.place[at], self.x[at] * np.repeat(x, size), len(self.ids))
+        there = np.flatnonzero(size)
+        start, size, x = start.ravel()[there], size.ravel()[there], x[there % len(rows)] if len(rows) else x
+        at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return np.bincount(self.place[at], self.x[at] * np.repeat(x, size), self.blocks * self.block)
 
     def nearest(self, rows: np.ndarray, x: np.ndarray, k: int) -> list[tuple[float, int]]:
         """(cosine, place) of the k examples with the largest cosines above 0; ties by place."""
         if not (len(rows) and len(self.ids)):
             return []
-        bound = x @ self.top[rows]
+        common = self.common[rows]
+        of, rare = common >= 0, common < 0
+        s = (x[of].astype(np.float32) @ self.full[common[of]]).astype(np.float64)
+        rows, x = rows[rare], x[rare]
+        bound = s.reshape(self.blocks, self.block).max(axis=1) + x @ self.top[rows]
         order = np.argsort(-bound, kind="stable")
-        s = self._scores(order[:2], rows, x)
-        least = np.partition(s, -k)[-k] if len(s) > k else 0.0
-        rest = order[2:][bound[order[2:]] >= least - 1e-5]
+
+        def least() -> float:  # what is added so far never sinks, so the k-th best of it bounds the k-th best cosine
+            return float(np.partition(s, -k)[-k]) if len(s) > k else 0.0
+
+        s += self._listed(order[:2], rows, x)
+        rest = order[2:][bound[order[2:]] >= least() - 1e-5]
         if len(rest):
-            s += self._scores(rest, rows, x)
-            least = np.partition(s, -k)[-k] if len(s) > k else 0.0
-        hits = np.flatnonzero(s >= least if least > 0 else s > 0)
+            s += self._listed(rest, rows, x)
+        low = least()
+        hits = np.flatnonzero(s >= low if low > 0 else s > 0)
         return sorted(((float(s[i]), int(i)) for i in hits), key=lambda h: (-h[0], h[1]))[:k]
 
     def vote(self, rows: np.ndarray, x: np.ndarray, k: int, without: int | None = None) -> tuple[float, list[int]]:
