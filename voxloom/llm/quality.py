@@ -9,10 +9,12 @@ by its vector's product with the difference of the weights, so scoring adds one
 
 from __future__ import annotations
 
+import operator
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -31,7 +33,7 @@ def features(token: bytes, low: int = 2, high: int = 4) -> list[int]:
 
 
 def repeats(tokens: list[bytes]) -> int:
-    return sum(a == b for a, b in zip(tokens, tokens[1:], strict=False))
+    return sum(map(operator.eq, tokens, islice(tokens, 1, None)))
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -115,6 +117,27 @@ def trained(sample: DataFrame) -> Model:
     return fitted(bags, np.array([int(r["label"] > 0) for r in rows], np.int64))
 
 
+class _Sums(dict):
+    """token -> sum of its features' margins, and their number as the imaginary part, so that one sum adds up both.
+
+    At most `room` tokens are kept here and as many older ones beside, which come back when they are met again.
+    """
+
+    def __init__(self, margins: np.ndarray, room: int = 75_000):
+        self.table, self.room, self.older = margins.tolist(), room, {}
+
+    def __missing__(self, token: bytes) -> complex:
+        if len(self) >= self.room:
+            self.older = dict(self)
+            self.clear()
+        found = self.older.get(token)
+        if found is None:
+            f = features(token)
+            found = complex(sum(map(self.table.__getitem__, f)), len(f))
+        self[token] = found
+        return found
+
+
 def scored(df: DataFrame, model: Model, text: str = "text", out: str = "quality") -> DataFrame:
     """df with `out`: probability of label 1, from whole texts; null, empty and blank texts get the bias alone.
 
@@ -125,24 +148,13 @@ def scored(df: DataFrame, model: Model, text: str = "text", out: str = "quality"
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         margins, bias = spread.value
-        known: dict[bytes, tuple[float, int]] = {}
-
-        def margin(w: bytes) -> tuple[float, int]:
-            if w not in known:
-                if len(known) > 150_000:
-                    known.clear()
-                f = features(w)
-                known[w] = (float(margins[f].sum()), len(f))
-            return known[w]
+        known = _Sums(margins)
 
         def probability(t: str | None) -> float:
             words = tokens(t)
             r = repeats(words)
-            total, n = r * margins[REPEAT], r
-            for w in words:
-                a, b = margin(w)
-                total, n = total + a, n + b
-            z = bias + (total / n if n else 0.0)
+            whole = sum(map(known.__getitem__, words), complex(r * margins[REPEAT], r))
+            z = bias + (whole.real / whole.imag if whole.imag else 0.0)
             return 1 / (1 + np.exp(-z))
 
         for texts in batches:
