@@ -129,7 +129,7 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document and of its edited text, and likeness to that and to the next document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    signed = spots.with_next(docs.withColumn("sigs", spots.signatures(F.col("text"))), ["text", "sigs"])
+    signed = spots.with_next(docs, ["text", "sigs"], computed={"sigs": spots.signatures(F.col("text"))})
     changed = signed.withColumn("edited", spots.edited(F.col("text"), F.col("_next.text")))
     both = changed.withColumn("edited_sigs", spots.signatures(F.col("edited")))
     return both.select(

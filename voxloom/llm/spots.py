@@ -20,7 +20,19 @@ ANCHORS = (
     "de la le les des et un une du que en dans qui sur par pour au est pas "
     "el los las del se por con una su no y o"
 ).split()
-_A = "(?:" + "|".join(sorted(set(ANCHORS))) + ")"
+
+
+def _either(words: set[str]) -> str:
+    """A pattern of just these words, by their beginnings, so that a word is looked up letter by letter."""
+    rests: dict[str, set[str]] = {}
+    for w in words - {""}:
+        rests.setdefault(w[0], set()).add(w[1:])
+    if not rests:
+        return ""
+    return "(?:" + "|".join(c + _either(rest) for c, rest in sorted(rests.items())) + ")" + ("?" if "" in words else "")
+
+
+_A = _either(set(ANCHORS))
 _WORD = rf"(?!{_A} )([^ ]++)"
 _MORE = rf"(?: {_A}(?= ))*+"
 #: A whole run of anchors, looking ahead over any number of further anchors to each of two content words; each run is read once.
@@ -81,11 +93,14 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(total > 0, both / total).otherwise(F.lit(1.0))
 
 
-def with_next(df: DataFrame, values: list[str], key: str = "doc_id", rows: int = 2000, most: int = 10_000) -> DataFrame:
+def with_next(
+    df: DataFrame, values: list[str], key: str = "doc_id", rows: int = 2000, most: int = 10_000, computed: dict[str, Column] | None = None
+) -> DataFrame:
     """df with `_next`, a struct of the values of the row that follows by key; after the last row comes the first.
 
     Keys are cut at quantiles into runs of about `rows` rows (at most `most` runs); each run also
-    gets a copy of the first row of the next one, so one shuffle by run is enough. Null keys come
+    gets a copy of the first row of the next one, so one shuffle by run is enough. Columns that are `computed` are added where the runs are gathered, and
+    may be among the values: they cost no shuffle. Null keys come
     first; rows with equal keys follow each other in the order of a hash of their values.
     """
     order = F.coalesce(F.col(f"`{key}`"), F.lit(-(1 << 63)))
@@ -109,13 +124,12 @@ def with_next(df: DataFrame, values: list[str], key: str = "doc_id", rows: int =
     dealt = keyed.join(F.broadcast(before), "_key", "left").withColumn(
         "_place", F.explode(F.when(F.col("_before").isNull(), F.slice(places, 1, 1)).otherwise(places))
     )
+    dealt = dealt.withColumns({"_run": F.col("_place.run"), "_extra": F.col("_place.extra")}).drop("_place", "_before").repartition("_run")
+    for name, column in (computed or {}).items():
+        dealt = dealt.withColumn(name, column)
     names = [F.col(f"`{v}`") for v in values]
-    following = W.partitionBy("_place.run").orderBy("_place.extra", "_key", F.xxhash64(*names))
-    return (
-        dealt.withColumn("_next", F.lead(F.struct(*names)).over(following))
-        .where(F.col("_place.extra") == 0)
-        .drop("_key", "_run", "_before", "_place")
-    )
+    following = W.partitionBy("_run").orderBy("_extra", "_key", F.xxhash64(*names))
+    return dealt.withColumn("_next", F.lead(F.struct(*names)).over(following)).where("_extra = 0").drop("_key", "_run", "_extra")
 
 
 def edited(text: Column, other: Column) -> Column:
