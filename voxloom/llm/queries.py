@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import bpe, decontaminate, licenses, lm, neardup, quality, secrets, sharding, spots, toxicity
+from voxloom.llm import bpe, decontaminate, fill_in_middle, licenses, lm, neardup, packing, quality, secrets, sharding, spots, toxicity, whitening
 from voxloom.llm.labelled import remainder, training_sample
 from voxloom.llm.store import small_batches
 
@@ -143,6 +143,33 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on their first eight components, each of variance one; null where a long can't hold the deviation."""
+    return whitening.whitened(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 4096 tokens."""
+    small_batches(spark)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.packed(packing.cut(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents cut at lines and put together for filling in the middle, and restored."""
+    small_batches(spark)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fill_in_middle.transformed(docs).select(
+        "doc_id",
+        F.col("fim.units").alias("n"),
+        "fim.form",
+        "fim.prefix_chars",
+        "fim.middle_chars",
+        F.sha2(F.col("fim.output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(fill_in_middle.restored(F.col("fim.output"), F.col("fim.form")).cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     "op1_neardup": op1_neardup,
     "op2_bpe": op2_bpe,
@@ -154,6 +181,9 @@ QUERIES = {
     "op8_lm": op8_lm,
     "op9_toxicity": op9_toxicity,
     "op10_fingerprints": op10_fingerprints,
+    "op11_whitening": op11_whitening,
+    "op12_packing": op12_packing,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 _AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -167,4 +197,13 @@ e AS (SELECT x, y FROM p WHERE 100 * shared >= 75 * (total - shared)), l AS (SEL
 r(x, y) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
 c AS (SELECT x, min(y) AS component_id FROM r GROUP BY 1)
 SELECT doc_id, len(g) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c ON x = doc_id""",
+    "op13_fill_in_middle": """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS u, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+h AS (SELECT *, len(u) AS n, ('0x' || x[1:8])::BIGINT AS h1, ('0x' || x[9:16])::BIGINT AS h2, ('0x' || x[17:24])::BIGINT AS h3, ('0x' || x[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM c),
+o AS (SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END AS o FROM p),
+r AS (SELECT *, instr(o, '<P>') AS ip, instr(o, '<S>') AS si, instr(o, '<M>') AS im FROM o)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars, sha256(o) AS output_sha256,
+sha256(CASE form WHEN 'plain' THEN o WHEN 'psm' THEN o[4:si - 1] || o[im + 3:] || o[si + 3:im - 1] ELSE o[ip + 3:im - 1] || o[im + 3:] || o[4:ip - 1] END) AS restored_sha256 FROM r""",
 }
