@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voxloom.functions.policy import DUPLICATE, GOLD, NORMAL, blocking, duplicatable, review_needed, servable
+from voxloom.functions.policy import DUPLICATE, GOLD, NORMAL, blocking, review_needed
+from voxloom.operators.log_fold import CLEARED, SET, Automaton, folded, named, stretches, tabled
 from voxloom.operators.ranks import placed
 from voxloom.session import kept
 
@@ -43,29 +44,40 @@ def with_next_state(df: DataFrame) -> DataFrame:
     return found.withColumn("legal", F.col("next_state").isNotNull())
 
 
+#: The stamped column of each kind of step.
+STAMPS = {"download": "downloaded_at", "submit": "submitted_at", "claim_review": "review_claimed_at", "approve": "decided_at", "reject": "decided_at", "rework": "reworked_at", "release": "released_at", "expire": "released_at"}
+
+
+def assignment_automaton() -> Automaton:
+    """Assignments: attempts counted from 0, steps applied and refused, times of steps. `assign` only opens the first lease."""
+    table = {(s, e): n for s, e, n in TRANSITIONS}
+    names = list(dict.fromkeys(STAMPS.values()))
+
+    def step(state: str, event: str | None) -> tuple[str, dict, dict]:
+        to = table.get((state, event))
+        marks = {"deadline": SET} if event == "assign" or to and event == "rework" else {}
+        if to:
+            marks |= {"downloaded_at": CLEARED, "submitted_at": CLEARED} if event == "rework" else {}
+            marks |= {STAMPS[event]: SET} if event in STAMPS else {}
+        return to or state, {"reworks": int(bool(to) and event == "rework"), "n_applied": int(bool(to)), "n_refused": int(not to)}, marks
+
+    states = ["assigned", "downloaded", "submitted", "under_review", "approved", "rejected", "released"]
+    return tabled(states, ["assign", *STAMPS, "abandon_review"], step, ["reworks", "n_applied", "n_refused"], ["deadline", *names])
+
+
+ASSIGNMENT = assignment_automaton()
+#: The same without times.
+UNSTAMPED = Automaton(ASSIGNMENT.states, ASSIGNMENT.events, ASSIGNMENT.after, ASSIGNMENT.adds)
+
+
 def folded_log(log: DataFrame, key: str, event: str, order: list[str]) -> DataFrame:
     """(key, state, attempt, n_applied, n_refused): each assignment's log folded in order from 'assigned'.
 
-    An event the table does not allow in the current state is refused and changes nothing. One
-    assignment has few events, so its own log is what is gathered; assignments are spread.
+    An event the table does not allow in the current state is refused and changes nothing. Logs are folded in
+    stretches that compose (operators/log_fold.py), so one of any length spreads over tasks.
     """
-    step_map = F.create_map(*[F.lit(x) for s, e, n in TRANSITIONS for x in (f"{s}|{e}", n)])
-    events = F.transform(
-        F.array_sort(F.collect_list(F.struct(*order, F.col(event).alias("_event")))), lambda x: x["_event"]
-    )
-    start = F.struct(F.lit("assigned").alias("state"), F.lit(1).alias("attempt"), F.lit(0).alias("done"), F.lit(0).alias("refused"))
-
-    def step(acc: Column, e: Column) -> Column:
-        after = F.try_element_at(step_map, F.concat_ws("|", acc["state"], e))
-        return F.struct(
-            F.coalesce(after, acc["state"]).alias("state"),
-            (acc["attempt"] + F.when(after.isNotNull() & (e == "rework"), 1).otherwise(0)).alias("attempt"),
-            (acc["done"] + F.when(after.isNotNull(), 1).otherwise(0)).alias("done"),
-            (acc["refused"] + F.when(after.isNull(), 1).otherwise(0)).alias("refused"),
-        )
-
-    folded = log.groupBy(key).agg(F.aggregate(events, start, step).alias("f"))
-    return folded.select(key, F.col("f.state"), F.col("f.attempt"), F.col("f.done").alias("n_applied"), F.col("f.refused").alias("n_refused"))
+    found = named(folded(stretches(log, key, event, order, UNSTAMPED), key, UNSTAMPED), UNSTAMPED)
+    return found.select(key, "state", (F.col("reworks") + 1).cast("int").alias("attempt"), F.col("n_applied").cast("int").alias("n_applied"), F.col("n_refused").cast("int").alias("n_refused"))
 
 
 def burn_down(df: DataFrame, status: Column) -> DataFrame:
@@ -176,7 +188,27 @@ def allocate(requests: DataFrame, cases: DataFrame, taken: DataFrame) -> DataFra
     return won if won is not None else requests.sparkSession.createDataFrame([], "user bigint, case bigint")
 
 
-SLOTS = "struct<wanted:int,active:int,approved:int,retired:boolean,refused:int>"
+def slot_automaton(wanted: int = 1) -> Automaton:
+    """Slots of a case: a state is (wanted, active, approved as far as it matters, retired); approvals and refusals are counted."""
+    most = max(wanted, 2)
+    states = [(w, a, p, r) for w in dict.fromkeys((wanted, 2)) for a in range(most + 1) for p in range(most + 1) for r in (False, True)]
+    states.sort(key=lambda s: s != (wanted, 0, 0, False))  # the first is a new case's
+
+    def step(state: tuple[int, int, int, bool], event: str | None) -> tuple[tuple, dict, dict]:
+        want, active, approved, retired = state
+        refused = 0
+        if event == "claim" and not retired and active + approved < want:
+            active += 1
+        elif event == "claim_duplicate" and state == (1, 0, 1, False):
+            want, active = 2, 1
+        elif event in ("claim", "claim_duplicate"):
+            refused = 1
+        elif event in ("release", "complete"):
+            active = max(active - 1, 0)
+        done = int(event == "complete")
+        return (want, active, min(approved + done, most), retired or event == "retire"), {"approved": done, "refused": refused}, {}
+
+    return tabled(states, ["claim", "claim_duplicate", "release", "complete", "retire"], step, ["approved", "refused"])
 
 
 def slot_counters(log: DataFrame, case: str, event: str, order: list[str], wanted: int = 1) -> DataFrame:
@@ -184,25 +216,17 @@ def slot_counters(log: DataFrame, case: str, event: str, order: list[str], wante
 
     claim takes a slot of a servable case; claim_duplicate asks for a second replica of a finished one and takes
     it in the same step; release and complete give a slot back, never below none; complete also approves;
-    retire closes the case. A claim that may not be is refused and changes nothing. A case has few events.
+    retire closes the case. A claim that may not be is refused and changes nothing. Logs are folded in stretches.
     """
-    events = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(event).alias("_event")))), lambda x: x["_event"])
-    start = F.struct(*[F.lit(x).alias(n) for x, n in ((wanted, "wanted"), (0, "active"), (0, "approved"), (False, "retired"), (0, "refused"))]).cast(SLOTS)
+    automaton = slot_automaton(wanted)
+    found = folded(stretches(log, case, event, order, automaton), case, automaton)
+    return slot_columns(found, case, automaton)
 
-    def step(acc: Column, e: Column) -> Column:
-        counts = [acc[c] for c in ("wanted", "active", "approved", "retired")]
-        claim = (e == "claim") & servable(*counts)
-        second = (e == "claim_duplicate") & duplicatable(*counts)
-        back = F.greatest(acc["active"] - F.when(e.isin("release", "complete"), 1).otherwise(0), F.lit(0))
-        return F.struct(
-            F.when(second, 2).otherwise(acc["wanted"]).alias("wanted"),
-            (back + F.when(claim | second, 1).otherwise(0)).alias("active"),
-            (acc["approved"] + F.when(e == "complete", 1).otherwise(0)).alias("approved"),
-            (acc["retired"] | (e == "retire")).alias("retired"),
-            (acc["refused"] + F.when(e.isin("claim", "claim_duplicate") & ~claim & ~second, 1).otherwise(0)).alias("refused"),
-        ).cast(SLOTS)
 
-    return log.groupBy(case).agg(F.aggregate(events, start, step).alias("s")).select(case, "s.*")
+def slot_columns(found: DataFrame, case: str, automaton: Automaton) -> DataFrame:
+    """(case, wanted, active, approved, retired, refused) of folded slot states."""
+    of = lambda k: F.element_at(F.array(*[F.lit(s[k]) for s in automaton.states]), F.col("state") + 1)
+    return found.select(case, of(0).alias("wanted"), of(1).alias("active"), F.col("approved").cast("int").alias("approved"), of(3).alias("retired"), F.col("refused").cast("int").alias("refused"))
 
 
 def judged(requests: DataFrame, states: DataFrame, key: str) -> DataFrame:
@@ -259,27 +283,9 @@ def stamped_log(log: DataFrame, key: str, event: str, at: str, order: list[str],
     A legal event stamps its time; rework starts an attempt with a new lease and clears download and submission.
     The first row of a log stands for the assignment itself when its event is 'assign'.
     """
-    step_map = F.create_map(*[F.lit(x) for s, e, n in TRANSITIONS for x in (f"{s}|{e}", n)])
-    stamps = {"download": "downloaded_at", "submit": "submitted_at", "claim_review": "review_claimed_at", "approve": "decided_at", "reject": "decided_at", "rework": "reworked_at", "release": "released_at", "expire": "released_at"}
-    names = list(dict.fromkeys(stamps.values()))
-    rows = F.array_sort(F.collect_list(F.struct(*order, F.col(event).alias("_event"), F.col(at).cast("double").alias("_at"))))
-    none = F.lit(None).cast("double")
-    start = F.struct(F.lit("assigned").alias("state"), F.lit(1).alias("attempt"), none.alias("deadline"), *[none.alias(n) for n in names])
-
-    def step(acc: Column, x: Column) -> Column:
-        e, t = x["_event"], x["_at"]
-        after = F.try_element_at(step_map, F.concat_ws("|", acc["state"], e))
-        ok, again = after.isNotNull(), after.isNotNull() & (e == "rework")
-        stamp = lambda n: F.when(ok & e.isin([k for k, v in stamps.items() if v == n]), t)
-        keep = lambda n: F.when(again & F.lit(n in ("downloaded_at", "submitted_at")), none).otherwise(acc[n])
-        return F.struct(
-            F.coalesce(after, acc["state"]).alias("state"),
-            (acc["attempt"] + F.when(again, 1).otherwise(0)).alias("attempt"),
-            F.when(again | (e == "assign"), t + lease).otherwise(acc["deadline"]).alias("deadline"),
-            *[F.coalesce(stamp(n), keep(n)).alias(n) for n in names],
-        )
-
-    return log.groupBy(key).agg(F.aggregate(rows, start, step).alias("f")).select(key, "f.*")
+    found = named(folded(stretches(log, key, event, order, ASSIGNMENT, at), key, ASSIGNMENT), ASSIGNMENT)
+    names = list(dict.fromkeys(STAMPS.values()))
+    return found.select(key, "state", (F.col("reworks") + 1).cast("int").alias("attempt"), (F.col("deadline") + lease).alias("deadline"), *names)
 
 
 def released_all(assignments: DataFrame, disabled: DataFrame, user: str, key: str, state: str = "state") -> DataFrame:

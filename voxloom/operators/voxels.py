@@ -1,7 +1,7 @@
-"""Label volumes as sparse rows (case, label, x, y, z): overlap, surfaces, distances, merging, remapping.
+"""Label volumes as sparse rows (case, label, x, y, z): overlap, surfaces, scores, merging; geometry and paired tests.
 
-Every operator groups or joins on the case and voxel, so cases spread over the cluster. Only the
-surface distance gathers something: one structure's surface in one case, which one scan bounds.
+Voxel rows are packed into bricks (operators/bricks.py) before anything is exchanged, and surface distances are made
+plane by plane and column by column (operators/distances.py), so neither a case nor a structure is one task.
 """
 
 from __future__ import annotations
@@ -14,77 +14,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from voxloom.operators import bricks, distances
+
 XYZ = ["x", "y", "z"]
 
 
 def dice(a: DataFrame, b: DataFrame, keys: list[str], label: str = "label") -> DataFrame:
-    """(keys, label, voxels_a, voxels_b, both, dice) of distinct voxel rows; a structure of one side only has dice 0.
-
-    One pass: both sides are stacked and each voxel counted, so no join is needed.
-    """
-    sides = a.select(*keys, label, *XYZ, F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(
-        b.select(*keys, label, *XYZ, F.lit(0).alias("a"), F.lit(1).alias("b"))
-    )
-    voxels = sides.groupBy(*keys, label, *XYZ).agg(F.max("a").alias("a"), F.max("b").alias("b"))
-    counts = voxels.groupBy(*keys, label).agg(F.sum("a").alias("voxels_a"), F.sum("b").alias("voxels_b"), F.sum(F.col("a") * F.col("b")).alias("both"))
-    return counts.withColumn("dice", F.try_divide(2 * F.col("both"), F.col("voxels_a") + F.col("voxels_b")))
+    """(keys, label, voxels_a, voxels_b, both, dice) of voxel rows; a structure of one side only has dice 0."""
+    by = [*keys, label]
+    return bricks.dice(bricks.packed(a, by), bricks.packed(b, by), by)
 
 
 def surface(df: DataFrame, keys: list[str]) -> DataFrame:
     """Voxels of each (keys) mask with fewer than six face neighbours in it; outside the grid is background."""
-    steps = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
-    at = lambda d, own: F.struct(*[(F.col(c) + k).alias(c) for c, k in zip(XYZ, d, strict=True)], F.lit(own).alias("own"))
-    marks = df.select(*keys, F.explode(F.array(at((0, 0, 0), 1), *[at(d, 0) for d in steps])).alias("v"))
-    counts = marks.groupBy(*keys, *[F.col(f"v.{c}").alias(c) for c in XYZ]).agg(F.max("v.own").alias("own"), F.count_if(F.col("v.own") == 0).alias("n"))
-    return counts.where("own = 1 AND n < 6").select(*keys, *XYZ)
-
-
-def nearest(points: np.ndarray, others: np.ndarray, chunk: int = 512) -> np.ndarray:
-    """Exact distance of each point to the closest of the others, by slabs along the first axis."""
-    others = others[np.argsort(others[:, 0], kind="stable")]
-    order = np.argsort(points[:, 0], kind="stable")
-    out = np.empty(len(points))
-    for i in range(0, len(points), chunk):
-        idx = order[i : i + chunk]
-        part = points[idx]
-        low = high = int(np.searchsorted(others[:, 0], part[len(part) // 2, 0]))
-        best = np.full(len(part), np.inf)
-        while low > 0 or high < len(others):
-            a, b = max(0, low - chunk), min(len(others), high + chunk)
-            for s, e in ((a, low), (high, b)):
-                if s < e:
-                    best = np.minimum(best, ((part[:, None, :] - others[None, s:e]) ** 2).sum(axis=2).min(axis=1))
-            low, high = a, b
-            reach = np.inf
-            if low > 0:
-                reach = min(reach, part[0, 0] - others[low - 1, 0])
-            if high < len(others):
-                reach = min(reach, others[high, 0] - part[-1, 0])
-            if reach > 0 and reach * reach > best.max():
-                break
-        out[idx] = np.sqrt(best)
-    return out
-
-
-def surface_scores(a: DataFrame, b: DataFrame, keys: list[str], spacing: tuple[float, float, float], tolerance: float = 1.5) -> DataFrame:
-    """(keys, nsd, hd95) from surface voxels of both sides.
-
-    nsd: share of both surfaces within the tolerance (mm); hd95: the larger of the two 95th
-    percentiles (linear) of surface distances. A structure on one side only has nsd 0 and infinite hd95.
-    """
-    scale = np.array(spacing)
-
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        p, q = (side[XYZ].to_numpy(float) * scale for side in (left, right))
-        key = (left if len(left) else right)[keys].iloc[:1].reset_index(drop=True)
-        if not len(p) or not len(q):
-            return key.assign(nsd=0.0, hd95=np.inf)
-        d, e = nearest(p, q), nearest(q, p)
-        within = (d <= tolerance).sum() + (e <= tolerance).sum()
-        return key.assign(nsd=within / (len(d) + len(e)), hd95=max(np.percentile(d, 95), np.percentile(e, 95)))
-
-    fields = ", ".join(f"{k} {dict(a.dtypes)[k]}" for k in keys)
-    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(score, f"{fields}, nsd double, hd95 double")
+    return bricks.unpacked(bricks.surface(bricks.packed(df, keys), keys))
 
 
 def score_cases(
@@ -100,15 +43,18 @@ def score_cases(
 ) -> DataFrame:
     """Dice and, unless surfaces is False, NSD and HD95 of every structure (`only` some labels) of every case.
 
+    pred and ref are voxel rows (keys, label, x, y, z) or bricks (keys, label, bx, by, bz, bits).
     With `labels`, every case (of `cases`, else of either side) has a row for each of them: a structure that
     neither side holds has no voxels and null scores.
     """
     if only is not None:
         pred, ref = (side.where(F.col("label").isin(only)) for side in (pred, ref))
-    found = dice(pred, ref, keys)
     by = [*keys, "label"]
+    pred, ref = (side.select(*by, *bricks.BRICK, "bits") if "bits" in side.columns else bricks.packed(side, by) for side in (pred, ref))
+    found = bricks.dice(pred, ref, by)
     if surfaces:
-        found = found.join(surface_scores(surface(pred, by), surface(ref, by), by, spacing, tolerance), by, "left")
+        scores = distances.surface_scores(bricks.surface(pred, by), bricks.surface(ref, by), by, spacing, tolerance)
+        found = bricks.beside(found, scores, by, "left")
     if labels is not None:
         wanted = [x for x in labels if only is None or x in only]
         every = (cases.select(*keys) if cases is not None else pred.select(*keys).unionByName(ref.select(*keys))).distinct()
@@ -173,22 +119,9 @@ def merge_masks(claims: DataFrame, case: list[str], policy: str = "smaller_wins"
     smaller_wins: a contested voxel goes to the structure with fewer voxels, of equal ones to the
     smaller label; label_order: to the largest label. A voxel with n claims counts n - 1 collisions.
     """
-    if policy not in ("smaller_wins", "label_order"):
-        raise ValueError(f"unknown overlap policy {policy}")
-    if policy == "smaller_wins":
-        sizes = claims.groupBy(*case, "label").agg(F.count("*").alias("_size"))
-        claims = claims.join(sizes, [*case, "label"])
-        winner: Column = F.min_by("label", F.struct("_size", "label"))
-    else:
-        winner = F.max("label")
-    voxels = claims.groupBy(*case, *XYZ).agg(winner.alias("label"), (F.count("*") - 1).alias("_more"))
-    return voxels.drop("_more"), voxels.groupBy(*case).agg(F.sum("_more").alias("collisions"))
-
-
-def remap(df: DataFrame, mapping: dict[int, int], label: str = "label") -> DataFrame:
-    """df with labels replaced; null where the mapping has none (those voxels are to be dropped and reported)."""
-    pairs = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
-    return df.withColumn("source", F.col(label)).withColumn(label, F.try_element_at(pairs, F.col(label)))
+    found = bricks.merged(bricks.packed(claims, [*case, "label"]), case, policy)
+    collisions = found.groupBy(*case).agg(F.sum(F.bit_count("lost")).cast("bigint").alias("collisions"))
+    return bricks.unpacked(found.drop("lost")), collisions
 
 
 def label_counts(df: DataFrame, case: str, labels: list[int]) -> DataFrame:

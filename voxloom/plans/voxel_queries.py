@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.operators import voxels
+from voxloom.operators import bricks, distances, voxels
 from voxloom.plans.base import query
 from voxloom.session import table
 
@@ -35,7 +35,7 @@ def _balls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem")
     label = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2).otherwise(3)
-    return items.select(label.alias("label"), (F.col("l_partkey") % 97).alias("x"), (F.col("l_suppkey") % 89).alias("y"), F.col("l_linenumber").alias("z")).distinct()
+    return items.select(label.alias("label"), (F.col("l_partkey") % 97).alias("x"), (F.col("l_suppkey") % 89).alias("y"), F.col("l_linenumber").alias("z"))
 
 
 @query("""SELECT source, sum(quality)::BIGINT AS voxels_a, sum(toxic)::BIGINT AS voxels_b, sum(quality * toxic)::BIGINT AS both,
@@ -65,22 +65,61 @@ def nsd_hd95(spark: SparkSession, sf_dir: str) -> DataFrame:
 v AS (SELECT x, y, z, min_by(label, (n, label)) AS label, count(*) - 1 AS more FROM m JOIN sizes USING (label) GROUP BY x, y, z)
 SELECT label, count(*) AS voxels, sum(more)::BIGINT AS collisions FROM v GROUP BY label""")
 def overlap_smaller_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims = _claims(spark, sf_dir)
-    merged, _ = voxels.merge_masks(claims, [])
-    contested = claims.groupBy("x", "y", "z").agg((F.count("*") - 1).alias("more"))
-    return merged.join(contested, ["x", "y", "z"]).groupBy("label").agg(F.count("*").alias("voxels"), F.sum("more").alias("collisions"))
+    """Voxels that each label keeps, and the claims of others on them (VX-8, VX-9)."""
+    found = bricks.merged(bricks.packed(_claims(spark, sf_dir), ["label"]), [])
+    # what a label lost counts where it was kept: each brick's claims less its voxels
+    kept = found.select("label", *bricks.BRICK, "bits")
+    lost = found.where("lost != 0").select(*bricks.BRICK, "lost")
+    more = kept.join(lost, bricks.BRICK).groupBy("label").agg(F.sum(F.bit_count(F.col("bits").bitwiseAND(F.col("lost")))).alias("collisions"))
+    return bricks.counts(kept, ["label"]).withColumnRenamed("n", "voxels").where("voxels > 0").join(more, "label", "left").na.fill(0, ["collisions"])
 
 
 @query(f"WITH {SPARSE} SELECT label, count(*) AS voxels FROM (SELECT x, y, z, max(label) AS label FROM m GROUP BY x, y, z) GROUP BY label")
 def overlap_label_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merged, _ = voxels.merge_masks(_claims(spark, sf_dir), [], "label_order")
-    return merged.groupBy("label").agg(F.count("*").alias("voxels"))
+    found = bricks.merged(bricks.packed(_claims(spark, sf_dir), ["label"]), [], "label_order")
+    return bricks.counts(found, ["label"]).withColumnRenamed("n", "voxels").where("voxels > 0")
 
 
-@query("SELECT l_linenumber AS source, CASE l_linenumber WHEN 1 THEN 7 WHEN 2 THEN 3 WHEN 5 THEN 1 END AS label, count(*) AS n FROM lineitem GROUP BY 1, 2")
+MARKED = """v AS (SELECT DISTINCT l_suppkey AS c, l_linenumber AS label, l_partkey % 61 AS x, l_orderkey % 53 AS y, l_quantity::BIGINT AS z FROM lineitem)"""
+
+
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bricks of a sparse label volume for each supplier."""
+    place = [F.col("l_partkey") % 61, F.col("l_orderkey") % 53, F.col("l_quantity").cast("bigint")]
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("c"), F.col("l_linenumber").alias("label"), *[p.alias(k) for p, k in zip(place, "xyz", strict=True)])
+    return bricks.packed(rows, ["c", "label"])
+
+
+@query(f"""WITH {MARKED}, t AS (SELECT c, label, CASE label WHEN 1 THEN 7 WHEN 2 THEN 3 WHEN 5 THEN 7 END AS t, x, y, z FROM v), k AS (SELECT DISTINCT c FROM v)
+SELECT c, (SELECT count(*) FROM (SELECT DISTINCT x, y, z FROM t WHERE t.c = k.c AND t.t = 7)) AS n7, (SELECT count(*) FROM t WHERE t.c = k.c AND t.t = 3) AS n3,
+coalesce((SELECT string_agg(label || ':' || n, ',' ORDER BY label) FROM (SELECT label, count(*) AS n FROM t WHERE t.c = k.c AND t.t IS NULL GROUP BY label)), '') AS dropped,
+(SELECT coalesce(string_agg(m, ',' ORDER BY m), '') FROM (SELECT unnest([3, 4, 7]) AS m) WHERE m NOT IN (SELECT t.t FROM t WHERE t.c = k.c AND t.t IS NOT NULL)) AS missing FROM k""")
 def label_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("label"))
-    return voxels.remap(rows, {1: 7, 2: 3, 5: 1}).groupBy("source", "label").agg(F.count("*").alias("n"))
+    """Each supplier's volume with labels replaced; what is dropped and what is missing (VX-10)."""
+    known, report = bricks.remapped(_marked(spark, sf_dir), ["c"], {1: 7, 2: 3, 5: 7, 99: 4})
+    n = bricks.counts(known, ["c", "label"])
+    per = n.groupBy("c").agg(*[F.coalesce(F.sum(F.when(F.col("label") == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in (7, 3)])
+    said = F.concat_ws(",", F.transform("unmapped", lambda u: F.concat_ws(":", u["label"].cast("string"), u["voxels"].cast("string"))))
+    out = report.select("c", said.alias("dropped"), F.concat_ws(",", F.col("missing").cast("array<string>")).alias("missing"))
+    return out.join(per, "c", "left").na.fill(0, ["n7", "n3"])
+
+
+NEAR = f"""WITH {MARKED}, m AS (SELECT c, label % 2 AS side, x, y, z FROM v), u AS (SELECT DISTINCT * FROM m),
+f AS (SELECT c, side, x, y, z FROM u a WHERE (SELECT count(*) FROM u b WHERE b.c = a.c AND b.side = a.side AND abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) = 1) < 6),
+d AS (SELECT p.c, p.side, p.x, p.y, p.z, min(sqrt(0.64 * (p.x - q.x) * (p.x - q.x) + 0.64 * (p.y - q.y) * (p.y - q.y) + 2.25 * (p.z - q.z) * (p.z - q.z))) AS d FROM f p JOIN f q ON p.c = q.c AND p.side <> q.side GROUP BY ALL),
+s AS (SELECT c, side, quantile_cont(d, 0.95) AS far FROM d GROUP BY ALL)
+SELECT c, count(*) AS n, round(avg(CASE WHEN d <= 3 THEN 1.0 ELSE 0.0 END), 6) AS nsd, round((SELECT max(far) FROM s WHERE s.c = d.c), 6) AS hd95 FROM d GROUP BY c"""
+
+
+@query(NEAR)
+def surface_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the surfaces of two masks of every supplier, made of all line items (VX-2 to VX-5)."""
+    sides = _marked(spark, sf_dir).select("c", (F.col("label") % 2).alias("side"), *bricks.BRICK, "bits")
+    both = [sides.where(F.col("side") == k).groupBy("c", *bricks.BRICK).agg(F.bit_or("bits").alias("bits")) for k in (0, 1)]
+    a, b = (bricks.surface(side, ["c"]) for side in both)
+    scores = distances.surface_scores(a, b, ["c"], (0.8, 0.8, 1.5), tolerance=3)
+    n = bricks.counts(a.unionByName(b), ["c"])
+    return n.join(scores, "c").select("c", "n", F.round("nsd", 6).alias("nsd"), F.round("hd95", 6).alias("hd95")).where("hd95 < double('inf')")
 
 
 @query("""SELECT c, label, coalesce(n, 0) AS n FROM (SELECT DISTINCT p_size AS c FROM part JOIN lineitem ON l_partkey = p_partkey) CROSS JOIN (SELECT unnest([1, 2, 9]) AS label)
