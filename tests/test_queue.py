@@ -231,3 +231,38 @@ def test_policy_is_checked():
     with pytest.raises(ValueError):
         policy.SamplingPolicy(lease_days=0).checked()
     assert policy.SamplingPolicy().checked()
+
+
+def test_failed_scores_stand_in_nobodys_way(spark):
+    """25 rows at the head can never be scored; the 26th is, and in the end they are set aside."""
+    work = [(k, k, "gold") for k in range(30)] + [(99, 0, "normal")]
+    df = spark.createDataFrame(work, "key int, submitted int, kind string")
+    tries, now, seen = [], 0.0, []
+    for _ in range(2):
+        batch = [r["key"] for r in queue.next_scores(df, spark.createDataFrame(tries, "key int, at double, ok boolean"), F.lit(now)).collect()]
+        tries += [(k, now, k >= 25) for k in batch]
+        seen.append(batch)
+        now += 30
+    assert seen == [list(range(25)), [25, 26, 27, 28, 29]]
+    tries += [(k, 1000.0 * i, False) for i in range(1, queue.GIVE_UP) for k in range(25)]
+    log = spark.createDataFrame(tries, "key int, at double, ok boolean")
+    assert {r["status"] for r in queue.due_scores(df, log, F.lit(1e9)).collect()} == {"dead"}
+    assert queue.next_scores(df, log, F.lit(1e9)).count() == 0
+
+
+def test_waits_double(spark):
+    df = spark.createDataFrame([(1, 1, "gold")], "key int, submitted int, kind string")
+    for n, wait in ((1, 60), (2, 120), (3, 240)):
+        log = spark.createDataFrame([(1, 100.0 * i, False) for i in range(n)], "key int, at double, ok boolean")
+        last = 100.0 * (n - 1)
+        assert [queue.due_scores(df, log, F.lit(last + wait + d)).first()["status"] for d in (-1.0, 0.0)] == ["waiting", "due"]
+
+
+def test_named_users_get_cases(spark):
+    cases = spark.createDataFrame([(1, 1, 0, 0, False), (2, 2, 0, 0, False), (3, 1, 1, 0, False), (4, 1, 0, 0, True)], "case int, wanted int, active int, approved int, retired boolean")
+    orders = spark.createDataFrame([(7, 1), (8, 1), (7, 1), (7, 2), (8, 2), (9, 2), (7, 3), (7, 4), (7, 5)], "user int, case int")
+    met = spark.createDataFrame([(7, 2), (7, 3)], "user int, case int")
+    got = {(r["user"], r["case"]): r["outcome"] for r in queue.assigned(orders, cases, met).collect()}
+    assert got == {
+        (7, 1): "assigned", (8, 1): "not_servable", (7, 2): "had_it", (8, 2): "assigned", (9, 2): "assigned", (7, 3): "not_servable", (7, 4): "not_servable", (7, 5): "unknown_case",
+    }

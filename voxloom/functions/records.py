@@ -58,3 +58,8 @@ def zipped(names: Column, values: Column) -> Column:
 def inverted(m: Column) -> Column:
     """A map with keys and values exchanged."""
     return F.map_from_entries(F.transform(F.map_entries(m), lambda e: F.struct(e["value"], e["key"])))
+
+
+def seen_by(assignments: DataFrame, admin: bool) -> DataFrame:
+    """Assignments with the columns that a viewer may know: whether work is gold, a duplicate or normal is for administrators only."""
+    return assignments if admin else assignments.drop("kind")

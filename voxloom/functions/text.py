@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Extensions of volumes, longest first.
@@ -29,20 +29,21 @@ def safe_name(name: Column) -> Column:
 
 
 def walltime_seconds(text: Column) -> Column:
-    """D-H:M:S, D-H:M, D-H, H:M:S, M:S or M in seconds; null for anything else."""
-    pattern = r"^(?:(\d+)-)?(\d+)(?::(\d+))?(?::(\d+))?$"
-    t = F.trim(text)
-    part = lambda i: F.nullif(F.regexp_extract(t, pattern, i), F.lit("")).cast("bigint")
-    days, a, b, c = (part(i) for i in range(1, 5))
-    d = F.coalesce(days, F.lit(0))
-    rest = (
-        F.when(c.isNotNull(), a * 3600 + b * 60 + c)
-        .when(b.isNotNull() & (d > 0), a * 3600 + b * 60)
-        .when(b.isNotNull(), a * 60 + b)
-        .when(d > 0, a * 3600)
-        .otherwise(a * 60)
-    )
-    return F.when(t.rlike(pattern), d * 86400 + rest)
+    """Seconds of a limit as SLURM writes it: whole numbers between colons, with days and a dash before them or without; null for anything else.
+
+    The numbers' units follow from where they begin: at hours after a dash or when there are three, else at minutes; a
+    single number without days is minutes. So each number is weighed by its place, counted from that beginning.
+    """
+    halves = F.split(F.trim(text), "-")
+    clock = F.split(F.element_at(halves, -1), ":")
+    has_days = F.size(halves) == 2
+    whole = F.forall(F.concat(F.slice(halves, 1, F.size(halves) - 1), clock), lambda n: n.rlike("^[0-9]+$"))
+    begin = F.when(has_days | (F.size(clock) == 3), 0).otherwise(1)
+    weights = F.array(F.lit(3600), F.lit(60), F.lit(1))
+    weighed = F.transform(clock, lambda n, i: n.try_cast("bigint") * F.get(weights, i + begin))
+    days = F.when(has_days, F.get(halves, F.lit(0)).try_cast("bigint")).otherwise(0)
+    total = F.aggregate(weighed, days * 86400, lambda sum_, x: sum_ + x)
+    return F.when(whole & (F.size(halves) <= 2) & (F.size(clock) <= 3), total)
 
 
 def walltime_text(seconds: Column) -> Column:
@@ -76,6 +77,14 @@ def checksum_matches(expected: Column, actual: Column) -> Column:
     return (clean(expected) == "") | ((clean(actual) != "") & (clean(expected) == clean(actual)))
 
 
+def with_copies(df: DataFrame, digest: str) -> DataFrame:
+    """df with `copies`: how many rows share the digest; null digests count among themselves and stay apart from the exchange by digest."""
+    counts = df.where(F.col(digest).isNotNull()).groupBy(digest).agg(F.count("*").alias("copies"))
+    none = df.where(F.col(digest).isNull())
+    n = none.agg(F.count("*").alias("copies"))
+    return df.where(F.col(digest).isNotNull()).join(counts, digest).unionByName(none.join(F.broadcast(n)))
+
+
 def name_hash(name: Column) -> Column:
     """32-bit rolling hash (times 31) over a name's characters, which seeds its colour."""
     codes = F.transform(F.split(name, ""), F.ascii)
@@ -83,15 +92,20 @@ def name_hash(name: Column) -> Column:
 
 
 def name_colour(name: Column) -> Column:
-    """struct(red, green, blue) from 0 to 1: the hash gives hue, saturation (0.55 and more) and value (0.7 and more)."""
+    """struct(red, green, blue) from 0 to 1: the hash gives hue, saturation (0.55 and more) and value (0.7 and more).
+
+    A channel of the colour at hue h (in sixths of the circle) is v - v s max(0, min(k, 4 - k, 1)), where k = (n + h) mod 6 and n is
+    5 for red, 3 for green and 1 for blue.
+    """
     h = name_hash(name)
+    # Which bits of the hash make hue, saturation and value, and their ranges.
     hue, s, v = (h % 360) / 60.0, F.lit(0.55) + (F.shiftright(h, 9) % 40) / 100.0, F.lit(0.70) + (F.shiftright(h, 17) % 30) / 100.0
-    i = F.floor(hue) % 6
-    f = hue - F.floor(hue)
-    p, q, t = v * (1 - s), v * (1 - f * s), v * (1 - (1 - f) * s)
-    sector = [(v, t, p), (q, v, p), (p, v, t), (p, q, v), (t, p, v), (v, p, q)]
-    pick = lambda k: F.get(F.array(*[x[k] for x in sector]), i.cast("int"))
-    return F.struct(*[pick(k).alias(n) for k, n in enumerate(("red", "green", "blue"))])
+
+    def channel(n: int) -> Column:
+        k = (hue + n) % 6
+        return v - v * s * F.greatest(F.lit(0.0), F.least(k, 4 - k, F.lit(1.0)))
+
+    return F.struct(*[channel(n).alias(c) for n, c in ((5, "red"), (3, "green"), (1, "blue"))])
 
 
 def shell_quoted(path: Column) -> Column:

@@ -27,17 +27,31 @@ def stratified_folds(df: DataFrame, key: str, stratum: str, folds: int = 5, seed
     """df with `fold`: strata from large to small (ties by name), members in hash order, one running cursor modulo folds.
 
     A stratum's fold sizes differ by one at most. The order inside a stratum is that of
-    sha256('seed:key'), so it does not depend on the input order.
+    sha256('seed:key'), so it does not depend on the input order. Rows without a stratum are a stratum, named 'unknown'
+    among ties; rows without a key come first in theirs.
     """
     sizes = df.groupBy(stratum).agg(F.count("*").alias("_size"))
-    order = W.orderBy(F.desc("_size"), stratum)
-    ranks = sizes.withColumn("_stratum", F.row_number().over(order)).drop("_size")
-    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)
-    placed = df.join(ranks, stratum).withColumn("_digest", digest)
+    order = W.orderBy(F.desc("_size"), F.coalesce(F.col(stratum).cast("string"), F.lit("unknown")), F.col(stratum).isNull())
+    ranks = sizes.withColumn("_stratum", F.row_number().over(order)).select(F.col(stratum).alias("_name"), "_stratum")
+    digest = F.coalesce(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256), F.lit("00"))
+    placed = df.join(ranks, F.col(stratum).eqNullSafe(F.col("_name"))).drop("_name").withColumn("_digest", digest)
     ranked = distributed_rank(placed, ["_stratum"], "_digest", "_at")
     return ranked.withColumn("fold", (F.col("_at") % folds).cast("int")).drop("_at", "_stratum", "_digest")
 
 
+def size_report(df: DataFrame, group: str, total: Column, groups: int) -> DataFrame:
+    """(group, n, expected, as_expected) of groups numbered from 0 that should share `total` rows evenly, the first ones one more each.
+
+    total: an aggregate over df, e.g. F.max of the last member's number. Groups without rows are listed with n 0.
+    """
+    whole = df.agg(total.cast("bigint").alias("_total"))
+    every = df.sparkSession.range(groups).select(F.col("id").alias(group)).join(F.broadcast(whole))
+    expected = F.floor(F.col("_total") / groups) + (F.col(group) < F.col("_total") % groups).cast("int")
+    counts = df.groupBy(F.col(group).cast("bigint").alias(group)).agg(F.count("*").alias("n"))
+    listed = every.join(counts, group, "left").select(group, F.coalesce("n", F.lit(0)).alias("n"), expected.alias("expected"))
+    return listed.withColumn("as_expected", F.col("n") == F.col("expected"))
+
+
 def fold_members(folded: DataFrame, key: str, folds: int = 5) -> DataFrame:
     """(fold, role, key): a row is validation in its own fold and training in all others."""
     crossed = folded.select(key, "fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("_f"))

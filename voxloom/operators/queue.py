@@ -294,10 +294,52 @@ def released_all(assignments: DataFrame, disabled: DataFrame, user: str, key: st
     return open_work.select(key, F.lit("release").alias("event"), F.lit("release").alias("slot_event"))
 
 
+def assigned(orders: DataFrame, cases: DataFrame, met: DataFrame) -> DataFrame:
+    """orders (user, case) of an administrator with outcome: assigned, had_it (the pair met before), not_servable, or unknown_case.
+
+    cases: (case, wanted, active, approved, retired). Of several orders for one case as many as it has free slots are carried
+    out, the smallest users first, and the rest find it not servable; an order that is repeated counts once.
+    """
+    asked = orders.select("user", "case").distinct()
+    free = F.when(F.col("retired"), 0).otherwise(F.greatest(F.lit(0), F.col("wanted") - F.col("active") - F.col("approved")))
+    known = asked.join(cases.select("case", free.alias("_free")), "case", "left").join(met.select("user", "case").distinct().withColumn("_met", F.lit(True)), ["user", "case"], "left")
+    fit = F.col("_met").isNull() & (F.col("_free") > 0)
+    # first within cells of a case, so that no task ranks all orders for one
+    cell = W.partitionBy("case", F.pmod(F.xxhash64("user"), F.lit(64))).orderBy("user")
+    first = known.where(fit).withColumn("_i", F.row_number().over(cell)).where("_i <= _free")
+    given = first.withColumn("_i", F.row_number().over(W.partitionBy("case").orderBy("user"))).where("_i <= _free").select("user", "case", F.lit(True).alias("_given"))
+    outcome = F.when(F.col("_free").isNull(), "unknown_case").when(F.col("_given"), "assigned").when(F.col("_met") & (F.col("_free") > 0), "had_it").otherwise("not_servable")
+    return known.join(given, ["user", "case"], "left").select("user", "case", outcome.alias("outcome"))
+
+
+#: After so many failures a score is not tried again; the wait after the first one, which doubles each time (seconds).
+GIVE_UP, WAIT = 5, 60.0
+
+
+def due_scores(submissions: DataFrame, attempts: DataFrame, now: Column, most: int = GIVE_UP, wait: float = WAIT) -> DataFrame:
+    """Submissions (key, submitted, kind) that a score is owed, with failures, due (seconds) and status: due, waiting or dead.
+
+    attempts: a log (key, at, ok) of tries, appended to by the worker; a success ends a submission's debt. A failure puts
+    it off, each time twice as long, and the `most`-th sets it aside for a reviewer, so rows that can never be scored
+    stand in nobody's way. Normal work owes no score.
+    """
+    tries = attempts.groupBy("key").agg(F.count_if(~F.col("ok")).alias("failures"), F.max(F.when(~F.col("ok"), F.col("at"))).alias("_last"), F.bool_or("ok").alias("_done"))
+    owed = submissions.where(F.col("kind").isin(GOLD, DUPLICATE)).join(tries, "key", "left").where("_done IS NULL OR NOT _done").drop("_done")
+    failures = F.coalesce("failures", F.lit(0))
+    due = F.col("_last") + wait * F.pow(F.lit(2.0), failures - 1)
+    status = F.when(failures >= most, "dead").when(due > now, "waiting").otherwise("due")
+    return owed.withColumn("failures", failures).withColumn("due", F.when(failures > 0, due)).withColumn("status", status).drop("_last")
+
+
+def next_scores(submissions: DataFrame, attempts: DataFrame, now: Column, limit: int = 25) -> DataFrame:
+    """The worker's next batch: what is due, the oldest first."""
+    return due_scores(submissions, attempts, now).where("status = 'due'").orderBy("submitted", "key").limit(limit)
+
+
 def worker_queue(submissions: DataFrame, limit: int = 25) -> DataFrame:
     """Oldest submissions (kind, scored, submitted, key) that a score is owed: gold and duplicates, at most `limit`.
 
-    A score that failed leaves its row as it is, so the next poll takes it again.
+    A score that failed leaves its row as it is, so the next poll takes it again; see `next_scores` for a log of tries.
     """
     owed = submissions.where(~F.col("scored") & F.col("kind").isin(GOLD, DUPLICATE))
     return owed.orderBy("submitted", "key").limit(limit)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.functions import policy
+from voxloom.functions import policy, tables
 from voxloom.functions.splits import hash_position
 from voxloom.operators import queue
+from voxloom.operators.ranks import placed
 from voxloom.plans.base import query
 from voxloom.session import table
 
@@ -315,10 +316,13 @@ def sweep_incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return old.join(orders, "l_orderkey", "left_anti").join(parts, "l_partkey", "left_anti").select("l_orderkey", "l_partkey")
 
 
-@query("""WITH c AS (SELECT l_orderkey, count(*) FILTER (l_returnflag = 'R') AS r, count(*) FILTER (l_returnflag = 'A') AS a, count(*) FILTER (l_returnflag = 'N') AS n, sum(l_quantity) AS s FROM lineitem GROUP BY 1)
+CHECKS = """WITH c AS (SELECT l_orderkey, count(*) FILTER (l_returnflag = 'R') AS r, count(*) FILTER (l_returnflag = 'A') AS a, count(*) FILTER (l_returnflag = 'N') AS n, sum(l_quantity) AS s FROM lineitem GROUP BY 1)
 SELECT l_orderkey, array_to_string(list_filter([CASE WHEN r = 0 THEN 'empty_required_segment:R' WHEN r <= 8 THEN 'stray_voxels:R' END,
 CASE WHEN a BETWEEN 1 AND 8 THEN 'stray_voxels:A' END, CASE WHEN n > 0 THEN 'unexpected_segment:N' END, CASE WHEN a = 0 THEN 'empty_optional_segment:A' END,
-CASE WHEN s < 60 THEN 'implausibly_fast:' || round(s)::BIGINT END], lambda x: x IS NOT NULL), ',') AS problems FROM c""")
+CASE WHEN s < 60 THEN 'implausibly_fast:' || round(s)::BIGINT END], lambda x: x IS NOT NULL), ',') AS problems FROM c"""
+
+
+@query(CHECKS)
 def submission_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules over the line items of an order: R required, A optional, N unexpected; quantity stands for seconds (FN-10, SO-6)."""
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_quantity")
@@ -328,14 +332,45 @@ def submission_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select("l_orderkey", F.array_join(F.transform(problems, lambda p: F.concat_ws(":", p["code"], p["subject"])), ",").alias("problems"))
 
 
-@query("""SELECT event_id, array_to_string(list_filter([CASE WHEN event_type = 'click' AND value / 100 < 0.7 THEN 'mean Dice ' || round((value / 100)::DECIMAL(18, 6), 2)::DECIMAL(18, 2) || ' against the reference' END,
-CASE WHEN value > 0 AND value < 60 THEN 'only ' || round(value::DECIMAL(18, 6), 0)::DECIMAL(18, 0) || ' s spent on the case' END], lambda x: x IS NOT NULL), ';') AS reasons
-FROM events WHERE event_type IN ('click', 'view')""")
+@query(CHECKS)
+def submission_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rules as a table function over the partitions of a table (UD-6)."""
+    tables.register(spark)
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_returnflag").alias("segment"), "l_quantity")
+    whole = items.groupBy("key").agg(F.sum("l_quantity").alias("seconds"))
+    rows = items.groupBy("key", "segment").agg(F.count("*").alias("voxels")).join(whole, "key")
+    found = spark.sql("SELECT * FROM submission_problems(TABLE(SELECT * FROM {rows}) PARTITION BY (key), 'R', 'A')", rows=rows)
+    level = F.when(F.col("level") == "error", 0).otherwise(1)
+    # The order of the rules.
+    rule = F.array_position(F.array(*[F.lit(c) for c in ("R", "A", "N")]), F.col("subject"))
+    said = F.concat_ws(":", "code", "subject")
+    listed = found.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(level.alias("l"), F.when(rule == 0, 9).otherwise(rule).alias("r"), said.alias("s")))).alias("p"))
+    return whole.join(listed, "key", "left").select(F.col("key").alias("l_orderkey"), F.array_join(F.coalesce(F.transform("p", lambda p: p["s"]), F.array().cast("array<string>")), ",").alias("problems"))
+
+
+@query("""SELECT event_id, array_to_string(list_filter([CASE WHEN event_type IN ('click', 'error') AND value / 100 < 0.7 THEN 'mean Dice ' || round((value / 100)::DECIMAL(18, 6), 2)::DECIMAL(18, 2) || CASE event_type WHEN 'click' THEN ' against the reference' ELSE ' against the other annotator' END END,
+CASE WHEN value > 0 AND value < 60 THEN 'only ' || round(value::DECIMAL(18, 6), 0)::DECIMAL(18, 0) || ' s spent on the case' END, CASE WHEN event_id % 3 = 0 THEN 'stray:' || event_type END], lambda x: x IS NOT NULL), ';') AS reasons FROM events""")
 def review_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reasons to look at a submission (FN-12)."""
-    v = F.col("value")
-    work = _events(spark, sf_dir).where(F.col("event_type").isin("click", "view"))
-    kind = F.when(F.col("event_type") == "click", policy.GOLD).otherwise(policy.NORMAL)
-    dice = F.when(F.col("event_type") == "click", v / 100)
-    flags = policy.review_flags(kind, dice, v, F.lit(None).cast("array<string>"))
-    return work.select("event_id", F.array_join(flags, ";").alias("reasons"))
+    """Reasons to look at a submission: scores of gold and duplicate work, haste, warnings (FN-12)."""
+    v, t = F.col("value"), F.col("event_type")
+    kind = F.when(t == "click", policy.GOLD).when(t == "error", policy.DUPLICATE).otherwise(policy.NORMAL)
+    dice = F.when(t.isin("click", "error"), v / 100)
+    warnings = F.when(F.col("event_id") % 3 == 0, F.array(F.concat(F.lit("stray:"), t)))
+    flags = policy.review_flags(kind, dice, v, warnings)
+    return _events(spark, sf_dir).select("event_id", F.array_join(flags, ";").alias("reasons"))
+
+
+@query("""SELECT user_id, approved, (row_number() OVER (ORDER BY approved DESC, user_id) - 1)::BIGINT AS place FROM (SELECT user_id, count(*) FILTER (event_type = 'purchase') AS approved FROM events GROUP BY 1)""")
+def annotators_by_approved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotators from the most approved work on, ties by name (SO-11)."""
+    per = _events(spark, sf_dir).groupBy("user_id").agg(F.count_if(F.expr(APPROVED)).alias("approved"))
+    return placed(per, [F.desc("approved"), F.col("user_id")])
+
+
+@query("""SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus <> 'O' OR o_totalprice < 5000 THEN 'not_servable' WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_suppkey = o_custkey) THEN 'had_it' ELSE 'assigned' END AS outcome FROM orders""")
+def assigned_to_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases (orders) given to users that an administrator names (customers), where they may have them (MU-10)."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case"), F.col("o_custkey").alias("user"))
+    cases = _cases(spark, sf_dir).select(F.col("o_orderkey").alias("case"), *[c.alias(n) for c, n in zip(_counts(), ("wanted", "active", "approved", "retired"), strict=True)])
+    met = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("user"), F.col("l_orderkey").alias("case"))
+    return queue.assigned(orders, cases, met).select(F.col("case").alias("o_orderkey"), F.col("user").alias("o_custkey"), "outcome")

@@ -162,7 +162,15 @@ def inverted_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.coalesce(F.try_element_at(m, F.col("p_size")), F.lit(0)).alias("source"))
 
 
-@query("""SELECT event_id, user_id FROM events WHERE event_type <> 'error'""")
+@query("""SELECT event_id, user_id, ts, value FROM events""")
 def annotator_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The projection an annotator may see (PF-14, PF-15)."""
-    return table(spark, sf_dir, "events").where("event_type != 'error'").select("event_id", "user_id")
+    """All assignments as an annotator may see them, without their kind; the scan reads the other columns only (PF-14, PF-15)."""
+    work = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.col("event_type").alias("kind"), "value")
+    return records.seen_by(work, admin=False)
+
+
+@query("""SELECT event_id, user_id, ts, event_type AS kind, value FROM events""")
+def admin_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as an administrator sees them (PF-15)."""
+    work = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.col("event_type").alias("kind"), "value")
+    return records.seen_by(work, admin=True)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.functions import text
+from voxloom.operators.ranks import placed
 from voxloom.plans.base import query
 from voxloom.session import table
 from voxloom.sources import listing
@@ -33,20 +34,27 @@ def suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, sha256(text) AS sha256, md5(text) AS md5, count(*) OVER (PARTITION BY sha256(text)) AS copies FROM documents")
 def checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Checksums of texts and how many share one; only digests are shuffled (FN-13, FN-14)."""
+    """Checksums of texts and how many share one, null texts among themselves; only digests are shuffled (FN-13, FN-14)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.md5("text").alias("md5"))
-    copies = docs.groupBy("sha256").agg(F.count("*").alias("copies"))
-    return docs.join(copies, "sha256")
+    return text.with_copies(docs, "sha256")
 
 
-WALLTIMES = ["23:50:00", "1-12:00:00", "12:30", "1-12:30", "60", "1-6", "", "abc", "1:2:3:4", "24h", "-5", "1--00:00"]
+# The shapes of walltimes that must be told apart, each with numbers of an order put in.
+WALLTIMES = ["{a}:{b}:00", "{d}-{a}:{b}:30", "{a}:{b}", "{d}-{a}:{b}", "{b}", "{d}-{a}", "", "abc", "1:2:3:4", "{a}h", "-{b}", "{d}--{a}:00", "{d}-", " {b} "]
+WALLTIME_SQL = "CASE o_orderkey % 14 " + " ".join(f"WHEN {i} THEN {" || ".join(x for x in ("'" + w.replace("{", "' || ").replace("}", "::VARCHAR || '") + "'").split(" || ") if x != "''") or "''"}" for i, w in enumerate(WALLTIMES)) + " END"
 
 
-@query("SELECT * FROM (VALUES ('23:50:00', 85800), ('1-12:00:00', 129600), ('12:30', 750), ('1-12:30', 131400), ('60', 3600), ('1-6', 108000), ('', NULL), ('abc', NULL), ('1:2:3:4', NULL), ('24h', NULL), ('-5', NULL), ('1--00:00', NULL)) t(walltime, seconds)")
+@query(f"""SELECT o_orderkey, walltime, CASE o_orderkey % 14 WHEN 0 THEN a * 3600 + b * 60 WHEN 1 THEN d * 86400 + a * 3600 + b * 60 + 30 WHEN 2 THEN a * 60 + b WHEN 3 THEN d * 86400 + a * 3600 + b * 60
+WHEN 4 THEN b * 60 WHEN 5 THEN d * 86400 + a * 3600 WHEN 13 THEN b * 60 END AS seconds FROM (SELECT *, {WALLTIME_SQL} AS walltime FROM
+(SELECT o_orderkey, o_orderkey % 24 AS a, o_orderkey % 60 AS b, o_custkey % 9 AS d FROM orders))""")
 def walltime_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Walltimes in seconds, null for what is none (FN-18)."""
-    rows = spark.createDataFrame([(w,) for w in WALLTIMES], "walltime string")
-    return rows.select("walltime", text.walltime_seconds(F.col("walltime")).cast("int").alias("seconds"))
+    """Walltimes of orders in seconds, null for what is none (FN-18)."""
+    k = F.col("o_orderkey")
+    shape = F.get(F.array(*[F.lit(w) for w in WALLTIMES]), (k % len(WALLTIMES)).cast("int"))
+    for name, n in (("{a}", k % 24), ("{b}", k % 60), ("{d}", F.col("o_custkey") % 9)):
+        shape = F.replace(shape, F.lit(name), n.cast("string"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", shape.alias("walltime"))
+    return rows.select("o_orderkey", "walltime", text.walltime_seconds(F.col("walltime")).alias("seconds"))
 
 
 @query("""SELECT o_orderkey, printf('%02d:%02d:%02d', s % 86400 // 3600, s % 3600 // 60, s % 60) AS clock, CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN printf('%dm%02ds', s // 60, s % 60) ELSE printf('%dh%02dm', s // 3600, s % 3600 // 60) END AS took,
@@ -68,11 +76,13 @@ def name_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT doc_id, ok FROM (SELECT doc_id, doc_id % 3 <> 1 OR false AS ok FROM documents)")
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN lower(trim(upper(sha256(text)) || ' ')) WHEN 1 THEN sha256(text || '.') WHEN 2 THEN '' ELSE sha256(text) END IN ('', coalesce(sha256(text), '-')) AS ok
+FROM (SELECT doc_id, text FROM documents)""")
 def checksum_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Checksums that agree but for case, that differ, and that nothing is expected of (FN-13)."""
-    own = F.sha2("text", 256)
-    expected = F.when(F.col("doc_id") % 3 == 0, F.upper(own)).when(F.col("doc_id") % 3 == 1, F.lit("00")).otherwise(F.lit(None))
+    """Checksums that agree but for case and blanks, that are another text's, that nothing is expected of, and that agree (FN-13)."""
+    own, k = F.sha2("text", 256), F.col("doc_id") % 4
+    other = F.sha2(F.concat("text", F.lit(".")), 256)
+    expected = F.when(k == 0, F.concat(F.upper(own), F.lit(" "))).when(k == 1, other).when(k == 2, F.lit("")).otherwise(own)
     return table(spark, sf_dir, "documents").select("doc_id", text.checksum_matches(expected, own).alias("ok"))
 
 
@@ -100,7 +110,8 @@ def catalogue_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").where(~F.col("p_type").contains("STEEL")).groupBy("p_brand").agg(F.count("*").alias("n"))
 
 
-@query("SELECT c_nationkey, min(c_custkey) AS first_key FROM customer GROUP BY 1 ORDER BY 2 LIMIT 12")
+@query("SELECT c_nationkey, min(c_custkey) AS first_key, row_number() OVER (ORDER BY min(c_custkey)) - 1 AS place FROM customer GROUP BY 1")
 def ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct values in the order of their first appearance (ST-8)."""
-    return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.min("c_custkey").alias("first_key")).orderBy("first_key").limit(12)
+    """All distinct values with their places in the order of first appearance (ST-8)."""
+    first = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.min("c_custkey").alias("first_key"))
+    return placed(first, [F.col("first_key"), F.col("c_nationkey")])

@@ -109,13 +109,34 @@ def assignment_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return work.join(cases, "l_partkey", "left").join(files, "l_suppkey", "left").select("l_orderkey", "l_linenumber", "p_name", "s_name")
 
 
-@query("""SELECT l_orderkey, l_linenumber, s_name AS gold_file FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = p_partkey % 10 + 1 WHERE p_size <= 5""")
+@query("""SELECT l_orderkey, l_linenumber, p_size <= 5 AS gold, s_name AS gold_file FROM lineitem LEFT JOIN (SELECT p_partkey, p_size FROM part) ON p_partkey = l_partkey
+LEFT JOIN supplier ON p_size <= 5 AND s_acctbal > 0 AND s_suppkey = p_partkey % 10 + 1""")
 def gold_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gold submissions with their case's reference file (JN-9, JN-3); part of the cases is gold."""
-    cases = table(spark, sf_dir, "part").where("p_size <= 5").select(F.col("p_partkey").alias("l_partkey"), (F.col("p_partkey") % 10 + 1).alias("s_suppkey"))
-    files = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("gold_file"))
+    """Submissions with their case's reference file; cases that are not gold, and gold ones without a file, stay (JN-9, JN-3)."""
+    part = table(spark, sf_dir, "part")
+    cases = part.select(F.col("p_partkey").alias("l_partkey"), (F.col("p_size") <= 5).alias("gold"), F.when(F.col("p_size") <= 5, F.col("p_partkey") % 10 + 1).alias("s_suppkey"))
+    files = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select("s_suppkey", F.col("s_name").alias("gold_file"))
     work = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    return work.join(cases, "l_partkey").join(files, "s_suppkey").select("l_orderkey", "l_linenumber", "gold_file")
+    return work.join(cases, "l_partkey", "left").join(files, "s_suppkey", "left").select("l_orderkey", "l_linenumber", "gold", "gold_file")
+
+
+DUE_SQL = """WITH a AS (SELECT user_id, json_extract_string(props, '$.k') AS k, count(*) AS failures, max(epoch(ts)) AS last FROM events WHERE event_type = 'click' AND value < 60 GROUP BY ALL),
+d AS (SELECT DISTINCT user_id, json_extract_string(props, '$.k') AS k FROM events WHERE event_type = 'click' AND value >= 60), n AS (SELECT max(epoch(ts)) AS now FROM events)
+SELECT event_id, coalesce(failures, 0) AS failures, CASE WHEN coalesce(failures, 0) >= 2 THEN 'dead' WHEN last + 86400 * 3 * power(2, failures - 1) > now THEN 'waiting' ELSE 'due' END AS status
+FROM events e LEFT JOIN a ON a.user_id = e.user_id AND a.k = json_extract_string(e.props, '$.k') CROSS JOIN n
+WHERE event_type IN ('error', 'view') AND NOT EXISTS (SELECT 1 FROM d WHERE d.user_id = e.user_id AND d.k = json_extract_string(e.props, '$.k'))"""
+
+
+@query(DUE_SQL)
+def scores_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is owed a score after failed tries: due, waiting for its turn, or set aside (SM-10, PF-9)."""
+    events = table(spark, sf_dir, "events").withColumn("key", F.struct("user_id", F.get_json_object("props", "$.k").alias("k")))
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    kind = F.when(F.col("event_type") == "view", policy.GOLD).otherwise(policy.DUPLICATE)
+    work = events.where("event_type IN ('view', 'error')").select("key", "event_id", F.col("ts").alias("submitted"), kind.alias("kind"))
+    tries = events.where("event_type = 'click'").select("key", at.alias("at"), (F.col("value") >= 60).alias("ok"))
+    now = events.agg(F.max(at).alias("now")).first()["now"]
+    return queue.due_scores(work, tries, F.lit(now), most=2, wait=3 * 86400.0).select("event_id", "failures", "status")
 
 
 @query("""SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)::INTEGER AS place FROM events WHERE event_type <> 'purchase'""")

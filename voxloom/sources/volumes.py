@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import gzip
 import os
+import posixpath
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
@@ -105,27 +108,54 @@ def volumes(masks: DataFrame, grids: DataFrame, key: str) -> DataFrame:
     return rows.mapInPandas(run, "name string, content binary")
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    """(path, its name until the job commits) of the files of a task."""
+
+    files: list[tuple[str, str]]
+
+
 class FilesWriter(DataSourceWriter):
-    """Writes (name, content) rows below a folder, each under another name first, so that no half of a file is ever seen."""
+    """Writes (name, content) rows below a folder under other names, which become their own when the whole job commits.
+
+    Files of tasks that fail are removed with the job or stay under the other name, so nothing unfinished is ever seen.
+    """
 
     def __init__(self, folder: str):
         self.folder = folder
 
+    def _opened(self) -> tuple[fs.FileSystem, str]:
+        return fs.FileSystem.from_uri(self.folder) if "://" in self.folder else (fs.LocalFileSystem(), os.path.abspath(self.folder))
+
     def write(self, rows: Iterator) -> WriterCommitMessage:
+        store, root = self._opened()
+        done = []
         for row in rows:
-            path = os.path.join(self.folder, row["name"])
-            if not os.path.realpath(path).startswith(os.path.realpath(self.folder) + os.sep):
+            path = posixpath.normpath(posixpath.join(root, row["name"]))
+            if not path.startswith(root.rstrip("/") + "/"):
                 raise ValueError(f"{row['name']} leads out of the folder")
-            os.makedirs(os.path.dirname(path), exist_ok=True)
+            store.create_dir(posixpath.dirname(path))
             part = f"{path}.{uuid.uuid4().hex}.part"
-            with open(part, "wb") as f:
+            with store.open_output_stream(part, compression=None) as f:
                 f.write(row["content"])
-            os.replace(part, path)
-        return WriterCommitMessage()
+            done.append((path, part))
+        return Written(done)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        store, _ = self._opened()
+        for m in messages:
+            for path, part in m.files if m else []:
+                store.move(part, path)
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        store, _ = self._opened()
+        for m in messages:
+            for _, part in m.files if m else []:
+                store.delete_file(part)
 
 
 class Files(DataSource):
-    """Format whole_files; option path: a folder that all executors share."""
+    """Format whole_files; option path: a folder that all executors share, as a path or a URI that pyarrow.fs opens."""
 
     @classmethod
     def name(cls) -> str:
