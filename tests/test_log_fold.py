@@ -145,3 +145,18 @@ def test_ingest_by_name(spark, tmp_path):
     for k, rows in [*enumerate(batches), (1, batches[1])]:
         state.update(lambda now, rows=rows: ({"cases": ingested(state.read("cases", now), make(rows), "name")}, {}), "ingest", k)
     assert sorted(map(tuple, state.read("cases").collect())) == [("a", 0), ("b", 2), ("c", 3)]
+
+
+def test_heartbeats_append_and_move_nothing(spark, tmp_path):
+    from voxloom.streaming import beats
+
+    state = Snapshots(spark, str(tmp_path / "s"))
+    state.commit({"states": spark.createDataFrame([(1, "assigned"), (2, "approved"), (3, "rejected")], "assignment bigint, state string")}, Version(0))
+    assert beats.heard(state).collect() == []
+    rows = spark.createDataFrame([(1, 5.0), (1, 3.0), (2, 9.0), (4, 9.0)], beats.BEATS)
+    for _ in range(2):
+        beats.beaten(state, rows, "client", 0)
+    beats.beaten(state, spark.createDataFrame([(3, 7.0), (1, 4.0)], beats.BEATS), "client", 1)
+    assert state.read("beats").count() == 3
+    assert {tuple(r) for r in beats.heard(state).collect()} == {(1, 5.0), (3, 7.0)}
+    assert {tuple(r) for r in state.read("states").collect()} == {(1, "assigned"), (2, "approved"), (3, "rejected")}

@@ -266,3 +266,13 @@ def test_named_users_get_cases(spark):
     assert got == {
         (7, 1): "assigned", (8, 1): "not_servable", (7, 2): "had_it", (8, 2): "assigned", (9, 2): "assigned", (7, 3): "not_servable", (7, 4): "not_servable", (7, 5): "unknown_case",
     }
+
+
+def test_a_long_past_makes_few_tries(spark, monkeypatch):
+    """One user had all but the last of 40 cases, another all of them; each looks at four cases a round."""
+    monkeypatch.setattr(queue, "TRIES", 4)
+    cases = [(c, 100 - c, 0, 1) for c in range(40)]
+    taken = [(1, c) for c in range(39)] + [(2, c) for c in range(40)]
+    won = allocate(spark, [(1, 1), (2, 2), (3, 3)], cases, taken)
+    got = {r["user"]: r["case"] for r in won}
+    assert got[1] == 39 and 2 not in got and set(got) == {1, 3}

@@ -141,6 +141,10 @@ def duplicate_partner(df: DataFrame, case: str, user: str, key: str, order: list
     return known.select(key, partner.alias("partner"))
 
 
+#: Cases that a request looks at in a round.
+TRIES = 64
+
+
 def allocate(requests: DataFrame, cases: DataFrame, taken: DataFrame) -> DataFrame:
     """(user, case): requests matched to free slots of cases, by priority, without double booking.
 
@@ -148,13 +152,13 @@ def allocate(requests: DataFrame, cases: DataFrame, taken: DataFrame) -> DataFra
     (user, case) pairs that must not meet again. In a round, waiting requests are ranked by arrival
     and cases by (priority desc, created, case); the request of place p asks for the case that holds slot
     p, or for the next one after it that is not forbidden to it, past the last case from the first on; a case
-    takes as many as it has slots, in the order of arrival. Rounds go on until nobody asks: then no waiting
-    request has an allowed case with a free slot. Each round with askers places one at least, and
-    the first places all but those who met others on their way round forbidden cases. Without
-    forbidden pairs the result is that of serving one after another.
+    takes as many as it has slots, in the order of arrival. A request looks at no more than TRIES cases a round, and
+    goes on from there in rounds that place nobody, so one with a long past makes few rows. Rounds end
+    when nobody is placed and nobody has cases left to look at: then no waiting request has an allowed case with a
+    free slot. Without forbidden pairs the result is that of serving one after another.
     """
     won = None
-    waiting = requests.select("user", "arrived")
+    waiting = requests.select("user", "arrived", F.lit(0).cast("bigint").alias("base"))
     free = cases.where("slots > 0").select("case", "priority", "created", F.col("slots").cast("bigint").alias("slots"))
     seen = kept(taken.select("user", "case").distinct())
     while True:
@@ -166,9 +170,9 @@ def allocate(requests: DataFrame, cases: DataFrame, taken: DataFrame) -> DataFra
         asks = placed(waiting, [F.col("arrived")], r=None).withColumn("slot", F.col("r") % slots)
         held = ranked.where(F.col("start") < n).select("q", F.explode(F.sequence("start", F.least(F.col("start") + F.col("slots"), F.lit(n)) - 1)).alias("slot"))
         met = seen.join(ranked.select("case"), "case", "left_semi").groupBy("user").agg(F.count("*").alias("k"))
-        tries = asks.join(held, "slot").join(met, "user", "left").select(
-            "user", "arrived", "q", F.explode(F.sequence(F.lit(0), F.least(F.coalesce("k", F.lit(0)), F.lit(kinds - 1)).cast("int"))).alias("off")
-        )
+        # of k + 1 cases one at least is not forbidden
+        looks = asks.join(held, "slot").join(met, "user", "left").withColumn("last", F.least(F.coalesce("k", F.lit(0)), F.lit(kinds - 1)))
+        tries = looks.where("base <= last").select("user", "arrived", "q", F.explode(F.sequence("base", F.least(F.col("base") + (TRIES - 1), "last"))).alias("off"))
         tries = tries.withColumn("q", (F.col("q") + F.col("off")) % kinds)
         allowed = tries.join(ranked.select("q", "case", F.col("slots").alias("room")), "q").join(seen, ["user", "case"], "left_anti")
         asked = allowed.groupBy("user", "arrived").agg(F.min_by(F.struct("case", "room"), "off").alias("a")).select("user", "arrived", "a.*")
@@ -178,9 +182,12 @@ def allocate(requests: DataFrame, cases: DataFrame, taken: DataFrame) -> DataFra
         served = first.withColumn("i", F.row_number().over(W.partitionBy("case").orderBy("arrived"))).where("i <= room")
         new = kept(served.select("user", "case"))
         if new.isEmpty():
-            break
+            if looks.where(F.col("base") + TRIES <= F.col("last")).isEmpty():
+                break
+            waiting = kept(waiting.withColumn("base", F.col("base") + TRIES))
+            continue
         won = new if won is None else won.unionByName(new)
-        waiting = kept(waiting.join(new, "user", "left_anti"))
+        waiting = kept(waiting.join(new, "user", "left_anti").withColumn("base", F.lit(0).cast("bigint")))
         used = new.groupBy("case").agg(F.count("*").alias("used"))
         left = free.join(used, "case", "left").withColumn("slots", F.col("slots") - F.coalesce("used", F.lit(0)))
         free = kept(left.where("slots > 0").drop("used"))

@@ -105,3 +105,41 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.option("wholetext", False).text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("pos"), F.trim("value").alias("raw"))
     parsed = lines.where("raw != ''").withColumn("e", F.from_json("raw", "t double, event string"))
     return parsed.where("e IS NOT NULL AND try_parse_json(raw) IS NOT NULL").select("file", "pos", "e.t", "e.event", "raw")
+
+
+def pool_cases(files: DataFrame, root: str, images: list[str], regions: list[str], seeds: list[str], suffixes: list[str], gold: DataFrame | None = None, gold_root: str = "", with_region: bool = True) -> DataFrame:
+    """(name, volume, region, seed, gold) of the case folders right below a root, from listings (path) of the pool and of a second root.
+
+    A case's volume is the first of `images` it has; region and seed are the first of their stems, each with the first of
+    the suffixes, among its segmentations; gold is the file of the case's name right below the gold root, kept apart from
+    the pool so that no annotator is handed it. Cases without a volume are left out, and with `with_region` those without a
+    region. All names are taken as they are written; null columns where there is none.
+    """
+    base = root.rstrip("/") + "/"
+    part = F.split(F.substring(F.col("path"), F.instr("path", base) + F.lit(len(base)), F.length("path")), "/")
+    below = files.where(F.instr("path", base) > 0).select("path", part.alias("p"))
+    name, n = F.get("p", F.lit(0)), F.size("p")
+    place = lambda column, names: F.when(column.isin(names), F.array_position(F.array(*[F.lit(x) for x in names]), column))
+    masks = lambda stems: [stem + s for stem in stems for s in suffixes]
+    inside = (n == 3) & (F.get("p", F.lit(1)) == "segmentations")
+    image = F.when(n == 2, place(F.get("p", F.lit(1)), images))
+    region, seed = (F.when(inside, place(F.get("p", F.lit(2)), masks(stems))) for stems in (regions, seeds))
+    per = below.groupBy(name.alias("name")).agg(*[F.min_by("path", at).alias(c) for c, at in (("volume", image), ("region", region), ("seed", seed))])
+    found = per.where("volume IS NOT NULL")
+    if with_region:
+        found = found.where("region IS NOT NULL")
+    if gold is None:
+        return found.withColumn("gold", F.lit(None).cast("string"))
+    top = gold_root.rstrip("/") + "/"
+    file = F.substring(F.col("path"), F.instr("path", top) + F.lit(len(top)), F.length("path"))
+    rows = gold.where(F.instr("path", top) > 0).select("path", file.alias("file")).where("instr(file, '/') = 0")
+    ranks = F.filter(F.array(*[F.struct(F.lit(i).alias("at"), F.lit(s).alias("s")) for i, s in enumerate(suffixes)]), lambda x: F.col("file").endswith(x["s"]))
+    ends = rows.withColumn("e", F.explode(ranks)).select("path", F.substring(F.col("file"), F.lit(1), F.length("file") - F.length("e.s")).alias("name"), "e.at")
+    return found.join(ends.groupBy("name").agg(F.min_by("path", "at").alias("gold")), "name", "left")
+
+
+def pool_summary(every: DataFrame) -> DataFrame:
+    """(cases, with_region, without_region, with_seed, with_gold) of pool_cases without the region's filter: what a dry run shows, what is left out included."""
+    return every.agg(
+        F.count("*").alias("cases"), F.count("region").alias("with_region"), (F.count("*") - F.count("region")).alias("without_region"), F.count("seed").alias("with_seed"), F.count("gold").alias("with_gold")
+    )
