@@ -54,3 +54,20 @@ def test_rows_with_equal_ids_are_dealt_alike_again(table):
     docs = table([(i % 5, f"text {i}") for i in range(300)])
     place = lambda d: {(r["text"], r["shard"], r["slot"]) for r in sharding.uniform_shards(d, ["doc_id", "text"], shards=7).collect()}
     assert place(docs) == place(docs.repartition(9).orderBy("text")) and len(place(docs)) == 300
+
+
+def test_query_on_the_whole_table(spark, sf):
+    import zlib
+    from collections import Counter, defaultdict
+
+    from voxloom.llm import queries
+
+    docs = Counter((r["doc_id"], len((r["text"] or "").encode()) + 8, zlib.crc32((r["text"] or "").encode())) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    rows = queries.op7_sharding(spark, sf).collect()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == docs
+    assert {(r["law"], r["grown_shard"]) for r in rows} == {("rows", None)}
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r["shard"]].append(r["slot"])
+    assert set(slots) == set(range(24)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
