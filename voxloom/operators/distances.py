@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from voxloom.operators.bricks import BRICK, SIDE, beside, places
+from voxloom.operators.bricks import BRICK, SIDE, places
 from voxloom.session import kept
 
 #: Bricks along z in a slab, and along x and y in a tile.
@@ -107,16 +107,14 @@ def plane_distances(points: np.ndarray, low: tuple[int, int], size: tuple[int, i
 
 
 def distances(of: DataFrame, to: DataFrame, keys: list[str], spacing: tuple[float, float, float]) -> DataFrame:
-    """(keys, d, n): how many voxels of each mask of `of` are d mm from the nearest voxel of the mask of `to` with the same keys.
+    """(keys, d, n): n voxels of a mask of `of` are d mm from the nearest voxel of the mask of `to` with the same keys.
 
-    Both are bricks. Masks that one side lacks have no rows.
+    Both are bricks. Masks that one side lacks have no rows; a distance may have several, one a tile.
     """
     tile = [F.floor(F.col(b) / TILE).cast("bigint").alias(t) for b, t in zip(BRICK[:2], ("tx", "ty"), strict=True)]
     kind = ", ".join(f"`{k}` {of.schema[k].dataType.simpleString()}" for k in keys)
     asked = of.select(*keys, *BRICK, "bits", *tile)
-    # the tiles of a mask, at most as many as a plane has
-    reach = asked.groupBy(*keys).agg(F.collect_set(F.struct("tx", "ty")).alias("_tiles"))
-    slabs = to.select(*keys, *BRICK, "bits", F.floor(F.col("bz") / SLAB).alias("_slab"))
+    slabs = to.select(*keys, *BRICK, "bits", F.floor(F.col("bz") / SLAB).cast("bigint").alias("_slab"))
 
     def planes(rows: pa.Table, tiles: pa.Table) -> pa.Table:
         if not len(rows) or not len(tiles):
@@ -160,13 +158,15 @@ def distances(of: DataFrame, to: DataFrame, keys: list[str], spacing: tuple[floa
         made = [pa.array(c, f.type) for c, f in zip(cols, list(schema)[len(keys) :], strict=True)]
         return pa.Table.from_arrays([*[rows[k].combine_chunks().take(first).cast(schema.field(k).type) for k in keys], *made], schema=schema)
 
-    # a slab takes its mask's tiles along; both are dealt by the mask and slab
-    known = beside(slabs.select(*keys, "_slab").distinct(), reach, keys)
-    named = known.select(*[F.col(k).alias(f"_of_{k}") for k in (*keys, "_slab")], "_tiles")
-    dealt = named.groupBy(*[f"_of_{k}" for k in (*keys, "_slab")])
-    flat = slabs.groupBy(*keys, "_slab").cogroup(dealt).applyInArrow(planes, f"{kind}, tx bigint, ty bigint, z bigint, d2 binary")
-    found = asked.groupBy(*keys, "tx", "ty").cogroup(flat.groupBy(*keys, "tx", "ty")).applyInArrow(columns, f"{kind}, d double, n bigint")
-    return found.groupBy(*keys, "d").agg(F.sum("n").alias("n"))
+    # a slab takes along the tiles that are asked for in its mask: both are few, a plane's and a height's worth
+    slab, tiles = F.col("_slab"), F.struct("tx", "ty")
+    none = F.lit(None).cast("struct<tx:bigint,ty:bigint>")
+    marks = asked.select(*keys, tiles.alias("_tile"), F.lit(None).cast("bigint").alias("_slab")).unionByName(slabs.select(*keys, none.alias("_tile"), slab))
+    known = marks.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(F.collect_set("_tile").alias("_tiles"), F.collect_set("_slab").alias("_slabs"))
+    dealt = known.withColumn("_of_slab", F.explode("_slabs")).drop("_slabs").where(F.size("_tiles") > 0)
+    right = dealt.groupBy(*[f"_of_{k}" for k in keys], "_of_slab")
+    flat = slabs.groupBy(*keys, "_slab").cogroup(right).applyInArrow(planes, f"{kind}, tx bigint, ty bigint, z bigint, d2 binary")
+    return asked.groupBy(*keys, "tx", "ty").cogroup(flat.groupBy(*keys, "tx", "ty")).applyInArrow(columns, f"{kind}, d double, n bigint")
 
 
 def surface_scores(a: DataFrame, b: DataFrame, keys: list[str], spacing: tuple[float, float, float], tolerance: float = 1.5) -> DataFrame:
@@ -178,13 +178,14 @@ def surface_scores(a: DataFrame, b: DataFrame, keys: list[str], spacing: tuple[f
     # both ways in one pass, over surfaces that are made once
     both = kept(a.select(*keys, *BRICK, "bits", F.lit(0).alias("_side")).unionByName(b.select(*keys, *BRICK, "bits", F.lit(1).alias("_side"))))
     found = distances(both, both.withColumn("_side", 1 - F.col("_side")), [*keys, "_side"], spacing)
-    sides = found.groupBy(*keys, "_side").agg(
-        F.sum("n").alias("_n"), F.sum(F.when(F.col("d") <= tolerance, F.col("n")).otherwise(0)).alias("_near"), F.percentile("d", 0.95, F.col("n")).alias("_far")
+    # every mask counts once more without a distance, so that those of one side have a row
+    rows = found.unionByName(both.select(*keys, "_side", F.lit(None).cast("double").alias("d"), F.lit(0).cast("bigint").alias("n")))
+    far = [F.percentile(F.when(F.col("_side") == k, F.col("d")), 0.95, F.col("n")) for k in (0, 1)]
+    near = F.sum(F.when(F.col("d") <= tolerance, F.col("n")).otherwise(0))
+    scored = rows.groupBy(*keys).agg(near.alias("_near"), F.sum("n").alias("_n"), far[0].alias("_far0"), far[1].alias("_far1"))
+    return scored.select(
+        *keys, F.coalesce(F.try_divide("_near", "_n"), F.lit(0.0)).alias("nsd"), F.coalesce(F.greatest("_far0", "_far1"), F.lit(float("inf"))).alias("hd95")
     )
-    scored = sides.groupBy(*keys).agg((F.sum("_near") / F.sum("_n")).alias("nsd"), F.max("_far").alias("hd95"))
-    every = both.select(*keys).distinct()
-    joined = beside(every, scored, keys, "left")
-    return joined.select(*keys, F.coalesce("nsd", F.lit(0.0)).alias("nsd"), F.coalesce("hd95", F.lit(float("inf"))).alias("hd95"))
 
 
 def transform(points: np.ndarray, shape: tuple[int, int, int], spacing: tuple[float, float, float]) -> np.ndarray:
