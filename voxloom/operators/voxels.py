@@ -30,6 +30,33 @@ def surface(df: DataFrame, keys: list[str]) -> DataFrame:
     return bricks.unpacked(bricks.surface(bricks.packed(df, keys), keys))
 
 
+def nearest(points: np.ndarray, others: np.ndarray, chunk: int = 512) -> np.ndarray:
+    """Exact distance of each point to the closest of the others, by slabs along the first axis: for points off any grid (on one, see operators/distances.py)."""
+    others = others[np.argsort(others[:, 0], kind="stable")]
+    order = np.argsort(points[:, 0], kind="stable")
+    out = np.empty(len(points))
+    for i in range(0, len(points), chunk):
+        idx = order[i : i + chunk]
+        part = points[idx]
+        low = high = int(np.searchsorted(others[:, 0], part[len(part) // 2, 0]))
+        best = np.full(len(part), np.inf)
+        while low > 0 or high < len(others):
+            a, b = max(0, low - chunk), min(len(others), high + chunk)
+            for s, e in ((a, low), (high, b)):
+                if s < e:
+                    best = np.minimum(best, ((part[:, None, :] - others[None, s:e]) ** 2).sum(axis=2).min(axis=1))
+            low, high = a, b
+            reach = np.inf
+            if low > 0:
+                reach = min(reach, part[0, 0] - others[low - 1, 0])
+            if high < len(others):
+                reach = min(reach, others[high, 0] - part[-1, 0])
+            if reach > 0 and reach * reach > best.max():
+                break
+        out[idx] = np.sqrt(best)
+    return out
+
+
 def score_cases(
     pred: DataFrame,
     ref: DataFrame,
