@@ -54,14 +54,19 @@ def test_contract_columns(spark):
         "op8": {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"},
         "op9": {"doc_id", "held_out", "score", "predicted"},
         "op10": {"doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"},
+        "op11": {"vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"},
+        "op12": {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"},
+        "op13": {"doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"},
     }
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
     for name, query in queries.QUERIES.items():
         key = name.split("_")[0]
         if key in want:
             out = query(spark, SF)
             assert want[key] <= set(out.columns), name
-            assert out.count() == 200
+            found = out.select("doc_id").distinct().count() if key == "op12" else out.count()
+            assert found == (8 * vectors if key == "op11" else 200), name
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
 
 
