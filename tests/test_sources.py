@@ -100,6 +100,16 @@ def test_texts(spark):
     assert (row["j"], row["k"], row["l"]) == (True, True, False)
 
 
+def test_sizes_stop_at_the_largest_unit(spark, tmp_path):
+    n = F.col("n")
+    rows = spark.createDataFrame([(5,), (2**31,), (-(2**31),), (2**40,)], "n bigint").select(n, text.human_bytes(n, "MB").alias("mb"), text.human_bytes(n).alias("tb")).collect()
+    assert [(r["mb"], r["tb"]) for r in rows] == [("5 B", "5 B"), ("2048.0 MB", "2.0 GB"), ("-2048.0 MB", "-2.0 GB"), ("1048576.0 MB", "1.0 TB")]
+    from voxloom.plans import text_queries
+
+    spark.createDataFrame([(4_000_000,)], "o_orderkey bigint").write.parquet(str(tmp_path / "orders.parquet"))
+    assert text_queries.human_texts(spark, str(tmp_path)).first()["size"] == "1262.7 MB"
+
+
 def test_label_sets_and_reports(spark, tmp_path):
     from voxloom.functions import records
     from voxloom.sources import reports

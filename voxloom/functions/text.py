@@ -53,12 +53,14 @@ def walltime_text(seconds: Column) -> Column:
     return F.when(days > 0, F.concat(days, F.lit("-"), clock)).otherwise(clock)
 
 
-def human_bytes(n: Column) -> Column:
-    """Bytes with a unit up to TB, one decimal (halves to even) above bytes."""
-    out = F.format_string("%.1f TB", F.bround(n / 1024.0**4, 1))
-    for i, unit in reversed([(0, "B"), (1, "KB"), (2, "MB"), (3, "GB")]):
-        text = F.format_string("%d B", n.cast("bigint")) if i == 0 else F.format_string(f"%.1f {unit}", F.bround(n / 1024.0**i, 1))
-        out = F.when(F.abs(n) < 1024 ** (i + 1), text).otherwise(out)
+def human_bytes(n: Column, largest: str = "TB") -> Column:
+    """Bytes with a unit up to the largest, one decimal (halves to even) above bytes."""
+    units = ["B", "KB", "MB", "GB", "TB"]
+    units = units[: units.index(largest) + 1]
+    text = lambda i: F.format_string(f"%.1f {units[i]}", F.bround(n / 1024.0**i, 1)) if i else F.format_string("%d B", n.cast("bigint"))
+    out = text(len(units) - 1)
+    for i in reversed(range(len(units) - 1)):
+        out = F.when(F.abs(n) < 1024 ** (i + 1), text(i)).otherwise(out)
     return out
 
 
