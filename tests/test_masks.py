@@ -157,3 +157,18 @@ def test_remap_reports_what_it_drops(spark):
     assert {(x["label"], x["n"]) for x in bricks.counts(known, ["label"]).collect()} == {(7, 30)}
     known, report = bricks.remapped(claims, ["s"], {})
     assert known.count() == 0 and report.first()["missing"] == [] and len(report.first()["unmapped"]) == 4
+
+
+def test_scattered_masks_make_no_planes(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    sides, spacing = [rng.random((60, 50, 50)) < 0.002 for _ in range(2)], (0.8, 0.8, 1.5)
+    a, b = (bricks.surface(bricks.packed(rows(spark, m, origin=(-9, 4, -3)), ["s"]), ["s"]) for m in sides)
+    of = lambda r: (r["n"], pytest.approx(r["nsd"]), pytest.approx(r["hd95"]))
+    d, e = plain_distances(*sides, spacing), plain_distances(*sides[::-1], spacing)
+    want = (len(d) + len(e), ((d <= 3).sum() + (e <= 3).sum()) / (len(d) + len(e)), max(np.percentile(d, 95), np.percentile(e, 95)))
+    monkeypatch.setattr(distances, "HELD", 1000)
+    with monkeypatch.context() as m:
+        m.setattr(distances, "PAIRS", 0)
+        planes = distances.surface_scores(a, b, ["s"], spacing, 3).first()
+    monkeypatch.setattr(distances, "distances", None)
+    assert want == of(distances.surface_scores(a, b, ["s"], spacing, 3).first()) and want == of(planes)

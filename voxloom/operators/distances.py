@@ -5,6 +5,9 @@ y, then along z. A line's minimum is the lower envelope of its parabolas, found
 a plane at once. Spark deals the planes of x and y first (a slab of them to a group), then columns along z (a square
 tile of them to a group), so no task ever holds a volume, and work grows with the planes and tiles a
 structure reaches, not with pairs of voxels.
+
+Where both surfaces of a structure are small (their voxels make at most PAIRS pairs), planes would hold far more than the
+surfaces do: such a structure is one group, and all its pairs are measured. Both ways are exact.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from voxloom.operators.bricks import BRICK, SIDE, places
+from voxloom.operators.bricks import BRICK, SIDE, beside, places
 from voxloom.session import kept
 
 #: Bricks along z in a slab, and along x and y in a tile.
@@ -25,6 +28,10 @@ WIDE = TILE * SIDE
 CELLS = 1 << 20
 #: Lines of so many places need no envelope.
 SHORT = 128
+#: Pairs of voxels of both surfaces up to which a structure is measured pair by pair.
+PAIRS = 1 << 20
+#: Pairs that are held at once.
+HELD = 1 << 18
 
 
 def steps_along(marks: np.ndarray) -> np.ndarray:
@@ -169,22 +176,59 @@ def distances(of: DataFrame, to: DataFrame, keys: list[str], spacing: tuple[floa
     return asked.groupBy(*keys, "tx", "ty").cogroup(flat.groupBy(*keys, "tx", "ty")).applyInArrow(columns, f"{kind}, d double, n bigint")
 
 
+def nearest(points: np.ndarray, others: np.ndarray, spacing: tuple[float, float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """mm from each of the points to the nearest of the others, and from each of those to the nearest of the points."""
+    there, back = np.full(len(points), np.inf), np.full(len(others), np.inf)
+    step = max(1, HELD // max(1, len(others)))
+    for i in range(0, len(points), step):
+        d2 = sum((s * (points[i : i + step, None, k] - others[:, k])) ** 2 for k, s in enumerate(spacing))
+        there[i : i + step] = d2.min(axis=1, initial=np.inf)
+        np.minimum(back, d2.min(axis=0), out=back)
+    return np.sqrt(there), np.sqrt(back)
+
+
+def pair_distances(both: DataFrame, keys: list[str], spacing: tuple[float, float, float]) -> DataFrame:
+    """(keys, _side, d, n) of small surfaces (keys, _side, bricks): a group holds both sides of one."""
+    kind = ", ".join(f"`{k}` {both.schema[k].dataType.simpleString()}" for k in keys)
+    schema = pa.schema([*[pa.field(k, to_arrow_type(both.schema[k].dataType)) for k in keys], ("_side", pa.int32()), ("d", pa.float64()), ("n", pa.int64())])
+
+    def measured(rows: pa.Table) -> pa.Table:
+        side = rows["_side"].to_numpy()
+        cols = [rows[c].to_numpy() for c in (*BRICK, "bits")]
+        found = nearest(*[places(*[c[side == k] for c in cols]) for k in (0, 1)], spacing)
+        d, n = zip(*[np.unique(f, return_counts=True) for f in found], strict=True)
+        sides, d, n = np.repeat(np.array([0, 1], np.int32), [len(d[0]), len(d[1])]), np.concatenate(d), np.concatenate(n)
+        first = pa.array(np.zeros(len(d), np.int64))
+        same = [rows[k].combine_chunks().take(first).cast(schema.field(k).type) for k in keys]
+        return pa.Table.from_arrays([*same, pa.array(sides), pa.array(d), pa.array(n, pa.int64())], schema=schema)
+
+    return both.groupBy(*keys).applyInArrow(measured, f"{kind}, _side int, d double, n bigint")
+
+
 def surface_scores(a: DataFrame, b: DataFrame, keys: list[str], spacing: tuple[float, float, float], tolerance: float = 1.5) -> DataFrame:
-    """(keys, nsd, hd95) from the surface bricks of both sides.
+    """(keys, n, nsd, hd95) from the surface bricks of both sides.
 
-    nsd: share of both surfaces within the tolerance (mm); hd95: the larger of the two 95th percentiles (linear) of
-    surface distances. A structure on one side only has nsd 0 and infinite hd95.
+    n: voxels of both surfaces; nsd: share of them within the tolerance (mm); hd95: the larger of the two 95th
+    percentiles (linear) of surface distances. A structure on one side only has nsd 0 and infinite hd95.
     """
     # both ways in one pass, over surfaces that are made once
     both = kept(a.select(*keys, *BRICK, "bits", F.lit(0).alias("_side")).unionByName(b.select(*keys, *BRICK, "bits", F.lit(1).alias("_side"))))
-    found = distances(both, both.withColumn("_side", 1 - F.col("_side")), [*keys, "_side"], spacing)
-    # every mask counts once more without a distance, so that those of one side have a row
-    rows = found.unionByName(both.select(*keys, "_side", F.lit(None).cast("double").alias("d"), F.lit(0).cast("bigint").alias("n")))
+    voxels = [F.coalesce(F.sum(F.when(F.col("_side") == k, F.bit_count("bits"))), F.lit(0)).cast("bigint").alias(f"_n{k}") for k in (0, 1)]
+    sizes = kept(both.groupBy(*keys).agg(*voxels))
+    paired = sizes.where("_n0 > 0 AND _n1 > 0").select(*keys, (F.col("_n0").cast("double") * F.col("_n1") <= PAIRS).alias("_small"))
+    small, large = (beside(both, paired.where(c).drop("_small"), keys) for c in ("_small", "NOT _small"))
+    found = pair_distances(small, keys, spacing)
+    if not paired.where("NOT _small").isEmpty():
+        planes = distances(large, large.withColumn("_side", 1 - F.col("_side")), [*keys, "_side"], spacing)
+        found = found.unionByName(planes)
+    # every structure counts once more without a distance, so that those of one side have a row
+    none = sizes.select(*keys, F.lit(None).cast("int").alias("_side"), F.lit(None).cast("double").alias("d"), F.lit(0).cast("bigint").alias("n"), (F.col("_n0") + F.col("_n1")).alias("_all"))
+    rows = found.withColumn("_all", F.lit(0).cast("bigint")).unionByName(none)
     far = [F.percentile(F.when(F.col("_side") == k, F.col("d")), 0.95, F.col("n")) for k in (0, 1)]
     near = F.sum(F.when(F.col("d") <= tolerance, F.col("n")).otherwise(0))
-    scored = rows.groupBy(*keys).agg(near.alias("_near"), F.sum("n").alias("_n"), far[0].alias("_far0"), far[1].alias("_far1"))
+    scored = rows.groupBy(*keys).agg(F.sum("_all").alias("_all"), near.alias("_near"), F.sum("n").alias("_n"), far[0].alias("_far0"), far[1].alias("_far1"))
     return scored.select(
-        *keys, F.coalesce(F.try_divide("_near", "_n"), F.lit(0.0)).alias("nsd"), F.coalesce(F.greatest("_far0", "_far1"), F.lit(float("inf"))).alias("hd95")
+        *keys, F.col("_all").alias("n"), F.coalesce(F.try_divide("_near", "_n"), F.lit(0.0)).alias("nsd"), F.coalesce(F.greatest("_far0", "_far1"), F.lit(float("inf"))).alias("hd95")
     )
 
 

@@ -81,7 +81,7 @@ def score_cases(
     found = bricks.dice(pred, ref, by)
     if surfaces:
         scores = distances.surface_scores(bricks.surface(pred, by), bricks.surface(ref, by), by, spacing, tolerance)
-        found = bricks.beside(found, scores, by, "left")
+        found = bricks.beside(found, scores.drop("n"), by, "left")
     if labels is not None:
         wanted = [x for x in labels if only is None or x in only]
         every = (cases.select(*keys) if cases is not None else pred.select(*keys).unionByName(ref.select(*keys))).distinct()

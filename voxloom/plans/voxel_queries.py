@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.operators import bricks, distances, voxels
@@ -83,11 +83,11 @@ def overlap_label_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 MARKED = """v AS (SELECT DISTINCT l_suppkey AS c, l_linenumber AS label, l_partkey % 61 AS x, l_orderkey % 53 AS y, l_quantity::BIGINT AS z FROM lineitem)"""
 
 
-def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bricks of a sparse label volume for each supplier."""
+def _marked(spark: SparkSession, sf_dir: str, **what: Column) -> DataFrame:
+    """Bricks of a sparse label volume for each supplier, with a mask for each value of `what`."""
     place = [F.col("l_partkey") % 61, F.col("l_orderkey") % 53, F.col("l_quantity").cast("bigint")]
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("c"), F.col("l_linenumber").alias("label"), *[p.alias(k) for p, k in zip(place, "xyz", strict=True)])
-    return bricks.packed(rows, ["c", "label"])
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("c"), *[v.alias(k) for k, v in what.items()], *[p.alias(k) for p, k in zip(place, "xyz", strict=True)])
+    return bricks.packed(rows, ["c", *what])
 
 
 @query(f"""WITH {MARKED}, t AS (SELECT c, label, CASE label WHEN 1 THEN 7 WHEN 2 THEN 3 WHEN 5 THEN 7 END AS t, x, y, z FROM v), k AS (SELECT DISTINCT c FROM v)
@@ -96,7 +96,7 @@ coalesce((SELECT string_agg(label || ':' || n, ',' ORDER BY label) FROM (SELECT
 (SELECT coalesce(string_agg(m, ',' ORDER BY m), '') FROM (SELECT unnest([3, 4, 7]) AS m) WHERE m NOT IN (SELECT t.t FROM t WHERE t.c = k.c AND t.t IS NOT NULL)) AS missing FROM k""")
 def label_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each supplier's volume with labels replaced; what is dropped and what is missing (VX-10)."""
-    known, report = bricks.remapped(_marked(spark, sf_dir), ["c"], {1: 7, 2: 3, 5: 7, 99: 4})
+    known, report = bricks.remapped(_marked(spark, sf_dir, label=F.col("l_linenumber")), ["c"], {1: 7, 2: 3, 5: 7, 99: 4})
     n = bricks.counts(known, ["c", "label"])
     per = n.groupBy("c").agg(*[F.coalesce(F.sum(F.when(F.col("label") == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in (7, 3)])
     said = F.concat_ws(",", F.transform("unmapped", lambda u: F.concat_ws(":", u["label"].cast("string"), u["voxels"].cast("string"))))
@@ -114,12 +114,10 @@ SELECT c, count(*) AS n, round(avg(CASE WHEN d <= 3 THEN 1.0 ELSE 0.0 END), 6) A
 @query(NEAR)
 def surface_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances between the surfaces of two masks of every supplier, made of all line items (VX-2 to VX-5)."""
-    sides = _marked(spark, sf_dir).select("c", (F.col("label") % 2).alias("side"), *bricks.BRICK, "bits")
-    both = [sides.where(F.col("side") == k).groupBy("c", *bricks.BRICK).agg(F.bit_or("bits").alias("bits")) for k in (0, 1)]
-    a, b = (bricks.surface(side, ["c"]) for side in both)
+    found = bricks.surface(_marked(spark, sf_dir, side=F.col("l_linenumber") % 2), ["c", "side"])
+    a, b = (found.where(F.col("side") == k).drop("side") for k in (0, 1))
     scores = distances.surface_scores(a, b, ["c"], (0.8, 0.8, 1.5), tolerance=3)
-    n = bricks.counts(a.unionByName(b), ["c"])
-    return n.join(scores, "c").select("c", "n", F.round("nsd", 6).alias("nsd"), F.round("hd95", 6).alias("hd95")).where("hd95 < double('inf')")
+    return scores.select("c", "n", F.round("nsd", 6).alias("nsd"), F.round("hd95", 6).alias("hd95")).where("hd95 < double('inf')")
 
 
 @query("""SELECT c, label, coalesce(n, 0) AS n FROM (SELECT DISTINCT p_size AS c FROM part JOIN lineitem ON l_partkey = p_partkey) CROSS JOIN (SELECT unnest([1, 2, 9]) AS label)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,8 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder, without its lineage."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    """df computed once and kept as Parquet in the shared folder, without its lineage."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
