@@ -58,6 +58,21 @@ def test_splitting_crowded_buckets_loses_nothing(table, monkeypatch):
     assert got == brute(rows)
 
 
+def test_large_buckets_keep_pairs_of_one_band(spark, table, monkeypatch):
+    """Four texts that agree in all low bits but share one band only are all compared, though their bucket is large."""
+    monkeypatch.setattr(neardup, "LARGE", 1)
+    rng = np.random.default_rng(3)
+    low = rng.integers(0, 16, neardup.BANDS * neardup.ROWS, np.uint32)
+    signatures = [low + (rng.integers(1, 2**28, len(low), np.uint32) << np.uint32(4)) for _ in range(4)]
+    for s in signatures:
+        s[: neardup.ROWS] = low[: neardup.ROWS]
+    reps = spark.createDataFrame([(i, 96, bytearray(s.tobytes())) for i, s in enumerate(signatures)], "id bigint, n bigint, signature binary")
+    docs = table([(i, " ".join(f"w{k}" for k in range(99)) + f" end{i}") for i in range(4)]).selectExpr("doc_id AS id", "text")
+    rows = neardup._several(reps.select("id", neardup._bands()[0].alias("band"), reps["id"].alias("c")))
+    got = {(r["a"], r["b"]) for r in neardup._across(rows, reps, docs, 75, 1e-6).collect()}
+    assert got == set(combinations(range(4), 2))
+
+
 def test_edges(edges, table):
     got = sorted(tuple(r) for r in neardup.near_duplicates(edges).collect())
     by = {i: (n, c) for i, n, c in got}

@@ -11,10 +11,10 @@
 4. Connected components of the links. Buckets that still hold several components then compare
    their members across components: sizes, shingles that occur nowhere else, and sketches (low bits of
    the hashes, as much as the batches would compare) leave few pairs, which are verified on their full
-   sets. Buckets with too many pairs are split by a second band first. Components are closed again.
+   sets. A large bucket is dealt to cells, and each two cells meet. Components are closed again.
 
-A pair at similarity 0.75 shares none of the 32 bands with probability 5.2e-6, and no two of them, as it
-must in a bucket that is split, with 8.2e-5; sketches, batches and long sketches lose at most 1e-6 each.
+A pair at similarity 0.75 shares none of the 32 bands with probability 5.2e-6, in buckets of any size;
+sketches, batches and long sketches lose at most 1e-6 each.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ CROWDED = 20
 LONG = 1024
 #: Bytes of packed shingles that a counting task takes.
 PART = 12_000_000
-#: Buckets with more pairs between components than so many a member are split by later bands first.
+#: Members of a cell of a bucket, about.
 LARGE = 500
 #: Bits of the table that says which texts a comparison needs: at least, at most, and for each needed text.
 NEEDED, PER_TEXT = (1 << 20, 1 << 28), 32
@@ -351,22 +351,17 @@ def _across(rows: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, mis
     In crowded buckets only shingles that stand in several of their documents can be common to a
     pair: that is an exact bound, and rules out edited copies that are too far from all others.
     """
-    many = F.col("pairs") > LARGE * F.col("size")
-    large = rows.where(many)
-    refined = not large.isEmpty()
-    if refined:
-        # a similar pair shares about a third of all bands: in the first that it shares, it also shares a later one
-        bands = reps.select("id", F.posexplode(_bands()).alias("j", "other")).join(large.select("id").distinct(), "id", "left_semi")
-        first = large.join(bands.select("id", F.col("other").alias("band"), F.col("j").alias("i")), ["id", "band"])
-        again = first.select("band", "id", "c", "i").join(bands, "id").where("j > i")
-        finer = again.select(F.xxhash64("band", "other").alias("band"), "id", "c").distinct()
-        rows = written(rows.where(~many).unionByName(_several(finer)))
     crowded = F.col("pairs") > CROWDED * F.col("size")
     ids = written(rows.where(crowded).select("id").distinct())
     shared = written(_found_elsewhere(_needed(docs, ids)))
     known = rows.join(_sketched(reps), "id").join(shared, "id", "left").withColumn("j", F.array_position("bands", F.col("band")).cast("int"))
     known = known.withColumn("bands", F.when(F.col("long").isNotNull(), F.col("bands"))).withColumn("m", F.when(crowded & F.col("m").isNotNull(), F.col("m")).otherwise(F.col("n")))
-    x, y = (known.select("band", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "c", "top", "n", "m", "sketch", "long", "bands", "j")]) for k in "xy")
+    # cell i of a bucket meets each cell j, so no task holds a large bucket
+    cells = F.ceil(F.col("size") / LARGE).cast("int")
+    own, each = F.pmod(F.xxhash64("id"), cells).cast("int"), F.explode(F.sequence(F.lit(0), cells - 1))
+    cell = {"x": (own.alias("i"), each.alias("k")), "y": (each.alias("i"), own.alias("k"))}
+    columns = ("id", "c", "top", "n", "m", "sketch", "long", "bands", "j")
+    x, y = (known.select("band", *cell[k], *[F.col(c).alias(f"{c}_{k}") for c in columns]) for k in "xy")
 
     def near(name: str, hashes: int) -> Column:
         words = range(hashes * BITS // 64)
@@ -377,11 +372,11 @@ def _across(rows: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, mis
     close = (F.col("n_x") * 100 >= percent * F.col("n_y")) & (F.col("n_y") * 100 >= percent * F.col("n_x"))
     close = close & ((100 + percent) * F.least("m_x", "m_y") >= percent * (F.col("n_x") + F.col("n_y")))
     once = (F.col("c_y") == F.col("top_y")) | (F.col("id_x") < F.col("id_y"))
-    if not refined:  # a pair in crowded buckets counts in the first band that it shares
-        before = [F.slice(f"bands_{k}", F.lit(1), F.greatest(F.col("j_x") - 1, F.lit(0))) for k in "xy"]
-        alike = alike & ~F.coalesce(F.arrays_overlap(*before), F.lit(False))
+    # a pair in crowded buckets counts in the first band that it shares
+    before = [F.slice(f"bands_{k}", F.lit(1), F.greatest(F.col("j_x") - 1, F.lit(0))) for k in "xy"]
+    alike = alike & ~F.coalesce(F.arrays_overlap(*before), F.lit(False))
     # the largest component's members meet the others, not each other
-    pairs = x.where("c_x != top_x").join(y, "band").where((F.col("c_x") != F.col("c_y")) & once & close & alike)
+    pairs = x.where("c_x != top_x").join(y, ["band", "i", "k"]).where((F.col("c_x") != F.col("c_y")) & once & close & alike)
     return pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
 
