@@ -110,6 +110,16 @@ def test_sizes_stop_at_the_largest_unit(spark, tmp_path):
     assert text_queries.human_texts(spark, str(tmp_path)).first()["size"] == "1262.7 MB"
 
 
+def test_label_sets_are_not_expanded(spark):
+    from voxloom.functions import records
+
+    rows = [("a", 1, "x", 5), ("a", 2, "y", 6), ("b", 1, "x", 5), ("b", 1, "x", 5), ("c", 1, None, None), ("c", 2, "y", None), ("d", 2, "x", 0), ("e", None, "x", 1), ("e", 1, "y", 1)]
+    report = records.label_set_report(spark.createDataFrame(rows, "s string, i int, t string, v int"), "s", "t", "i", "v")
+    want = {"a": (2, True, True, True), "b": (2, False, False, False), "c": (2, True, False, True), "d": (1, False, True, False), "e": (2, False, True, False)}
+    assert {r[0]: tuple(bool(x) if k else x for k, x in enumerate(r[1:])) for r in report.collect()} == want
+    assert "Expand" not in report._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_label_sets_and_reports(spark, tmp_path):
     from voxloom.functions import records
     from voxloom.sources import reports

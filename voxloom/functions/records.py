@@ -38,16 +38,37 @@ def spacing_warning(planned: Column, limit: Column) -> Column:
     return F.coalesce(F.array_max(planned) > limit, F.lit(False))
 
 
+def _repeated(rows: DataFrame, name: str, column: str) -> DataFrame:
+    """(name, _column) for each value of the column, null aside, that stands more than once in a set."""
+    several = rows.where(F.col(column).isNotNull()).groupBy(name, column).agg(F.count("*").alias("_k")).where("_k > 1")
+    return several.select(name, F.lit(column).alias("_column"))
+
+
 def label_set_report(labels: DataFrame, name: str, structure: str, index: str, source: str | None = None) -> DataFrame:
-    """(name, n, contiguous, unique_names, source_injective) of label sets: indices must be 1 to N."""
+    """(name, n, contiguous, unique_names, source_injective) of label sets: indices must be 1 to N.
+
+    What is counted is which values repeat: only those meet their set's row again, and one of many labels is no single task's.
+    """
+    columns = list(dict.fromkeys(c for c in (structure, index, source) if c))
+    none = lambda kind: F.lit(None).cast(kind)
+    sums = [
+        F.count("*").alias("n"), F.count(index).alias("_indices"), F.count(structure).alias("_names"), F.min(index).cast("double").alias("_low"), F.max(index).cast("double").alias("_high"),
+        (F.coalesce(F.min(source) != 0, F.lit(True)) if source else F.lit(True)).alias("_fine"),
+    ]
+    rows = labels.groupBy(name).agg(*sums).withColumn("_column", none("string"))
+    empty = [none(f.dataType).alias(f.name) for f in rows.schema if f.name not in (name, "_column")]
+    for c in columns:
+        rows = rows.unionByName(_repeated(labels.select(*dict.fromkeys([name, c])), name, c).select(name, *empty, "_column"))
+    once = lambda c: ~F.coalesce(F.bool_or(F.col("_column") == c), F.lit(False))
+    n = F.max("n")
     checks = [
-        F.count("*").alias("n"),
-        ((F.min(index) == 1) & (F.max(index) == F.count("*")) & (F.count_distinct(index) == F.count("*"))).alias("contiguous"),
-        (F.count_distinct(structure) == F.count("*")).alias("unique_names"),
+        n.alias("n"),
+        ((F.max("_low") == 1) & (F.max("_high") == n) & (F.max("_indices") == n) & once(index)).alias("contiguous"),
+        ((F.max("_names") == n) & once(structure)).alias("unique_names"),
     ]
     if source:
-        checks.append(((F.count_distinct(source) == F.count(source)) & (F.coalesce(F.min(source), F.lit(1)) != 0)).alias("source_injective"))
-    return labels.groupBy(name).agg(*checks)
+        checks.append((once(source) & F.bool_and("_fine")).alias("source_injective"))
+    return rows.groupBy(name).agg(*checks)
 
 
 def zipped(names: Column, values: Column) -> Column:
