@@ -285,3 +285,10 @@ def test_a_long_past_makes_few_tries(spark, monkeypatch):
     won = allocate(spark, [(1, 1), (2, 2), (3, 3)], cases, taken)
     got = {r["user"]: r["case"] for r in won}
     assert got[1] == 39 and 2 not in got and set(got) == {1, 3}
+
+
+def test_union_of_labels_and_images_expands_nothing(spark, sf):
+    from voxloom.plans import annotation_queries
+
+    plan = annotation_queries.cte_union_all(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and "Union" not in plan and "collect_set" not in plan

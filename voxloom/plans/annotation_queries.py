@@ -225,13 +225,14 @@ SELECT kind, count(*) AS n, count(DISTINCT o_custkey) AS patients, string_agg(DI
 def cte_union_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels and their images as one list, summarised (JN-12, ST-6, AG-15, AG-16)."""
     items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag")
-    series = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(items, "o_orderkey")
-    labels = series.where("l_returnflag = 'R'")
-    images = series.join(labels.select("o_orderkey").distinct(), "o_orderkey", "left_semi")
-    both = labels.withColumn("kind", F.lit("label")).unionByName(images.withColumn("kind", F.lit("image")))
-    return both.groupBy("kind").agg(
-        F.count("*").alias("n"), F.count_distinct("o_custkey").alias("patients"), F.array_join(F.array_sort(F.collect_set("l_returnflag")), "|").alias("flags")
-    )
+    known = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(items.where("l_returnflag = 'R'"), "o_orderkey", "left_semi")
+    # a label is an image's row too; customers and flags are counted before they are listed, so that no task sorts all rows of a kind
+    pairs = items.join(known, "o_orderkey").groupBy("o_custkey", "l_returnflag").agg(F.count("*").alias("n"))
+    kinds = F.when(F.col("l_returnflag") == "R", F.array(F.lit("label"), F.lit("image"))).otherwise(F.array(F.lit("image")))
+    both = pairs.select(F.explode(kinds).alias("kind"), "*")
+    patients = both.groupBy("kind", "o_custkey").agg(F.sum("n").alias("n")).groupBy("kind").agg(F.sum("n").alias("n"), F.count("o_custkey").alias("patients"))
+    flags = both.select("kind", "l_returnflag").distinct().groupBy("kind").agg(F.array_join(F.array_sort(F.collect_list("l_returnflag")), "|").alias("flags"))
+    return patients.join(F.broadcast(flags), "kind").select("kind", "n", "patients", "flags")
 
 
 @query("""SELECT o_orderkey FROM orders o WHERE o_totalprice >= 5000 AND o_orderstatus = 'O' AND NOT EXISTS
