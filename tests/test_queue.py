@@ -292,3 +292,16 @@ def test_union_of_labels_and_images_expands_nothing(spark, sf):
 
     plan = annotation_queries.cte_union_all(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "Expand" not in plan and "Union" not in plan and "collect_set" not in plan
+
+
+def test_kept_rows_are_computed_once(spark):
+    from voxloom.session import kept
+
+    met = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            met.add(len(b))
+            yield b
+
+    assert kept(spark.range(10).mapInPandas(counted, "id bigint")).count() == 10 and met.value == 10

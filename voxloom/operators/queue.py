@@ -160,7 +160,8 @@ def allocate(requests: DataFrame, cases: DataFrame, taken: DataFrame) -> DataFra
     won = None
     waiting = requests.select("user", "arrived", F.lit(0).cast("bigint").alias("base"))
     free = cases.where("slots > 0").select("case", "priority", "created", F.col("slots").cast("bigint").alias("slots"))
-    seen = kept(taken.select("user", "case").distinct())
+    # pairs of cases that have no slot to begin with never count
+    seen = kept(taken.select("user", "case").join(free.select("case"), "case", "left_semi").distinct())
     while True:
         n, (kinds, slots) = waiting.count(), free.agg(F.count("*"), F.coalesce(F.sum("slots"), F.lit(0))).first()
         if not (n and slots):
