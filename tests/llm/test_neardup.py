@@ -73,6 +73,33 @@ def test_large_buckets_keep_pairs_of_one_band(spark, table, monkeypatch):
     assert got == set(combinations(range(4), 2))
 
 
+@pytest.mark.parametrize("crowded", [0, 10**9])
+def test_crowded_buckets_keep_what_others_keep(spark, table, monkeypatch, crowded):
+    """Texts just above the threshold stay a pair in buckets of any size, whatever sketches may lose."""
+    monkeypatch.setattr(neardup, "CROWDED", crowded)
+    texts = [(i, " ".join([f"w{k}" for k in range(99)] + [f"end{i}.{k}" for k in range(15)])) for i in range(5)]
+    same = bytearray(np.arange(neardup.BANDS * neardup.ROWS, dtype=np.uint32).tobytes())
+    reps = spark.createDataFrame([(i, 110, same) for i, _ in texts], "id bigint, n bigint, signature binary")
+    marked = neardup.written(reps.select("id", neardup._bands()[0].alias("band"), reps["id"].alias("c")))
+    rows = neardup.written(neardup._several(marked))
+    got = {(r["a"], r["b"]) for r in neardup._across(rows, reps, table(texts).selectExpr("doc_id AS id", "text"), 75, 0.9).collect()}
+    assert got == set(combinations(range(5), 2))
+
+
+@pytest.mark.parametrize("bits", [64, 4096])
+def test_tables_bound_what_documents_share(table, monkeypatch, bits):
+    monkeypatch.setattr(neardup, "TABLE", bits)
+    rows = corpus(7, 6, 8, " a b c d e f")
+    own = {i: sets(t) for i, t in rows}
+    found = {r["id"]: r for r in neardup._found_elsewhere(table(rows).selectExpr("doc_id AS id", "text")).collect()}
+    for i, s in own.items():
+        assert found[i]["m"] == len({x for x in s if any(x in own[j] for j in own if j != i)})
+    for i, j in combinations(own, 2):
+        both = sum((x & y & (2**64 - 1)).bit_count() for x, y in zip(found[i]["held"], found[j]["held"], strict=True))
+        bound = min(found[i]["spare"], found[j]["spare"]) + both
+        assert len(own[i] & own[j]) <= bound and (bits == 64 or bound <= 1.3 * len(own[i] & own[j]) + 6)
+
+
 def test_edges(edges, table):
     got = sorted(tuple(r) for r in neardup.near_duplicates(edges).collect())
     by = {i: (n, c) for i, n, c in got}

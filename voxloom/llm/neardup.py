@@ -9,12 +9,14 @@
    hashes agreed, the posterior probability of a similarity of `threshold` or more is below
    `miss`. Survivors are compared on their full shingle sets.
 4. Connected components of the links. Buckets that still hold several components then compare
-   their members across components: sizes, shingles that occur nowhere else, and sketches (low bits of
-   the hashes, as much as the batches would compare) leave few pairs, which are verified on their full
-   sets. A large bucket is dealt to cells, and each two cells meet. Components are closed again.
+   their members across components: sizes and sketches (low bits of the hashes, as much as the batches would
+   compare) leave few pairs, which are verified on their full sets. In crowded buckets the shingles that
+   occur nowhere else and tables of the others also bound what a pair can share; these bounds are exact, so the
+   size of a bucket decides on no pair. A large bucket is dealt to cells, and each two cells meet. Components are
+   closed again.
 
 A pair at similarity 0.75 shares none of the 32 bands with probability 5.2e-6, in buckets of any size;
-sketches, batches and long sketches lose at most 1e-6 each.
+sketches and batches lose at most 1e-6 each.
 """
 
 from __future__ import annotations
@@ -39,8 +41,8 @@ BANDS, ROWS, BATCH, BITS = 32, 4, 16, 4
 SHORT = BANDS * ROWS // 64
 #: Buckets with more pairs between components than so many a member are crowded.
 CROWDED = 20
-#: Hashes of the long sketch that documents in crowded buckets get.
-LONG = 1024
+#: Bits of the table of shingles that documents in crowded buckets get.
+TABLE = 4096
 #: Bytes of packed shingles that a counting task takes.
 PART = 12_000_000
 #: Members of a cell of a bucket, about.
@@ -289,28 +291,28 @@ def _marked(shared: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def _found_elsewhere(docs: DataFrame) -> DataFrame:
-    """(id, m, long): how many of a document's shingles stand in another document (id, text) of docs too, and a long sketch.
+    """(id, m, spare, held): how many of a document's shingles stand in another document (id, text) of docs too, and a table of them.
 
-    Blocks of documents ask for their distinct shingles, packed and cut by ranges of hashes; the task of a range
-    counts them and answers with bits. What is shuffled are packed shingles, once each block.
+    Bit i of held is set if such a shingle's hash is i modulo TABLE; spare is m without the bits set. A bit that only
+    one of two documents has stands for a shingle that the other lacks, so they share no more than the least spare
+    and the bits that both have. Blocks of documents ask for their distinct shingles, packed and cut by ranges of hashes;
+    the task of a range counts them and answers with bits. What is shuffled are packed shingles, once each block.
     """
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a, b = permutations(LONG, 2)
         for rows in batches:
             sets = [shingles(t) for t in rows["text"]]
             if sum(map(len, sets)):
-                low = sketch(np.stack([signature(x, a, b) for x in sets]))
                 keys, place, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
                 sizes = np.array([len(x) for x in sets], np.uint32)
                 block = int.from_bytes(os.urandom(8), "little") >> 1
                 yield pd.DataFrame(
                     {"block": [block], "ids": [rows["id"].tolist()], "sizes": [pack(sizes)], "place": [pack(place.astype(np.uint32))],
-                     "keys": [pack(np.diff(keys, prepend=np.uint64(0)))], "counts": [pack(counts.astype(np.uint32))], "low": [low.tobytes()]}
+                     "keys": [pack(np.diff(keys, prepend=np.uint64(0)))], "counts": [pack(counts.astype(np.uint32))]}
                 )
         forget()
 
-    schema = "block bigint, ids array<bigint>, sizes binary, place binary, keys binary, counts binary, low binary"
+    schema = "block bigint, ids array<bigint>, sizes binary, place binary, keys binary, counts binary"
     blocks = written(docs.select("id", "text").mapInPandas(gather, schema))
     total = blocks.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(1, total / PART))))
@@ -336,39 +338,44 @@ def _found_elsewhere(docs: DataFrame) -> DataFrame:
     def told(block: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         row = block.iloc[0]
         several = np.concatenate([unpack(x, np.uint8) for x in found.sort_values("part")["several"]])
-        ends = np.cumsum(np.concatenate([[0], unpack(row["sizes"], np.uint32).astype(np.int64)]))
-        before = np.concatenate([[0], np.cumsum(several[unpack(row["place"], np.uint32)].astype(np.int64))])
-        low = list(np.frombuffer(row["low"], np.int64).reshape(len(ends) - 1, -1))
-        return pd.DataFrame({"id": row["ids"], "m": before[ends[1:]] - before[ends[:-1]], "long": low})
+        sizes, place = unpack(row["sizes"], np.uint32), unpack(row["place"], np.uint32)
+        common = several[place] > 0
+        of = np.repeat(np.arange(len(sizes)), sizes)[common]
+        bit = np.cumsum(unpack(row["keys"], np.uint64), dtype=np.uint64)[place[common]] % np.uint64(TABLE)
+        held = np.zeros((len(sizes), TABLE), bool)
+        held[of, bit.astype(np.int64)] = True
+        m = np.bincount(of, minlength=len(sizes))
+        return pd.DataFrame({"id": row["ids"], "m": m, "spare": m - held.sum(axis=1), "held": list(np.packbits(held, axis=1).view(np.int64))})
 
-    asked = blocks.select("block", "ids", "sizes", "place", "low").groupBy("block")
-    return asked.cogroup(answers.groupBy("block")).applyInPandas(told, "id bigint, m bigint, long array<bigint>")
+    asked = blocks.select("block", "ids", "sizes", "place", "keys").groupBy("block")
+    return asked.cogroup(answers.groupBy("block")).applyInPandas(told, "id bigint, m bigint, spare bigint, held array<bigint>")
 
 
 def _across(rows: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, miss: float) -> DataFrame:
     """(a, b): pairs of a bucket in different components whose sizes, shared shingles and sketches allow the similarity.
 
     In crowded buckets only shingles that stand in several of their documents can be common to a
-    pair: that is an exact bound, and rules out edited copies that are too far from all others.
+    pair, and no more of them than their tables have in common: exact bounds that rule out most edited copies below the threshold.
     """
     crowded = F.col("pairs") > CROWDED * F.col("size")
     ids = written(rows.where(crowded).select("id").distinct())
     shared = written(_found_elsewhere(_needed(docs, ids)))
     known = rows.join(_sketched(reps), "id").join(shared, "id", "left").withColumn("j", F.array_position("bands", F.col("band")).cast("int"))
-    known = known.withColumn("bands", F.when(F.col("long").isNotNull(), F.col("bands"))).withColumn("m", F.when(crowded & F.col("m").isNotNull(), F.col("m")).otherwise(F.col("n")))
+    known = known.withColumn("bands", F.when(F.col("held").isNotNull(), F.col("bands"))).withColumn("m", F.when(crowded & F.col("m").isNotNull(), F.col("m")).otherwise(F.col("n")))
     # cell i of a bucket meets each cell j, so no task holds a large bucket
     cells = F.ceil(F.col("size") / LARGE).cast("int")
     own, each = F.pmod(F.xxhash64("id"), cells).cast("int"), F.explode(F.sequence(F.lit(0), cells - 1))
     cell = {"x": (own.alias("i"), each.alias("k")), "y": (each.alias("i"), own.alias("k"))}
-    columns = ("id", "c", "top", "n", "m", "sketch", "long", "bands", "j")
+    columns = ("id", "c", "top", "n", "m", "sketch", "spare", "held", "bands", "j")
     x, y = (known.select("band", *cell[k], *[F.col(c).alias(f"{c}_{k}") for c in columns]) for k in "xy")
 
-    def near(name: str, hashes: int) -> Column:
-        words = range(hashes * BITS // 64)
-        differ = sum(F.bit_count(F.get(f"{name}_x", F.lit(i)).bitwiseXOR(F.get(f"{name}_y", F.lit(i)))) for i in words)
-        return differ <= most_differing(hashes, BITS, percent / 100, miss)
+    def ones(name: str, bits: int, both: str) -> Column:
+        return sum(F.bit_count(getattr(F.get(f"{name}_x", F.lit(i)), both)(F.get(f"{name}_y", F.lit(i)))) for i in range(bits // 64))
 
-    alike = near("sketch", BANDS * ROWS) & F.coalesce(near("long", LONG), F.lit(True))
+    alike = ones("sketch", BANDS * ROWS * BITS, "bitwiseXOR") <= most_differing(BANDS * ROWS, BITS, percent / 100, miss)
+    common = F.least("spare_x", "spare_y") + ones("held", TABLE, "bitwiseAND")
+    known_apart = F.col("held_x").isNotNull() & F.col("held_y").isNotNull() & ((100 + percent) * common < percent * (F.col("n_x") + F.col("n_y")))
+    alike = alike & ~known_apart
     close = (F.col("n_x") * 100 >= percent * F.col("n_y")) & (F.col("n_y") * 100 >= percent * F.col("n_x"))
     close = close & ((100 + percent) * F.least("m_x", "m_y") >= percent * (F.col("n_x") + F.col("n_y")))
     once = (F.col("c_y") == F.col("top_y")) | (F.col("id_x") < F.col("id_y"))
