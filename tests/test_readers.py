@@ -177,3 +177,40 @@ def test_voxels_of_a_volume_in_sql(spark, folder):
     for name in ("three.nrrd", "four.nrrd"):
         assert {tuple(r)[1:] for r in rows if r["path"].endswith(name)} == want
     assert spark.sql("SELECT * FROM volume_voxels(NULL)").count() == 0
+
+
+def test_submission_problems(spark):
+    tables.register(spark)
+    rows = [
+        (1, ["R", "A", "R"], [5, 20, 4], 60.0),
+        (2, ["zz", "A", None, "N", "empty"], [1, 8, 3, 2, 0], 59.5),
+        (3, [], [], None),
+        (None, ["R"], [None], 100.0),
+    ]
+    given = spark.createDataFrame(rows, "key long, segments array<string>, voxels array<long>, seconds double")
+    got = {}
+    for r in spark.sql("SELECT * FROM submission_problems(TABLE(SELECT * FROM {given}), 'R', 'A')", given=given).collect():
+        got.setdefault(r["key"], []).append((r["level"], r["code"], r["subject"]))
+    missing = ("error", "empty_required_segment", "R")
+    assert got == {
+        1: [(None, None, None)],
+        2: [missing, ("error", "stray_voxels", "A"), ("error", "unexpected_segment", "N"), ("error", "unexpected_segment", "zz"), ("warning", "implausibly_fast", "60")],
+        3: [missing, ("warning", "empty_optional_segment", "A")],
+        None: [missing, ("warning", "empty_optional_segment", "A")],
+    }
+    none = spark.sql("SELECT * FROM submission_problems(TABLE(SELECT * FROM {given}), 'R', 'A')", given=given.where("false"))
+    assert none.count() == 0
+
+
+def test_submissions_are_dealt_twice_and_not_joined(spark, tmp_path):
+    """Once for the counts and once for the lists; an order without a key has its problems too."""
+    from voxloom.plans import annotation_queries
+
+    items = [(k, f, float(q)) for k in (1, 2, None) for f, q in (("A", 30), ("A", 40), ("N", k or 1))]
+    spark.createDataFrame(items, "l_orderkey long, l_returnflag string, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = annotation_queries.submission_problems(spark, str(tmp_path))
+    said = "empty_required_segment:R,stray_voxels:A,unexpected_segment:N"
+    assert {(r["l_orderkey"], r["problems"]) for r in found.collect()} == {(k, said) for k in (1, 2, None)}
+    plan = found.select(F.col("problems"))._jdf.queryExecution().executedPlan().toString()
+    initial = plan.split("Initial Plan")[-1]
+    assert initial.count("Exchange") == 2 and "Join" not in initial and "ArrowEvalPythonUDTF" in initial

@@ -335,18 +335,20 @@ def submission_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(CHECKS)
 def submission_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same rules as a table function over the partitions of a table (UD-6)."""
+    """The same rules as a table function over a table of submissions (UD-6)."""
     tables.register(spark)
     items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_returnflag").alias("segment"), "l_quantity")
-    whole = items.groupBy("key").agg(F.sum("l_quantity").alias("seconds"))
-    rows = items.groupBy("key", "segment").agg(F.count("*").alias("voxels")).join(whole, "key")
-    found = spark.sql("SELECT * FROM submission_problems(TABLE(SELECT * FROM {rows}) PARTITION BY (key), 'R', 'A')", rows=rows)
+    # dealt by order once, for the segments and for the lists of them
+    counts = items.repartition("key").groupBy("key", "segment").agg(F.count("*").alias("voxels"), F.sum("l_quantity").alias("seconds"))
+    rows = counts.groupBy("key").agg(F.collect_list(F.struct("segment", "voxels")).alias("s"), F.sum("seconds").alias("seconds"))
+    rows = rows.select("key", F.col("s.segment").alias("segments"), F.col("s.voxels").alias("voxels"), "seconds")
+    found = spark.sql("SELECT * FROM submission_problems(TABLE(SELECT * FROM {rows}), 'R', 'A')", rows=rows)
     level = F.when(F.col("level") == "error", 0).otherwise(1)
     # The order of the rules.
     rule = F.array_position(F.array(*[F.lit(c) for c in ("R", "A", "N")]), F.col("subject"))
-    said = F.concat_ws(":", "code", "subject")
-    listed = found.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(level.alias("l"), F.when(rule == 0, 9).otherwise(rule).alias("r"), said.alias("s")))).alias("p"))
-    return whole.join(listed, "key", "left").select(F.col("key").alias("l_orderkey"), F.array_join(F.coalesce(F.transform("p", lambda p: p["s"]), F.array().cast("array<string>")), ",").alias("problems"))
+    said = F.struct(level.alias("l"), F.when(rule == 0, 9).otherwise(rule).alias("r"), F.concat_ws(":", "code", "subject").alias("s"))
+    listed = found.groupBy("key").agg(F.array_sort(F.collect_list(F.when(F.col("level").isNotNull(), said))).alias("p"))
+    return listed.select(F.col("key").alias("l_orderkey"), F.array_join(F.transform("p", lambda p: p["s"]), ",").alias("problems"))
 
 
 @query("""SELECT event_id, array_to_string(list_filter([CASE WHEN event_type IN ('click', 'error') AND value / 100 < 0.7 THEN 'mean Dice ' || round((value / 100)::DECIMAL(18, 6), 2)::DECIMAL(18, 2) || CASE event_type WHEN 'click' THEN ' against the reference' ELSE ' against the other annotator' END END,
